@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, decontaminate, pii, quality, substring_dedup
+from attestra.llm import bpe, decontaminate, html_text, pii, quality, substring_dedup, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op4_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -39,5 +47,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op6_pii_semi_crf, op8_substring_dedup, op9_quality_knn, op10_bpe)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_warc_zip, op4_html_tree_model, op6_pii_semi_crf, op8_substring_dedup, op9_quality_knn, op10_bpe)}
+ORACLE: dict[str, str] = {
+    "op3_warc_zip": """
+        with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) d from pages),
+        k as (select *, strlen(html) n, max(page_id) over (partition by d) m from p)
+        select page_id, n::bigint payload_bytes, d payload_digest,
+               case when n >= 1000 and page_id < m then 'revisit' else 'response' end record_type,
+               case when n >= 1000 and page_id < m then m end refers_to
+        from k""",
+}
