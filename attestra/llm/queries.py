@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, decontaminate, html_text, pii, quality, substring_dedup, warc_zip
+from attestra.llm import bpe, chosen_path, decontaminate, html_text, pii, quality, substring_dedup, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 def op6_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -47,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_warc_zip, op4_html_tree_model, op6_pii_semi_crf, op8_substring_dedup, op9_quality_knn, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op8_substring_dedup, op9_quality_knn, op10_bpe)}
 ORACLE: dict[str, str] = {
     "op3_warc_zip": """
         with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) d from pages),
