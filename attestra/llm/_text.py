@@ -20,7 +20,7 @@ _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _SEQ = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F))
 _LONG = 256
 #: Text bytes handled at once inside a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Stands for a null doc_id inside operators (such rows sort last and count as one document).
 NULL_ID = (1 << 63) - 1
 

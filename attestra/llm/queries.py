@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, chosen_path, decontaminate, html_text, pii, quality, substring_dedup, warc_zip
+from attestra.llm import bpe, chosen_path, decontaminate, html_text, katz, pii, quality, substring_dedup, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op6_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return katz.model_and_scores(table(spark, sf_dir, "documents"), held_out)[0]
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -51,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op8_substring_dedup, op9_quality_knn, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op7_katz_backoff, op8_substring_dedup, op9_quality_knn, op10_bpe)}
 ORACLE: dict[str, str] = {
     "op3_warc_zip": """
         with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) d from pages),
