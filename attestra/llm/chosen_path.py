@@ -14,7 +14,7 @@ Texts with equal sets are one class from the start and meet as one row.
 
 Defined cases: words are lower-cased and parted by white space; a text of one to
 four words is one shingle; null texts and texts without words link with nothing;
-rows without doc_id count as one document; a repeated row counts as a copy in
+rows without doc_id with equal texts count as one document; a repeated row counts as a copy in
 n_links; other input columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
@@ -81,7 +81,7 @@ def _paths(words: int, runs: int, picks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in T.slices(batches, "text"):
-            doc = T.ids(piece.column("doc_id"))
+            doc = piece.column("doc_id").to_numpy(zero_copy_only=False)
             rows = []
             for d, s in zip(doc.tolist(), shingle_sets(piece, words), strict=True):
                 if not len(s):
@@ -203,10 +203,15 @@ def _compare(threshold: float):
     return run
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = 0.999, limit: int = 64) -> DataFrame:
-    """One row per document: doc_id, copy_of (smallest doc_id with an equal set), n_links (documents at or over the threshold), class_id (smallest doc_id reachable by links), kept."""
+def _numbered(docs: DataFrame) -> Column:
+    """doc_id, or for rows without one a number over 2**62 made of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 61)))
+
+
+def _joined(docs: DataFrame, words: int, threshold: float, recall: float, limit: int) -> DataFrame:
+    """doc_id (numbered), copy_of, n_links, class_id."""
     runs = runs_needed(threshold, recall)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(T.NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(_numbered(docs).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(docs.mapInArrow(_paths(words, runs, PICKS), "doc_id long, lo long, hi long, n long, paths array<long>, more array<array<long>>"), "sets")
     classes = sets.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("more").alias("more"))
     classes = written(classes, "classes")
@@ -240,5 +245,17 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     of_class = classes.select("lo", "hi", "rep", "w", "n").join(links, "rep", "left").join(group.withColumnRenamed("id", "rep"), "rep", "left")
     of_class = of_class.select("lo", "hi", "rep", F.coalesce("component", "rep").alias("class_id"), F.when(F.col("n") == 0, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     out = sets.select("doc_id", "lo", "hi").join(of_class, ["lo", "hi"])
-    real = lambda c: F.when(F.col(c) != T.NULL_ID, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), real("rep").alias("copy_of"), F.col("n_links").cast("long").alias("n_links"), real("class_id").alias("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select("doc_id", F.col("rep").alias("copy_of"), F.col("n_links").cast("long").alias("n_links"), "class_id")
+
+
+def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = 0.999, limit: int = 64) -> DataFrame:
+    """One row per document: doc_id, copy_of (smallest doc_id with an equal set), n_links (documents at or over the threshold), class_id (smallest doc_id reachable by links), kept."""
+    real = lambda c: F.when(F.col(c) < 1 << 62, F.col(c)).alias(c)
+    out = _joined(docs, words, threshold, recall, limit)
+    return out.select(real("doc_id"), real("copy_of"), "n_links", real("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = 0.999, limit: int = 64) -> DataFrame:
+    """The rows of ``docs``, with all their columns: the one with the smallest doc_id of each class; of rows with equal doc_id one."""
+    keep = _joined(docs, words, threshold, recall, limit).where("doc_id = class_id").select(F.col("doc_id").alias("__number")).distinct()
+    return docs.withColumn("__number", _numbered(docs)).join(keep, "__number", "left_semi").dropDuplicates(["__number"]).drop("__number")

@@ -82,65 +82,90 @@ def _stretches(equal: np.ndarray, share: float, least: int) -> list[tuple[int, i
     return out
 
 
-def _scan(masks: list[str], min_words: int, share: float, block):
-    schema = pa.schema([(c.split()[0], pa.int64()) for c in _OUT.split(", ")])
+def _finder(min_words: int, share: float, block):
+    """A function from a batch with ``text`` to its overlaps with a block: (row, item_id, doc_start, item_start, n_words, n_equal)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(piece: pa.RecordBatch) -> list[tuple]:
         names, iw, ifirst, keys, where, masks = block.value
+        if not len(keys):
+            return []
         iof = np.searchsorted(ifirst, np.arange(len(iw)), "right") - 1
         shift = np.uint64(64 - _BITS)
         table = np.zeros(1 << _BITS, bool)
         table[keys >> shift] = True
-        for piece in T.slices(batches, "text"):
-            doc = piece.column("doc_id").to_pylist()
-            w, of, first = _hashed([t or "" for t in piece.column("text").to_pylist()])
-            at, h = _seeds(w, of, masks)
-            hit = np.flatnonzero(table[h >> shift])
-            at, h = at[hit], h[hit]
-            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            n = hi - lo
-            at = np.repeat(at, n)
-            item_at = where[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(n) else np.zeros(0, np.int64)
-            seen: dict[tuple[int, int, int], None] = dict.fromkeys(zip(of[at].tolist(), iof[item_at].tolist(), (at - item_at).tolist(), strict=True))
-            rows = []
-            for d, i, diagonal in seen:
-                a = max(int(ifirst[i]), int(first[d]) - diagonal)
-                b = min(int(ifirst[i + 1]), int(first[d + 1]) - diagonal)
-                equal = iw[a:b] == w[a + diagonal : b + diagonal]
-                for x, y in _stretches(equal, share, min(min_words, int(ifirst[i + 1] - ifirst[i]))):
-                    rows.append((doc[d], names[i], a + x + diagonal - int(first[d]), a + x - int(ifirst[i]), y - x, int(equal[x:y].sum())))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
-
-    return run
-
-
-def overlaps(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float = 0.8) -> DataFrame:
-    """One row for each overlap: doc_id, item_id, doc_start, item_start, n_words, n_equal (in words)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        w, of, first = _hashed([t or "" for t in piece.column("text").to_pylist()])
+        at, h = _seeds(w, of, masks)
+        hit = np.flatnonzero(table[h >> shift])
+        at, h = at[hit], h[hit]
+        lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        n = hi - lo
+        at = np.repeat(at, n)
+        item_at = where[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        seen = dict.fromkeys(zip(of[at].tolist(), iof[item_at].tolist(), (at - item_at).tolist(), strict=True))
+        rows = []
+        for d, i, diagonal in seen:
+            a = max(int(ifirst[i]), int(first[d]) - diagonal)
+            b = min(int(ifirst[i + 1]), int(first[d + 1]) - diagonal)
+            equal = iw[a:b] == w[a + diagonal : b + diagonal]
+            for x, y in _stretches(equal, share, min(min_words, int(ifirst[i + 1] - ifirst[i]))):
+                rows.append((d, names[i], a + x + diagonal - int(first[d]), a + x - int(ifirst[i]), y - x, int(equal[x:y].sum())))
+        return rows
+
+    return find
+
+
+def _blocks(items: DataFrame) -> list:
+    """The test set in broadcast blocks of about BLOCK_BYTES of text: names, word hashes, first words, sorted keys and their places, masks."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks = max(1, -(-_bytes(items) // BLOCK_BYTES))
-    found = []
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about BLOCK_BYTES of text
+    n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    out = []
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         rows = sorted({(r["item_id"], r["text"]) for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         w, of, first = _hashed([r[1] for r in rows])
         short = sorted({int(n) for n in np.diff(first) if 0 < n < max(map(len, MASKS))})
-        masks = [*MASKS, *("1" * n for n in short)]
         at, keys = _seeds(w, of, list(MASKS))
-        for i, n in enumerate(short):  # whole short items only
-            a, h = _masked(w, of, "1" * n, 1 + len(MASKS) + i)
-            whole = np.diff(first)[of[a]] == n if len(a) else np.zeros(0, bool)
+        for i, m in enumerate(short):  # whole short items only
+            a, h = _masked(w, of, "1" * m, 1 + len(MASKS) + i)
+            whole = np.diff(first)[of[a]] == m
             at, keys = np.r_[at, a[whole]], np.r_[keys, h[whole]]
         order = np.argsort(keys, kind="stable")
-        block = spark.sparkContext.broadcast(([r[0] for r in rows], w, first, keys[order], at[order], masks))
-        found.append(docs.mapInArrow(_scan(masks, min_words, share, block), _OUT))
-    return reduce(DataFrame.unionByName, found)
+        out.append(items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], w, first, keys[order], at[order], [*MASKS, *("1" * m for m in short)])))
+    return out
+
+
+def overlaps(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float = 0.8) -> DataFrame:
+    """One row for each overlap: doc_id, item_id, doc_start, item_start, n_words, n_equal (in words)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = [c.split()[0] for c in _OUT.split(", ")]
+
+    def scan(find):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in T.slices(batches, "text"):
+                if rows := find(piece):
+                    ids = piece.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[1:])], names=names)
+
+        return run
+
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(scan(_finder(min_words, share, b)), _OUT) for b in _blocks(items)])
+
+
+def clean(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that overlap with no item."""
+
+    def keep(find):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in T.slices(batches, "text"):
+                good = np.ones(piece.num_rows, bool)
+                good[[r[0] for r in find(piece)]] = False
+                yield piece.filter(pa.array(good))
 
+        return run
 
-def _bytes(items: DataFrame) -> int:
-    return items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    for b in _blocks(items):
+        docs = docs.mapInArrow(keep(_finder(min_words, share, b)), docs.schema)
+    return docs
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float = 0.8) -> DataFrame:

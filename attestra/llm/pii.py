@@ -373,3 +373,29 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     out = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, redacted string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, out)
+
+
+def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``docs`` with all its columns and rows; personal data in ``text`` is replaced by its kind, and ``n_chars`` (where there is such a column) follows."""
+    weights = (model or train()).weights
+    n_chars = "n_chars" in docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = Model(weights)
+        for piece in T.slices(batches, "text"):
+            texts, changed = piece.column("text").to_pylist(), {}
+            for i, text in enumerate(texts):
+                if text and (spans := all_spans(text, crf)[1]):
+                    changed[i] = texts[i] = redacted(text, spans)
+            if changed:
+                cols, names = list(piece.columns), piece.schema.names
+                at = names.index("text")
+                cols[at] = pa.array(texts, cols[at].type)
+                if n_chars:
+                    at = names.index("n_chars")
+                    old = cols[at].to_pylist()
+                    cols[at] = pa.array([len(texts[i]) if i in changed else x for i, x in enumerate(old)], cols[at].type)
+                piece = pa.RecordBatch.from_arrays(cols, schema=piece.schema)
+            yield piece
+
+    return docs.mapInArrow(run, docs.schema)

@@ -103,8 +103,8 @@ def _svd(x: np.ndarray, rank: int) -> np.ndarray:
     return np.ascontiguousarray((q @ v.T)[:, :rank], np.float32)
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", sample: int = 3000, k: int = 25, rank: int = RANK) -> DataFrame:
-    """doc_id, score: the likelihood of label 1. ``held_out`` is a condition on doc_id; such labels are not learnt from."""
+def _voter(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, sample: int, k: int, rank: int):
+    """A function from a batch with ``text`` to its scores, learnt from ``docs`` and ``labels``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
@@ -139,21 +139,42 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "qu
         lsa = weighted(doc, at, count, idf, basis, len(learnt))
     model = spark.sparkContext.broadcast((idf, basis, lsa, ys))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vote(piece: pa.RecordBatch) -> np.ndarray:
         idf, basis, lsa, ys = model.value
+        n = piece.num_rows
+        out = np.full(n, mean)
+        if len(ys):
+            doc, at, count = features(*T.strings(piece.column("text")))
+            x = weighted(doc, at, count, idf, basis, n)
+            for a in range(0, n, 512):
+                sim = np.maximum(x[a : a + 512] @ lsa.T, 0)
+                m = min(k, len(ys))
+                near = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+                w = np.take_along_axis(sim, near, 1).astype(float) ** 4
+                total = w.sum(1)
+                out[a : a + 512] = np.where(total > 1e-9, (w * ys[near]).sum(1) / np.maximum(total, 1e-9), mean)
+        return np.clip(out, 0, 1)
+
+    return vote
+
+
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", sample: int = 3000, k: int = 25, rank: int = RANK) -> DataFrame:
+    """doc_id, score: the likelihood of label 1. ``held_out`` is a condition on doc_id; such labels are not learnt from."""
+    vote = _voter(docs, labels, held_out, label, sample, k, rank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in T.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(vote(piece))], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, held_out: Column, least: float = 0.5, label: str = "quality", sample: int = 3000, k: int = 25, rank: int = RANK) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``least``."""
+    vote = _voter(docs, labels, held_out, label, sample, k, rank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in T.slices(batches, "text"):
-            n, out = piece.num_rows, None
-            out = np.full(n, mean)
-            if len(ys):
-                doc, at, count = features(*T.strings(piece.column("text")))
-                x = weighted(doc, at, count, idf, basis, n)
-                for a in range(0, n, 512):
-                    sim = np.maximum(x[a : a + 512] @ lsa.T, 0)
-                    m = min(k, len(ys))
-                    near = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-                    w = np.take_along_axis(sim, near, 1).astype(float) ** 4
-                    total = w.sum(1)
-                    out[a : a + 512] = np.where(total > 1e-9, (w * ys[near]).sum(1) / np.maximum(total, 1e-9), mean)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.clip(out, 0, 1))], names=["doc_id", "score"])
-
-    return docs.mapInArrow(vote, "doc_id long, score double")
+            yield piece.filter(pa.array(vote(piece) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, chosen_path, decontaminate, html_text, katz, pii, quality, substring_dedup, warc_zip
+from attestra.llm import bpe, chosen_path, decontaminate, html_text, katz, nn_descent, pii, quality, substring_dedup, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -56,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op7_katz_backoff, op8_substring_dedup, op9_quality_knn, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_nn_descent, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op7_katz_backoff, op8_substring_dedup, op9_quality_knn, op10_bpe)}
 ORACLE: dict[str, str] = {
     "op3_warc_zip": """
         with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) d from pages),
