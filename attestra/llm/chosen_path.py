@@ -1,7 +1,7 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is the set of its five-word shingles. Recursively, each set picks shared
-tokens by a hash of the path so far (two of its tokens on average at each node),
+tokens by a hash of the path so far (PICKS of its tokens on average),
 and sets that picked the same path form a bucket; buckets of more than ``limit``
 sets split once more on a second token. Runs with independent hashes repeat until
 a pair at the threshold is missed with probability below 1 - ``recall``. Every
@@ -33,18 +33,18 @@ from attestra.llm._shared import written
 from attestra.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-#: Tokens that a node picks on average.
-PICKS = 2
+#: Tokens that a node picks on average: at the root, and on the second level, whose rows are fewest for a given recall with few picks.
+PICKS = (2, 1)
 _BLOCK = 512
 _TASK_BYTES = 8 << 20
 _DENSE = 8
 
 
-def runs_needed(threshold: float, recall: float, picks: float = PICKS, depth: int = 2) -> int:
+def runs_needed(threshold: float, recall: float, picks: tuple[float, ...] = PICKS) -> int:
     """Runs after which a pair at the threshold is missed with probability below 1 - recall, even where every bucket splits."""
     found = 1.0
-    for _ in range(depth):  # a node survives if one of its shared tokens is picked and survives
-        found = 1 - math.exp(-picks * threshold * found)
+    for n in reversed(picks):  # a node survives if one of its shared tokens is picked and survives
+        found = 1 - math.exp(-n * threshold * found)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
 
 
@@ -76,7 +76,7 @@ def _picked(s: np.ndarray, path: np.uint64, picks: int) -> np.ndarray:
     return T.mix(h[h <= bound] + path)
 
 
-def _paths(words: int, runs: int, picks: int):
+def _paths(words: int, runs: int, picks: tuple[int, int]):
     seeds = T.mix(np.arange(1, runs + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +87,8 @@ def _paths(words: int, runs: int, picks: int):
                 if not len(s):
                     rows.append((d, d, -1, 0, [], []))
                     continue
-                first = np.concatenate([_picked(s, x, picks) for x in seeds])
-                second = [_picked(s, x, picks) for x in first]
+                first = np.concatenate([_picked(s, x, picks[0]) for x in seeds])
+                second = [_picked(s, x, picks[1]) for x in first]
                 rows.append((d, *_set_id(s), len(s), first.view(np.int64), [x.view(np.int64) for x in second]))
             cols = list(zip(*rows, strict=True))
             paths = pa.array(cols[4], pa.list_(pa.int64()))
