@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,13 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
     """Bytes of text in a table: one scan of one column, one row back."""
     return docs.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0
+
+
+def numbered(docs: DataFrame) -> Column:
+    """doc_id, or for rows without one a number from 2**62 on made of the text: they sort last, and equal texts share it."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 61)))
+
+
+def real_id(name: str) -> Column:
+    """A numbered id as it was: null where it is made up."""
+    return F.when(F.col(name) < 1 << 62, F.col(name)).alias(name)

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
-from attestra.llm._shared import written
+from attestra.llm._shared import numbered, real_id, written
 from attestra.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -203,15 +203,10 @@ def _compare(threshold: float):
     return run
 
 
-def _numbered(docs: DataFrame) -> Column:
-    """doc_id, or for rows without one a number over 2**62 made of the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 61)))
-
-
 def _joined(docs: DataFrame, words: int, threshold: float, recall: float, limit: int) -> DataFrame:
     """doc_id (numbered), copy_of, n_links, class_id."""
     runs = runs_needed(threshold, recall)
-    docs = docs.select(_numbered(docs).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(numbered(docs).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(docs.mapInArrow(_paths(words, runs, PICKS), "doc_id long, lo long, hi long, n long, paths array<long>, more array<array<long>>"), "sets")
     classes = sets.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("more").alias("more"))
     classes = written(classes, "classes")
@@ -250,12 +245,11 @@ def _joined(docs: DataFrame, words: int, threshold: float, recall: float, limit:
 
 def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = 0.999, limit: int = 64) -> DataFrame:
     """One row per document: doc_id, copy_of (smallest doc_id with an equal set), n_links (documents at or over the threshold), class_id (smallest doc_id reachable by links), kept."""
-    real = lambda c: F.when(F.col(c) < 1 << 62, F.col(c)).alias(c)
     out = _joined(docs, words, threshold, recall, limit)
-    return out.select(real("doc_id"), real("copy_of"), "n_links", real("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select(real_id("doc_id"), real_id("copy_of"), "n_links", real_id("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = 0.999, limit: int = 64) -> DataFrame:
     """The rows of ``docs``, with all their columns: the one with the smallest doc_id of each class; of rows with equal doc_id one."""
     keep = _joined(docs, words, threshold, recall, limit).where("doc_id = class_id").select(F.col("doc_id").alias("__number")).distinct()
-    return docs.withColumn("__number", _numbered(docs)).join(keep, "__number", "left_semi").dropDuplicates(["__number"]).drop("__number")
+    return docs.withColumn("__number", numbered(docs)).join(keep, "__number", "left_semi").dropDuplicates(["__number"]).drop("__number")

@@ -9,8 +9,8 @@ windows merge into maximal removal intervals, and those words go.
 
 A window's key has 72 hash bits beside the bucket number, which adds bits with the input.
 
-Defined cases: null or empty text has no words; a null doc_id sorts last (all
-such rows count as one document); rows that repeat a doc_id with the same text
+Defined cases: null or empty text has no words; rows without doc_id
+sort last (those with equal texts count as one document); rows that repeat a doc_id with the same text
 count as one document and each yields that document's row; input columns other
 than doc_id and text are ignored, so their names cannot clash.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
-from attestra.llm._shared import text_bytes
+from attestra.llm._shared import numbered, real_id, text_bytes
 
 _BUCKET_BYTES = 12 << 20  # of text, for each bucket of windows
 _GROUP_BYTES = 6 << 20  # of text, for each group of documents
@@ -123,7 +123,7 @@ def _kept(k: int):
         rows = []
         for i in range(len(doc)):
             a, b = word_at[i], word_at[i + 1]
-            spans = intervals(np.unique(pos[lo[i] : hi[i]]), k)
+            spans = [(x, min(y, b - a)) for x, y in intervals(np.unique(pos[lo[i] : hi[i]]), k) if x < b - a]
             at, parts, left = a, [], 0
             for x, y in [*spans, (b - a, b - a)]:
                 if a + x > at:  # words of one stretch, joined by one space whatever parted them
@@ -141,7 +141,7 @@ def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (text), spans (flat list of removed word intervals)."""
     size = text_bytes(docs)
     buckets, groups = max(64, size // _BUCKET_BYTES), max(64, size // _GROUP_BYTES)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(numbered(docs).alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeats = _repeats(groups)
 
     def bucket(key, table):
@@ -149,6 +149,7 @@ def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
 
     dealt = docs.mapInArrow(_windows(k, buckets, groups), "kind int, key int, doc binary, pos binary, h binary, x binary")
     gone = dealt.groupBy("kind", "key").applyInArrow(bucket, "key int, doc binary, pos binary")
-    at = F.coalesce("doc_id", F.lit(T.NULL_ID))
+    at = F.col("doc_id")
     keyed = docs.withColumn("key", F.pmod(at.bitwiseXOR(F.shiftright(at, 17)), F.lit(groups)).cast("int"))
-    return keyed.groupBy("key").cogroup(gone.groupBy("key")).applyInArrow(_kept(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")
+    out = keyed.groupBy("key").cogroup(gone.groupBy("key")).applyInArrow(_kept(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")
+    return out.select(real_id("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", "spans")
