@@ -12,11 +12,16 @@ def fragment(text: Column) -> Column:
 
 def check_digit(value: Column) -> Column:
     """ICAO 9303: weights 7, 3, 1 over 0-9, A=10 to Z=35, < = 0, modulo 10; null where another character occurs."""
-    c = lambda i: F.ascii(F.substring(value, i, F.lit(1)))
-    digit = lambda i: F.when(c(i).between(48, 57), c(i) - 48).when(c(i).between(65, 90), c(i) - 55).otherwise(0)
-    weight = lambda i: F.get(F.array(F.lit(7), F.lit(3), F.lit(1)), (i - 1) % 3)
-    total = F.aggregate(F.when(F.length(value) > 0, F.sequence(F.lit(1), F.length(value))).otherwise(F.array().cast("array<int>")), F.lit(0), lambda acc, i: acc + digit(i) * weight(i))
-    return F.when(value.rlike("^[A-Z0-9<]*$"), (total % 10).cast("string"))
+    def digit(c: Column, i: Column) -> Column:
+        n = F.ascii(c)
+        of = F.when(n.between(48, 57), n - 48).when(n.between(65, 90), n - 55).otherwise(0)
+        return of * F.get(F.array(F.lit(7), F.lit(3), F.lit(1)), i % 3)
+
+    def once(v: Column) -> Column:  # the value is bound, so that nested zones aren't computed again for each character
+        total = F.aggregate(F.transform(F.split(v, ""), digit), F.lit(0), lambda acc, x: acc + x)
+        return F.when(v.rlike("^[A-Z0-9<]*$"), (total % 10).cast("string"))
+
+    return F.transform(F.array(value), once)[0]
 
 
 def _bare(line: Column, start: int, n: int) -> Column:

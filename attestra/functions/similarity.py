@@ -13,7 +13,17 @@ from pyspark.sql import types as ST
 @F.pandas_udf(ST.DoubleType())
 def ratio(expected: pd.Series, detected: pd.Series) -> pd.Series:
     """2 M / T over matching blocks; the order of the arguments matters."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(expected, detected, strict=True)], dtype="float64")
+    out = [0.0] * len(expected)
+    match, last = SequenceMatcher(None), None
+    for i in detected.argsort():  # the matcher's index of one detected value serves all that it is compared with
+        a, b = expected.iat[i], detected.iat[i]
+        if a and b:
+            if b != last:
+                match.set_seq2(b)
+                last = b
+            match.set_seq1(a)
+            out[i] = match.ratio()
+    return pd.Series(out, dtype="float64")
 
 
 def scored_pairs(pairs: DataFrame, a: str, b: str, out: str = "score") -> DataFrame:

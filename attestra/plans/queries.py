@@ -118,8 +118,9 @@ def _td3(s, d) -> DataFrame:
     cd = mrz.check_digit
     a, b, c, e = F.concat(num, cd(num)), F.concat(birth, cd(birth)), F.concat(expiry, cd(expiry)), F.concat(opt, cd(opt))
     second = F.concat(a, F.lit("UZB"), b, F.lit("M"), c, e, cd(F.concat(a, b, c, e)))
-    wrong = F.concat(F.substring(second, 1, 19), ((F.substring(second, 20, 1).cast("int") + 1) % 10).cast(S), F.substring(second, 21, 24))
-    return t(s, d, "customer").select("*", first.alias("l1"), F.when(col("c_custkey") % 7 == 0, wrong).otherwise(second).alias("l2"))
+    wrong = F.concat(a, F.lit("UZB"), birth, ((cd(birth).cast("int") + 1) % 10).cast(S), F.lit("M"), c, e, cd(F.concat(a, b, c, e)))
+    lines = F.when(col("c_custkey") % 7 == 0, F.array(first, wrong)).otherwise(F.array(first, second))
+    return t(s, d, "customer").select("c_custkey", F.explode(F.array(lines)).alias("z")).select("c_custkey", col("z")[0].alias("l1"), col("z")[1].alias("l2"))
 
 
 @query("""select c_custkey, upper(c_mktsegment) surname, 'NAME ' || translate(c_nationkey::varchar, '0123456789', 'ABCDEFGHIJ') given_names, lpad(c_custkey::varchar, 9, '0') document_number, lpad((c_custkey % 1000000)::varchar, 6, '0') date_of_birth, 'M' sex, 'X1' optional_data, c_custkey % 7 <> 0 valid from customer""")
