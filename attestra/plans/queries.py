@@ -17,7 +17,7 @@ from attestra.functions import mrz, stats
 from attestra.functions import text as tx
 from attestra.functions.similarity import scored_pairs
 from attestra.operators import evaluation as ev
-from attestra.operators import layout, matcher, packing
+from attestra.operators import layout, line_matcher, matcher, packing, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -493,14 +493,47 @@ def matrix_expand(s, d):
 
 @query()
 def match_fields(s, d):
-    """Benchmark phrases as expected fields against the turns of conversations as recognised lines: ten fields a document."""
-    turns = t(s, d, "conversations").select(col("conv_id").cast(S).alias("doc_id"), col("turn").cast("int").alias("line_pos"), F.substring_index("text", "\n", 1).alias("text"), F.lit(0.9).alias("confidence"))
-    first = F.split(col("text"), " ")
-    fields = turns.select("doc_id", col("line_pos").alias("field_pos"), F.concat(F.lit("name_"), col("line_pos").cast(S)).alias("field"), F.array_join(F.slice(first, 2, 3), " ").alias("expected"))
-    return matcher.verify(turns, fields).drop("evidence")
+    """Three words of each conversation turn as expected values against the turns as recognised lines."""
+    lines, fields = _turns(s, d)
+    return matcher.verify(lines, fields).drop("evidence")
 
 
 @query()
 def similarity_ratio(s, d):
     p = _mutated(s, d).select("p_partkey", col("p_name").alias("a"), F.coalesce("seen", F.lit("")).alias("b"))
     return scored_pairs(p, "a", "b").select("p_partkey", F.round("score", 4).alias("score"))
+
+
+def _turns(s, d) -> tuple[DataFrame, DataFrame]:
+    """First lines of conversation turns, and three words of each as an expected value."""
+    turns = t(s, d, "conversations").select(col("conv_id").cast(S).alias("doc_id"), col("turn").cast("int").alias("line_pos"), F.substring_index("text", "\n", 1).alias("text"), F.lit(0.9).alias("confidence"))
+    fields = turns.select("doc_id", col("line_pos").alias("field_pos"), F.concat(F.lit("name_"), col("line_pos").cast(S)).alias("field"), F.array_join(F.slice(F.split(col("text"), " "), 2, 3), " ").alias("expected"))
+    return turns, fields
+
+
+@query()
+def match_fields_older(s, d):
+    return line_matcher.verify(*_turns(s, d))
+
+
+@query()
+def matcher_transitions(s, d):
+    """Status changes from the older matcher to the present one, on the same fields."""
+    lines, fields = _turns(s, d)
+    now = matcher.verify(lines, fields).select("doc_id", "field_pos", col("status").alias("now"))
+    old = line_matcher.verify(lines, fields).select("doc_id", "field_pos", col("status").alias("old"))
+    return old.join(now, ["doc_id", "field_pos"]).groupBy(F.concat_ws("->", "old", "now").alias("change")).agg(F.count("*").alias("n"))
+
+
+@query()
+def zone_reconstruct(s, d):
+    """Zone lines of customers, cut into three tokens each, joined again and read."""
+    z = _td3(s, d).select(col("c_custkey").cast(S).alias("sample_id"), F.posexplode(F.array("l1", "l2")).alias("line", "z"))
+    cut = F.array(*(F.struct(F.substring("z", a, 15).alias("text"), F.lit(a).alias("x1")) for a in (1, 16, 31)))
+    k = z.select("sample_id", (col("line") * 40 + 100).alias("center_y"), F.explode(cut).alias("c")).select("sample_id", "c.text", F.lit(0.9).alias("score"), "c.x1", "center_y", F.lit(20).alias("height"))
+    b = zones.zone_blocks(zones.zone_lines(k), (2,))
+    fields, checks = mrz.td3(col("lines")[0], col("lines")[1])
+    return b.select(col("sample_id").cast(L).alias("c_custkey"), fields["surname"].alias("surname"), fields["document_number"].alias("document_number"), mrz.all_passed(checks).alias("valid"))
+
+
+ORACLE["zone_reconstruct"] = "select c_custkey, upper(c_mktsegment) surname, lpad(c_custkey::varchar, 9, '0') document_number, c_custkey % 7 <> 0 valid from customer"

@@ -41,3 +41,13 @@ def test_check_digit(spark, digits, want):
     from attestra.functions import mrz
 
     assert spark.range(1).select(mrz.check_digit(F.lit(digits)).alias("c")).first().c == want
+
+
+def test_older_matcher(spark):
+    from attestra.operators import line_matcher
+
+    lines = spark.createDataFrame([("d", 0, "JOHN"), ("d", 1, "AK"), ("d", 2, "MAL"), ("d", 3, "01/02/1995"), ("e", 0, "JOHN")], "doc_id string, line_pos int, text string")
+    fields = spark.createDataFrame([("d", 0, "given", "JOHN"), ("d", 1, "surname", "AKMAL"), ("d", 2, "birth", "01.02.1995"), ("e", 0, "name", "JOHN"), ("e", 1, "surname", "JOHN")], "doc_id string, field_pos int, field string, expected string")
+    got = {(r.doc_id, r.field): (r.detected, r.status) for r in line_matcher.verify(lines, fields).collect()}
+    assert got["d", "given"] == ("JOHN", "match") and got["d", "surname"] == ("AK MAL", "match") and got["d", "birth"] == ("01/02/1995", "match")
+    assert sorted(v[1] for (d, _), v in got.items() if d == "e") == ["match", "not_found"]
