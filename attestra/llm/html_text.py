@@ -184,24 +184,28 @@ def observe(page: Page) -> list[tuple]:
         link[parent[i]] += link[i]
     total = max(1, size[0])
     out, seen, depth, inside = [], 0, [0] * n, [()] * n
+    bare = "body" not in page.tags  # then the root stands for it
     for i in range(n):
         p = parent[i]
         means = _means(page.attrs[i])
         if i:
             depth[i] = depth[p] + 1
-            inside[i] = inside[p] or means
+            inside[i] = means or inside[p]
         s = size[i]
         bucket = 0 if s == 0 else 1 if s < 25 else 2 if s < 80 else 3 if s < 300 else 4
         density = 0 if s == 0 else 1 + min(3, 4 * link[i] // s)
         share = 3 * size[i] // total if size[i] * 3 >= total else 0
-        out.append((page.tags[i], means, bucket, density, min(depth[i], 6), 4 * seen // total, min(share, 2), page.tags[p] if i else ""))
+        held = page.own[i] and (1 if page.own[i] < 25 else 2 if page.own[i] < 80 else 3)
+        tag, depth[i] = ("body", 1) if bare and not i else (page.tags[i], depth[i])
+        above = "html" if bare and not i else page.tags[p] if i else ""
+        out.append((tag, means, bucket, density, min(depth[i], 6), 4 * seen // total, min(share, 2), "body" if above == "html" and bare and i else above, held, inside[p] if i else ()))
         seen += page.own[i]
     return out
 
 
 def _features(key: tuple) -> list[str]:
-    tag, means, bucket, density, depth, place, share, above = key
-    return ["bias", f"t:{tag}", f"s:{bucket}", f"l:{density}", f"d:{depth}", f"p:{min(place, 3)}", f"w:{share}", f"u:{above}", f"sl:{bucket}{density}", f"ts:{tag}:{bucket}", f"tu:{tag}:{above}", f"n:{len(means) > 0}", *(f"m:{m}" for m in means), *(f"m:{m}:{tag in ('div', 'section')}" for m in means)]
+    tag, means, bucket, density, depth, place, share, above, held, inside = key
+    return ["bias", f"t:{tag}", f"s:{bucket}", f"l:{density}", f"d:{depth}", f"p:{min(place, 3)}", f"w:{share}", f"u:{above}", f"sl:{bucket}{density}", f"ts:{tag}:{bucket}", f"tu:{tag}:{above}", f"n:{len(means) > 0}", f"o:{held}", *(f"in:{k}" for k in inside or ("none",)), *(f"it:{k}:{tag}" for k in inside or ("none",)), f"up:{above}:{tag}:{bucket < 2}", f"ot:{held}:{tag}", f"ow:{held}:{share}", f"op:{held}:{'plain' if not means else 'named'}:{tag in ('div', 'section', 'body', 'html', 'article')}", *(f"m:{m}" for m in means), *(f"m:{m}:{tag in ('div', 'section')}" for m in means)]
 
 
 class Model:
@@ -296,13 +300,13 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
         elif kind == "head":
             el(tag, 0, lambda: (el(r.choice(("h1", "div", "p", "span")), 0, words(1, 5)), linklist() if r.random() < 0.5 else None), attr)
         elif kind == "foot":
-            el(tag, 0, lambda: r.choice((sentence, linklist, lambda: out.append("&copy; " + words(3, 15)), lambda: (sentence(), linklist())))(), attr)
+            el(tag, 0, lambda: r.choice((sentence, linklist, lambda: out.append("&copy; " + words(3, 30)), lambda: (sentence(), linklist())))(), attr)
         elif kind == "side":
             el(tag, 0, lambda: (el("h3", 0, words(1, 4)), r.choice((linklist, sentence, linklist))()), attr)
         elif kind in ("ad", "note"):
             el(tag, 0, r.choice((lambda: out.append(words(3, 35)), sentence, lambda: (sentence(), el("button", 0, words(1, 2))), lambda: el("a", 0, words(2, 9), 'href="/x"'))), attr)
         elif kind == "form":
-            el(tag, 0, lambda: (el("label", 0, words(1, 4)), out.append('<input type="text">'), el("button", 0, words(1, 2))), attr)
+            el(tag, 0, lambda: (el(r.choice(("label", "p", "h3")), 0, words(1, 9)), out.append('<input type="text">'), el("button", 0, words(1, 2))), attr)
         else:
             def talk() -> None:
                 el(r.choice(("h2", "h3")), 0, words(1, 3))
@@ -312,12 +316,18 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
 
     def article() -> None:
         if r.random() < 0.85:
-            if r.random() < 0.2:
-                el("header", 1, lambda: el("h1", 1, words(2, 12)))
+            if r.random() < 0.3:
+                el("header", 1, lambda: (el("h1", 1, words(2, 12)), furniture("share") if r.random() < 0.3 else None))
             else:
                 el(r.choice(("h1", "h1", "h2")), 1, words(2, 12))
+        if r.random() < 0.12:  # bare text in the container itself
+            for _ in range(r.randint(1, 6)):
+                out.append(words(4, 60) + r.choice(("<br><br>", "<br>", " ")))
+                if r.random() < 0.2:
+                    furniture(r.choice(("ad", "share", "note")))
+            return
         most = r.choice((90, 90, 30, 3))  # some articles have only short paragraphs, and many
-        for _ in range(r.randint(1, 14 if most > 3 else 50)):
+        for _ in range(1 if r.random() < 0.2 else r.randint(1, 14 if most > 3 else 50)):
             x = r.random()
             if x < (0.72 if most > 3 else 0.9):
                 def para() -> None:
@@ -343,10 +353,19 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
                 el("figure", 1, lambda: el("figcaption", 1, words(3, 10)))
             else:
                 furniture(r.choice(("ad", "share", "form", "side", "note")))
-        if r.random() < 0.15:
-            furniture(r.choice(("talk", "share")))
+        for kind in ("talk", "share", "form"):
+            if r.random() < 0.12:
+                furniture(kind)
 
     def body() -> None:
+        if r.random() < 0.06:  # nothing but an article
+            inner = r.choice((article, lambda: out.append(words(5, 80)), lambda: el("p", 1, words(5, 80))))
+            if r.random() < 0.6:
+                el(r.choice(("div", "article", "main", "section")), 1, inner)
+            else:
+                labels[1] = 1  # the body is the article
+                inner()
+            return
         for kind in ("note", "head", "nav", "ad", "side"):
             if r.random() < {"note": 0.25, "head": 0.45, "nav": 0.7, "ad": 0.45, "side": 0.3}[kind]:
                 furniture(kind)
@@ -379,7 +398,7 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
     return f'<!DOCTYPE html><html lang="en"><head><title>{words(1, 4)}</title></head>{"".join(out)}</html>', labels
 
 
-def train(pages: int = 700, rounds: int = 5, seed: int = 3) -> Model:
+def train(pages: int = 1600, rounds: int = 6, seed: int = 3) -> Model:
     """Stochastic gradient on the log likelihood of labelled trees; expectations from the messages are exact."""
     r = random.Random(seed)
     data = []
@@ -413,7 +432,7 @@ def train(pages: int = 700, rounds: int = 5, seed: int = 3) -> Model:
                         step[a][c] += (a == yp and c == yc) - both[a][c] / z
             for a in (0, 1):
                 for c in (0, 1):
-                    pair[a][c] = max(-6.0, min(6.0, pair[a][c] + rate * 0.02 * step[a][c]))
+                    pair[a][c] = max(-6.0, min(6.0, pair[a][c] + rate * 0.05 * step[a][c]))
     return Model(w, pair)
 
 
