@@ -1,12 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks choose which of a few consecutive word positions count; words at the
-other positions may be anything. The two masks here hit every stretch of 13
-words with at most two substitutions, wherever those are. Hashes of the masked
+other positions may be anything. The four masks here hit every stretch of 13 or more
+words with at least 0.8 equal ones, wherever the others are. Hashes of the masked
 words join test items and documents; around each hit the two word sequences are
-compared along the diagonal, and every maximal stretch of at least ``min_words``
-words (or a whole shorter item) with at least ``share`` equal words is an overlap.
-Items shorter than the widest mask are looked up whole.
+compared along the diagonal, and the longest stretch of at least ``min_words``
+words (or a whole shorter item) with at least ``share`` equal words is an overlap,
+then the longest on each side of it, and so on. Unequal words at its ends are cut
+off as far as the least length allows. Shorter items have masks of their own: one
+part more than words may differ, so that one part is equal. A ``share`` under 0.8
+or ``min_words`` under 13 is compared the same, but the masks may miss some.
 
 The test set is a query set against all rows: it is broadcast in blocks of at
 most BLOCK_BYTES of text, so one pass over the documents serves a block.
@@ -19,6 +22,7 @@ pair's row but n_overlaps; other input columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
 
-MASKS = ("10111011", "1011000111")
+MASKS = ("10111011", "1011000111", "101100001011", "11111001")
+LEAST = 13
 #: Bytes of test-set text broadcast at once.
 BLOCK_BYTES = 4 << 20
 _BITS = 24
@@ -62,23 +67,27 @@ def _seeds(w: np.ndarray, of: np.ndarray, masks: list[str]) -> tuple[np.ndarray,
 
 
 def _stretches(equal: np.ndarray, share: float, least: int) -> list[tuple[int, int]]:
-    """Maximal-sum stretches, equal words counting 1 and others so that a sum of 0 is ``share``."""
+    """The longest stretch of at least ``least`` words with at least ``share`` equal ones, then the same on both sides of it."""
+    part = Fraction(share).limit_denominator(10**6)
+    value = np.where(equal, part.denominator - part.numerator, -part.numerator)
     out, todo = [], [(0, len(equal))]
-    value = np.where(equal, 1.0, -share / (1 - share)) if share < 1 else np.where(equal, 1.0, -np.inf)
     while todo:
         a, b = todo.pop()
         if b - a < least:
             continue
-        best, run, at, span = 0.0, 0.0, a, None
-        for i in range(a, b):
-            if run <= 0:
-                run, at = 0.0, i
-            run += value[i]
-            if run > best:
-                best, span = run, (at, i + 1)
-        if span and span[1] - span[0] >= least:
-            out.append(span)
-            todo += [(a, span[0]), (span[1], b)]
+        total = np.r_[0, np.cumsum(value[a:b])]
+        low = np.minimum.accumulate(total)
+        start = np.searchsorted(-low, -total)  # the first place whose sum is not above
+        end = int(np.argmax(np.arange(len(total)) - start))
+        x, y = a + int(start[end]), a + end
+        if y - x < least:
+            continue
+        while y - x > least and not equal[y - 1]:
+            y -= 1
+        while y - x > least and not equal[x]:
+            x += 1
+        out.append((x, y))
+        todo += [(a, x), (y, b)]
     return out
 
 
@@ -114,7 +123,13 @@ def _finder(min_words: int, share: float, block):
     return find
 
 
-def _blocks(items: DataFrame) -> list:
+def _short_masks(m: int, share: float) -> list[str]:
+    """Masks as wide as an item of m words, in parts of neighbouring words: one part more than words may differ."""
+    parts = int((1 - Fraction(share).limit_denominator(10**6)) * m) + 1
+    return ["".join("01"[i * parts // m == k] for i in range(m)) for k in range(parts)]
+
+
+def _blocks(items: DataFrame, share: float) -> list:
     """The test set in broadcast blocks of about BLOCK_BYTES of text: names, word hashes, first words, sorted keys and their places, masks."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
@@ -123,14 +138,14 @@ def _blocks(items: DataFrame) -> list:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         rows = sorted({(r["item_id"], r["text"]) for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         w, of, first = _hashed([r[1] for r in rows])
-        short = sorted({int(n) for n in np.diff(first) if 0 < n < max(map(len, MASKS))})
+        short = [x for m in sorted({int(n) for n in np.diff(first) if 0 < n < LEAST}) for x in _short_masks(m, share)]
         at, keys = _seeds(w, of, list(MASKS))
         for i, m in enumerate(short):  # whole short items only
-            a, h = _masked(w, of, "1" * m, 1 + len(MASKS) + i)
-            whole = np.diff(first)[of[a]] == m
+            a, h = _masked(w, of, m, 1 + len(MASKS) + i)
+            whole = np.diff(first)[of[a]] == len(m)
             at, keys = np.r_[at, a[whole]], np.r_[keys, h[whole]]
         order = np.argsort(keys, kind="stable")
-        out.append(items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], w, first, keys[order], at[order], [*MASKS, *("1" * m for m in short)])))
+        out.append(items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], w, first, keys[order], at[order], [*MASKS, *short])))
     return out
 
 
@@ -148,7 +163,7 @@ def overlaps(docs: DataFrame, items: DataFrame, min_words: int = 13, share: floa
 
         return run
 
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(scan(_finder(min_words, share, b)), _OUT) for b in _blocks(items)])
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(scan(_finder(min_words, share, b)), _OUT) for b in _blocks(items, share)])
 
 
 def clean(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float = 0.8) -> DataFrame:
@@ -163,7 +178,7 @@ def clean(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float =
 
         return run
 
-    for b in _blocks(items):
+    for b in _blocks(items, share):
         docs = docs.mapInArrow(keep(_finder(min_words, share, b)), docs.schema)
     return docs
 

@@ -154,6 +154,55 @@ def test_decontaminate_in_blocks(spark, docs, monkeypatch):
     assert whole.sort_values(key).values.tolist().__repr__() == parts.sort_values(key).values.tolist().__repr__()
 
 
+def test_decontaminate_short_items_with_substitutions(spark):
+    """Items of 5 to 20 words with any one or two words changed, against the count of equal words."""
+    docs, items, want = [], [], set()
+    for n in (5, 9, 10, 12, *range(13, 21)):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for pair in {tuple(sorted({a, b})) for a in range(n) for b in range(n)}:
+            d = len(docs)
+            docs.append((d, " ".join(["before", *("zz" if i in pair else w for i, w in enumerate(item)), "after"])))
+            # a whole item, or its longest 13 words or more
+            if any(5 * sum(i not in pair for i in range(x, y)) >= 4 * (y - x) for x in range(n) for y in range(x + min(13, n), n + 1)):
+                want.add((d, n))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == set(range(docs.count())) - {d for d, _ in want}
+
+
+def test_stretches_are_the_longest():
+    r = np.random.default_rng(3)
+    for n in range(13, 60):
+        equal = r.random(n) < 0.8
+        fits = [(y - x, -x) for x in range(n) for y in range(x + 13, n + 1) if 5 * int(equal[x:y].sum()) >= 4 * (y - x)]
+        got = decontaminate._stretches(equal, 0.8, 13)
+        assert bool(got) == bool(fits)
+        if fits:
+            x, y = -max(fits)[1], max(fits)[0] - max(fits)[1]
+            while y - x > 13 and not equal[y - 1]:
+                y -= 1
+            while y - x > 13 and not equal[x]:
+                x += 1
+            assert (x, y) in got
+        assert all(5 * int(equal[x:y].sum()) >= 4 * (y - x) and y - x >= 13 for x, y in got)
+
+
+def test_masks_hit_every_stretch_of_the_share():
+    """No sequence that all masks miss has 13 words or more with 0.8 equal (the most equal words by length, over the last twelve)."""
+    masks, most = [(len(m), int(m, 2)) for m in decontaminate.MASKS], {0: 0}
+    for n in range(1, 61):
+        grown = {}
+        for last, equal in most.items():
+            for bit in (0, 1):
+                now = (last << 1 | bit) & 4095
+                if not any(n >= width and now & m == m for width, m in masks):
+                    grown[now] = max(grown.get(now, 0), equal + bit)
+        most = grown
+        assert n < 13 or 5 * max(most.values()) < 4 * n
+
+
 # ---- 6 ----
 
 
