@@ -3,10 +3,9 @@
 The model scores whole candidate spans of one to seven tokens around tokens that
 hold a digit, an ``@`` or a spelt-out ``(at)``; features look at the span as a
 whole and at the word before it. Boundaries and types are chosen together by
-dynamic programming over (token, entities so far), at most MAX_ENTITIES in one
-run; where a stretch of text has more, the next run starts where that one
-ended. Spans that the rules found stay; a span of the model that overlaps one of
-them is not added.
+dynamic programming over the tokens, however many entities a text has. Spans
+that the rules found stay; a span of the model that overlaps one of them is not
+added.
 
 The weights are trained here, by the exact likelihood of segmentations, on
 sentences written by a seeded generator (``examples``).
@@ -24,7 +23,6 @@ import random
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +31,6 @@ from attestra.llm import _text as T
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 7
-MAX_ENTITIES = 32
 
 # The base patterns.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -191,35 +188,24 @@ def decode(spans: list[tuple[int, int, int, int, int, float]]) -> list[tuple[int
         while stop < len(spans) and spans[stop][0] < reach:
             reach, stop = max(reach, spans[stop][1]), stop + 1
         part, at = spans[at:stop], stop
-        while part:
-            most = min(MAX_ENTITIES, len(part))
-            hi = max(s[1] for s in part)
-            best = np.full((hi - low + 1, most + 1), -np.inf)
-            best[:, 0] = 0
-            back: dict[tuple[int, int], tuple | None] = {}
-            by_end: dict[int, list] = {}
-            for s in part:
-                by_end.setdefault(s[1], []).append(s)
-            for i in range(low + 1, hi + 1):
-                best[i - low, 1:] = best[i - 1 - low, 1:]
-                for s in by_end.get(i, ()):
-                    for e in range(1, most + 1):
-                        v = best[s[0] - low, e - 1] + s[5]
-                        if v > best[i - low, e]:
-                            best[i - low, e] = v
-                            back[i, e] = s
-            e = int(np.argmax(best[-1]))
-            full, i, chosen = e == MAX_ENTITIES, hi, []
-            while e:
-                while best[i - 1 - low, e] == best[i - low, e] and (i, e) not in back:
-                    i -= 1
-                s = back[i, e]
-                chosen.append(s)
-                i, e = s[0], e - 1
-            chosen.reverse()
-            out += [(s[4], s[2], s[3]) for s in chosen]
-            low = chosen[-1][1] if chosen else hi
-            part = [s for s in part if s[0] >= low] if full else []
+        by_end: dict[int, list] = {}
+        for s in part:
+            by_end.setdefault(s[1], []).append(s)
+        best, back = [0.0], [None]
+        for i in range(low + 1, reach + 1):
+            value, last = best[-1], None
+            for s in by_end.get(i, ()):
+                if best[s[0] - low] + s[5] > value:
+                    value, last = best[s[0] - low] + s[5], s
+            best.append(value)
+            back.append(last)
+        i, chosen = reach, []
+        while i > low:
+            s = back[i - low]
+            if s:
+                chosen.append((s[4], s[2], s[3]))
+            i = s[0] if s else i - 1
+        out += chosen[::-1]
     return out
 
 

@@ -238,6 +238,19 @@ def test_pii_decoding_is_optimal():
         assert math.isclose(sum(value[x] for x in pii.decode(spans)), best(0), abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("n", [33, 40, 64, 100, 200])
+def test_pii_decoding_of_long_chains(n):
+    """Chains of n entities with crossing spans between them, of unequal gain, against the best sum by recursion."""
+    r = random.Random(n)
+    for gain in (lambda i: 8.0 if i % 2 else 6.0, lambda i: r.uniform(4, 9)):
+        spans = [(3 * i, 3 * i + 3, 3 * i, 3 * i + 3, 0, gain(i)) for i in range(n)] + [(3 * i + 2, 3 * i + 5, 3 * i + 2, 3 * i + 5, 1, r.uniform(0.5, 2)) for i in range(n - 1)]
+        best = [0.0] * (3 * n + 1)
+        for at in range(3 * n - 1, -1, -1):
+            best[at] = max([best[at + 1], *(s[5] + best[s[1]] for s in spans if s[0] == at)])
+        value, got = {(s[4], s[2], s[3]): s[5] for s in spans}, pii.decode(spans)
+        assert got == [(0, 3 * i, 3 * i + 3) for i in range(n)] and math.isclose(sum(value[x] for x in got), best[0])
+
+
 # ---- 7 ----
 
 
