@@ -18,7 +18,7 @@ not allow it):
 alpha(h) makes the sum over all words and the unknown one exactly 1; s(h) is 1
 but where nothing would be left to back off with, then c(h) / (c(h) + 1). The
 first word's history is the start of the text; each text ends with an end token.
-Pairs seen once back off, as large models do; CUTOFF is a parameter.
+Every pair that was seen is in the model; CUTOFF is a parameter.
 
 Words and pairs are 64-bit hashes. The model's tables are written, partitioned by
 table and bucket: words (hash, count), pairs (hash, count from CUTOFF on) and
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from attestra.llm import _text as T
 from attestra.llm._shared import new_path, text_bytes, written
 
-CUTOFF, K = 2, 5
+CUTOFF, K = 1, 5
 _CHUNK_BYTES = 12 << 20
 _BUCKET_BYTES = 8 << 20
 _C = np.uint64(0x9FB21C651E98DF25)

@@ -291,6 +291,14 @@ def test_katz(spark, docs, cutoff):
     assert {r.kind for r in tables.select("kind").distinct().collect()} == {"word", "pair", "history"}
 
 
+def test_katz_keeps_pairs_seen_once(spark):
+    d = spark.createDataFrame([(1, "a b c d"), (2, "a c b d"), (3, "b a d c")], "doc_id long, text string")
+    scores, tables = katz.model_and_scores(d, F.lit(False))
+    kept = sum(len(katz.T.unpack(bytes(r.a), np.uint32)) for r in tables.where("kind = 'pair'").collect())
+    assert kept == len({x for t in ("a b c d", "a c b d", "b a d c") for w in [["<s>", *t.split(), "</s>"]] for x in zip(w, w[1:])})
+    assert [r.score for r in scores.orderBy("doc_id").collect()] == [r.score for r in katz.model_and_scores(d, F.lit(False), 1)[0].orderBy("doc_id").collect()]
+
+
 def test_katz_without_documents(spark, empty):
     assert katz.model_and_scores(empty, F.lit(False))[0].count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
