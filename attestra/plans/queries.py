@@ -505,10 +505,13 @@ def similarity_ratio(s, d):
 
 
 def _turns(s, d) -> tuple[DataFrame, DataFrame]:
-    """First lines of conversation turns, and three words of each as an expected value."""
-    turns = t(s, d, "conversations").select(col("conv_id").cast(S).alias("doc_id"), col("turn").cast("int").alias("line_pos"), F.substring_index("text", "\n", 1).alias("text"), F.lit(0.9).alias("confidence"))
-    fields = turns.select("doc_id", col("line_pos").alias("field_pos"), F.concat(F.lit("name_"), col("line_pos").cast(S)).alias("field"), F.array_join(F.slice(F.split(col("text"), " "), 2, 3), " ").alias("expected"))
-    return turns, fields
+    """Every line of conversation turns, numbered through each conversation, and three words of each turn's first line as an expected value."""
+    turns = t(s, d, "conversations").select(col("conv_id").cast(S).alias("doc_id"), col("turn").cast("int").alias("turn"), "text")
+    lines = turns.select("doc_id", "turn", F.posexplode(F.split("text", "\n")).alias("part", "text"))
+    lines = lines.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("turn", "part", "text")).alias("line_pos"), "text", F.lit(0.9).alias("confidence"))
+    first = F.substring_index("text", "\n", 1)
+    fields = turns.select("doc_id", col("turn").alias("field_pos"), F.concat(F.lit("name_"), col("turn").cast(S)).alias("field"), F.array_join(F.slice(F.split(first, " "), 2, 3), " ").alias("expected"))
+    return lines, fields
 
 
 @query()

@@ -51,3 +51,14 @@ def test_older_matcher(spark):
     got = {(r.doc_id, r.field): (r.detected, r.status) for r in line_matcher.verify(lines, fields).collect()}
     assert got["d", "given"] == ("JOHN", "match") and got["d", "surname"] == ("AK MAL", "match") and got["d", "birth"] == ("01/02/1995", "match")
     assert sorted(v[1] for (d, _), v in got.items() if d == "e") == ["match", "not_found"]
+
+
+def test_every_line_of_a_turn(spark, tmp_path):
+    from attestra.plans import queries as q
+
+    spark.createDataFrame([("c", 0, "u", "say one two three\n\nfour five"), ("c", 1, "u", "six seven eight nine"), ("e", 0, "u", None)], "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    lines, fields = q._turns(spark, str(tmp_path))
+    assert [(r.line_pos, r.text) for r in lines.where("doc_id = 'c'").orderBy("line_pos").collect()] == [(1, "say one two three"), (2, ""), (3, "four five"), (4, "six seven eight nine")]
+    assert {(r.doc_id, r.field_pos, r.expected) for r in fields.where("doc_id = 'c'").collect()} == {("c", 0, "one two three"), ("c", 1, "seven eight nine")}
+    found = M.verify(lines, spark.createDataFrame([("c", 0, "name", "four five")], "doc_id string, field_pos int, field string, expected string")).first()
+    assert (found.detected, found.status) == ("four five", "match")
