@@ -4,10 +4,13 @@ Vectors of one label form a neighbour graph. It starts from the leaves of a few
 random-hyperplane trees and is refined: each node gathers its neighbours and some
 reverse neighbours, compares them with each other, and every list keeps its best.
 A list that is full of links (cosine at or over the threshold) may hide more, so
-it becomes GROW times as long. Refinement ends when no list is full and an audit
-(exact neighbours of a hashed sample of vectors, found by comparing them with
-every vector) shows the target recall. Links are the edges at or over the
-threshold, in double precision.
+it becomes GROW times as long, once. Refinement ends when an audit (exact
+neighbours of a hashed sample of vectors, found by comparing them with every
+vector) shows the target recall, as the mean over nodes with links, in every
+audited label; where a round stops improving, fresh trees join the next one.
+What is left is compared exactly, in pairs of blocks: labels under the target
+with all their nodes, and nodes whose long list is full as well (dense clusters).
+Links are the edges at or over the threshold, in double precision.
 
 Equal vectors under one label are one node from the start.
 
@@ -32,6 +35,8 @@ from attestra.llm.components import components
 
 GROW = 8
 _TASK_ROWS = 20_000
+_BLOCK = 2048
+_STALLED = 0.002
 _LIST = "rep long, nbr binary, sim binary"
 
 
@@ -131,7 +136,7 @@ def _merged(parts: list, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(nbr[at]), np.ascontiguousarray(sim[at])
 
 
-def _improve(threshold: float):
+def _improve(threshold: float, most: int):
     """New lists of nodes: the best of the old one and the candidates; a list full of links grows."""
 
     def run(left, right):
@@ -142,7 +147,7 @@ def _improve(threshold: float):
         for r, k, n, s in zip(*(left.column(c).to_pylist() for c in ("rep", "k", "nbr", "sim")), strict=True):
             old = np.frombuffer(n or b"", np.int64)
             nbr, sim = _merged([(old, np.frombuffer(s or b"", np.float64)), *more.get(r, [])], k, r)
-            full = len(nbr) >= k and bool(sim[-1] >= threshold)
+            full = k < most and len(nbr) >= k and bool(sim[-1] >= threshold)
             for c, v in zip(out, (nbr.tobytes(), sim.tobytes(), k * GROW if full else k, full, len(np.setdiff1d(nbr, old))), strict=True):
                 out[c].append(v)
         types = {"nbr": pa.binary(), "sim": pa.binary(), "k": pa.int32(), "full": pa.bool_(), "changed": pa.int64()}
@@ -175,32 +180,98 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate(n)), pa.array(np.concatenate(s))], names=["a", "b", "sim"])
 
 
-def audit_recall(state: DataFrame, dtype, threshold: float, sample: int = 2048) -> float:
-    """Share of the links of a hashed sample of nodes that their lists hold; the sample meets every node, in blocks."""
-    chosen = state.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(sample).select("rep", "g", "v", "nbr", "sim").collect()
-    if not chosen:
-        return 1.0
-    spark = state.sparkSession
-    held = sum(int((np.frombuffer(r["sim"] or b"", np.float64) >= threshold).sum()) for r in chosen)
-    queries = spark.sparkContext.broadcast([(r["rep"], r["g"], bytes(r["v"])) for r in chosen])
+def _held(threshold: float):
+    """Each node with the number of links in its list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [int((np.frombuffer(b or b"", np.float64) >= threshold).sum()) for b in batch.column("sim").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "g", "w", "v")), pa.array(held, pa.int64())], names=["rep", "g", "w", "v", "held"])
+
+    return run
+
+
+_HELD = "rep long, g long, w long, v binary, held long"
+
+
+def audit_recall(state: DataFrame, dtype, threshold: float, dense: int, sample: int = 2048) -> dict[int, list[float]]:
+    """By label, for each node with links of a hashed sample: the share of them in its list. The sample meets every node, in blocks; dense nodes are compared exactly later."""
+    held = state.select("rep", "g", "w", "v", "sim").mapInArrow(_held(threshold), _HELD)
+    chosen = held.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(sample).select("rep", "g", "v", "held").collect()
+    queries = state.sparkSession.sparkContext.broadcast([(r["rep"], r["g"], bytes(r["v"])) for r in chosen if r["held"] < dense])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple, list] = {}
         for rep, g, v in queries.value:
             groups.setdefault((g, len(v)), []).append((rep, v))
         ready = {k: (np.array([r for r, _ in q]), _unit([v for _, v in q], dtype)) for k, q in groups.items()}
+        total: dict[int, int] = {}
         for batch in batches:
             rep, g, blobs = batch.column("rep").to_numpy(), batch.column("g").to_numpy(), batch.column("v").to_pylist()
-            size, n = np.array([len(b) for b in blobs]), 0
+            size = np.array([len(b) for b in blobs])
             for (label, length), (names, q) in ready.items():
                 at = np.flatnonzero((g == label) & (size == length))
                 if len(at):
-                    near = _unit([blobs[i] for i in at], dtype) @ q.T >= threshold
-                    n += int(near.sum()) - int((near & (rep[at][:, None] == names[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+                    near = (_unit([blobs[i] for i in at], dtype) @ q.T >= threshold) & (rep[at][:, None] != names[None, :])
+                    for r, n in zip(names.tolist(), near.sum(0).tolist(), strict=True):
+                        if n:
+                            total[r] = total.get(r, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["rep", "n"])
+
+    real = {r["rep"]: r["n"] for r in state.select("rep", "g", "v").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).collect()}
+    out: dict[int, list[float]] = {}
+    for r in chosen:
+        if r["held"] >= dense:
+            out.setdefault(r["g"], []).append(1.0)
+        elif n := real.get(r["rep"]):
+            out.setdefault(r["g"], []).append(min(1.0, r["held"] / n))
+    return out
+
 
-    real = state.select("rep", "g", "v").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
-    return min(1.0, held / real) if real else 1.0
+def _block(key, table):
+    """Nodes of one block in one row."""
+    blobs = [bytes(b) for b in table.column("v").to_pylist()]
+    parts = [table.column(c).to_numpy().astype(np.int64).tobytes() for c in ("rep", "w", "exact")]
+    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("rep", "w", "exact", "v"), (*parts, b"".join(blobs)), strict=True)}})
+
+
+def _between(threshold: float, dtype):
+    """Links of a block's exact nodes with another block: the weight of each one's links, links of the other nodes, and each linked node with the smallest id it is connected to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b, w, exact = (np.frombuffer(row[c], np.int64) for c in ("rep", "other", "other_w", "other_exact"))
+                x, y = (_unit([v[i * (len(v) // n) : (i + 1) * (len(v) // n)] for i in range(n)], dtype) for v, n in ((row["v"], len(a)), (row["other_v"], len(b))))
+                near = (x @ y.T >= threshold) & (a[:, None] != b[None, :])
+                i, j = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if not len(i):
+                    continue
+                near, a, b, w, exact = near[np.ix_(i, j)], a[i], b[j], w[j], exact[j]
+                left, right = a, b
+                while True:
+                    new = np.minimum(left, np.where(near, right[None, :], np.iinfo(np.int64).max).min(1))
+                    down = np.minimum(right, np.where(near, new[:, None], np.iinfo(np.int64).max).min(0))
+                    if (new == left).all() and (down == right).all():
+                        break
+                    left, right = new, down
+                p, q = np.nonzero(near & (exact == 0)[None, :])
+                found = [("count", a, a, near @ w), ("link", b[q], a[p], np.zeros(len(p), np.int64)), ("edge", np.r_[a, b], np.r_[left, right], np.zeros(len(a) + len(b), np.int64))]
+                for kind, c, d, n in found:
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(c), pa.string()), pa.array(c), pa.array(d), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "n"])
+
+    return run
+
+
+def exact_links(nodes: DataFrame, threshold: float, dtype) -> DataFrame:
+    """kind, a, b, n: links of the nodes with ``exact``, found by comparing them with every node of their label, in pairs of blocks."""
+    sizes = nodes.groupBy("g").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"), F.ceil(F.sum("exact") / _BLOCK).alias("lefts")).where("lefts > 0")
+    nodes = nodes.join(sizes, "g")
+    row = "g long, block long, rep binary, w binary, exact binary, v binary"
+    dealt = lambda df, n: df.select("g", F.pmod(F.xxhash64("rep"), F.col(n)).cast("long").alias("block"), "rep", "w", "exact", "v").groupBy("g", "block").applyInArrow(_block, row)
+    right = written(dealt(nodes, "blocks"), "blocks").select("g", "block", *(F.col(c).alias("other" if c == "rep" else f"other_{c}") for c in ("rep", "w", "exact", "v")))
+    left = written(dealt(nodes.where("exact = 1"), "lefts"), "exact-blocks").join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "rep", "v")
+    return written(left.join(right, ["g", "block"]).mapInArrow(_between(threshold, dtype), "kind string, a long, b long, n long"), "exact-links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, trees: int = 5, leaf: int = 48, target: float = 0.995, least_rounds: int = 2, most_rounds: int = 12) -> tuple[DataFrame, list[float]]:
@@ -214,12 +285,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, tr
     n_nodes = nodes.count()
     tasks = max(24, n_nodes * 3 * k // _TASK_ROWS)
     sizes = nodes.groupBy("g").agg(F.count("*").alias("n"))
-    start = written(nodes.join(sizes, "g").select("rep", "g", "w", "v", "n").mapInArrow(_leaves(trees, leaf, dtype, 13), "rep long, g long, w long, v binary, leaves array<long>"), "leaves")
-    # a leaf that many vectors share (a dense cluster) is cut at random; refinement brings its parts together
-    placed = start.select("rep", "v", F.explode("leaves").alias("hub"))
-    big = placed.groupBy("hub").count().where(F.col("count") > 2 * leaf)
-    placed = placed.join(big, "hub", "left").withColumn("hub", F.when(F.col("count").isNull(), F.col("hub")).otherwise(F.xxhash64("hub", F.pmod(F.xxhash64("rep", "hub"), F.ceil(F.col("count") / leaf)))))
-    compare, improve = _compare(dtype), _improve(threshold)
+    with_sizes = nodes.join(sizes, "g").select("rep", "g", "w", "v", "n")
+
+    def leaves_of(seed: int) -> DataFrame:
+        start = written(with_sizes.mapInArrow(_leaves(trees, leaf, dtype, seed), "rep long, g long, w long, v binary, leaves array<long>"), "leaves")
+        # a leaf that many vectors share (a dense cluster) is cut at random; refinement brings its parts together
+        placed = start.select("rep", "v", F.explode("leaves").alias("hub"))
+        big = placed.groupBy("hub").count().where(F.col("count") > 2 * leaf)
+        return placed.join(big, "hub", "left").withColumn("hub", F.when(F.col("count").isNull(), F.col("hub")).otherwise(F.xxhash64("hub", F.pmod(F.xxhash64("rep", "hub"), F.ceil(F.col("count") / leaf)))))
+
+    placed = leaves_of(13)
+    compare, improve = _compare(dtype), _improve(threshold, GROW * k)
 
     def refine(state: DataFrame, placed: DataFrame) -> DataFrame:
         task = F.pmod(F.xxhash64("hub"), F.lit(tasks))
@@ -230,25 +306,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, tr
         return written(left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(improve, _STATE), "graph")
 
     blank = [F.lit(None).cast("binary").alias("nbr"), F.lit(None).cast("binary").alias("sim"), F.lit(k).cast("int").alias("k"), F.lit(False).alias("full"), F.lit(0).cast("long").alias("changed")]
-    state = refine(start.select("rep", "g", "w", "v", *blank), placed.withColumn("k", F.lit(k).cast("int")))
+    state = refine(nodes.select("rep", "g", "w", "v", *blank), placed.withColumn("k", F.lit(k).cast("int")))
     recalls: list[float] = []
+    good, met, fresh, stalled = [], False, 0, False
     for turn in range(most_rounds):
         edges = state.select("rep", "nbr", "sim").mapInArrow(_edges, "a long, b long, sim double")
         # reverse neighbours: a hashed sample of at most 256, however many there are
         one = edges.groupBy(F.col("b").alias("rep"), F.pmod(F.xxhash64("a"), F.lit(256)).alias("salt")).agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a")).alias("x"))
         back = one.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["a"]).alias("back"))
         placed = state.select("rep", "k", "nbr").join(back, "rep", "left").mapInArrow(_members, "hub long, rep long")
+        if stalled:
+            placed = placed.unionByName(leaves_of(13 + fresh).select("hub", "rep"))
         state = refine(state, placed.join(state.select("rep", "v", "k"), "rep"))
         full = state.where("full").limit(1).count()
         if turn + 1 >= least_rounds and not full:
-            recalls.append(audit_recall(state, dtype, threshold))
-            if recalls[-1] >= target:
+            seen = audit_recall(state, dtype, threshold, GROW * k)
+            shares = [x for part in seen.values() for x in part]
+            recalls.append(float(np.mean(shares)) if shares else 1.0)
+            good = [g for g, part in seen.items() if np.mean(part) >= target]
+            met = len(good) == len(seen)
+            stalled = len(recalls) > 1 and recalls[-1] - recalls[-2] < _STALLED
+            if met or stalled and fresh == 2:
                 break
-    link = state.select("rep", "nbr", "sim").mapInArrow(_edges, "a long, b long, sim double").where(F.col("sim") >= threshold).select("a", "b")
+            fresh += stalled
+    poor = F.lit(False) if met else ~F.col("g").isin(good)
+    exact = state.select("rep", "g", "w", "v", "sim").mapInArrow(_held(threshold), _HELD).withColumn("exact", (poor | (F.col("held") >= GROW * k)).cast("long")).drop("held")
+    exact = written(exact, "exact")
+    more = exact_links(exact, threshold, dtype)
+    link = state.select("rep", "nbr", "sim").mapInArrow(_edges, "a long, b long, sim double").where(F.col("sim") >= threshold).select("a", "b").unionByName(more.where("kind = 'link'").select("a", "b"))
     link = written(link.unionByName(link.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     weight = nodes.select(F.col("rep").alias("b"), "w")
     links = link.join(weight, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("links"))
-    group = components(link).withColumnRenamed("id", "rep")
+    counted = more.where("kind = 'count'").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    links = exact.select("rep", "exact").join(links, "rep", "left").join(counted, "rep", "left").select("rep", F.when(F.col("exact") == 1, F.col("n")).otherwise(F.col("links")).alias("links"))
+    group = components(link.unionByName(more.where("kind = 'edge'").select("a", "b"))).withColumnRenamed("id", "rep")
     node = nodes.join(links, "rep", "left").join(group, "rep", "left").select("g", "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.withColumn("g", F.xxhash64("label", F.length("v"))).join(node, ["g", "v"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -374,6 +374,21 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(df.where("1 = 0"))[0].count() == 0
 
 
+def test_nn_descent_finds_isolated_pairs(spark):
+    """Pairs beside a cluster whose links outnumber them: the audit is by node, and what the graph misses is compared exactly."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((1500, 64)).astype(np.float32)
+    x[1:300:2] = x[0:300:2] + 0.3 * r.standard_normal((150, 64))
+    x[1300:] = x[1300] + 0.05 * r.standard_normal((200, 64))
+    got = nn_descent.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int"), k=4, trees=1, leaf=8, most_rounds=2)[0]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near[:300].any() and [q.n_links for q in got.orderBy("vec_id").collect()] == near.sum(1).tolist()
+    root = {q.vec_id: q.component_id for q in got.collect()}
+    assert all(root[a] == root[b] for a, b in zip(*np.nonzero(near)))
+
+
 # ---- 3 ----
 
 
