@@ -8,7 +8,7 @@ input's size. Every document is compared with all of them in blocks, and the
 ``k`` nearest vote with their labels, weighted by cosine.
 
 Defined cases: null text is empty; a text without words (a zero vector) gets the
-labels' mean; labels that are null, not 0 or 1, or contradict each other are not
+mean of all labels learnt from, sampled or not; labels that are null, not 0 or 1, or contradict each other are not
 learnt from; with no labels at all every score is 0.5; ties among neighbours go
 to the smaller doc_id; repeated rows give repeated results; labels, lang, source
 and doc_id never enter a score.
@@ -125,7 +125,8 @@ def _voter(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, sam
     df, n_docs = _document_frequencies(docs)
     idf = np.log((1 + n_docs) / (1 + df)).astype(np.float32) + 1
     ys = np.array([r["y"] for r in learnt], np.float32)
-    mean = float(ys.mean()) if len(ys) else 0.5
+    mean = y.agg(F.avg("y")).first()[0]  # of all labels, not of the halved sample
+    mean = 0.5 if mean is None else float(mean)
     basis, lsa = np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32)
     if len(ys):
         at, count = ([np.frombuffer(r[c], np.int32) for r in learnt] for c in ("at", "count"))

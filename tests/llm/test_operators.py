@@ -322,6 +322,13 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, labels, out).count() == 0
 
 
+def test_quality_of_texts_without_words(spark):
+    d = spark.createDataFrame([(i, " ".join(words(20, i)) if i % 4 else "!!$$ " * 9) for i in range(40)] + [(1000, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(d, labels, F.lit(False), sample=8).collect()}
+    assert got[1000] == 0.75
+
+
 # ---- 10 ----
 
 
