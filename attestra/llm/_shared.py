@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; where none is set (tests, one machine) a new temporary one is."""
+    """The session's shared folder; where none is set and all runs on one machine, a new temporary one is. A cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -37,10 +39,16 @@ def text_bytes(docs: DataFrame, col: str = "text") -> int:
 
 
 def numbered(docs: DataFrame) -> Column:
-    """doc_id, or for rows without one a number from 2**62 on made of the text: they sort last, and equal texts share it."""
+    """doc_id, or for rows without one a number from 2**62 on made of the text: they sort after ids below it, and equal texts share it. It never leaves an operator: ``made_up`` tells such rows from real ids of that size."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 61)))
 
 
-def real_id(name: str) -> Column:
-    """A numbered id as it was: null where it is made up."""
-    return F.when(F.col(name) < 1 << 62, F.col(name)).alias(name)
+def made_up() -> Column:
+    """Whether a row's number is made up."""
+    return F.col("doc_id").cast("long").isNull()
+
+
+def free_names(docs: DataFrame, n: int) -> list[str]:
+    """Column names that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    return [c for c in (f"attestra_{i}" for i in range(n + len(taken))) if c not in taken][:n]

@@ -69,4 +69,25 @@ ORACLE: dict[str, str] = {
                case when n >= 1000 and page_id < m then 'revisit' else 'response' end record_type,
                case when n >= 1000 and page_id < m then m end refers_to
         from k""",
+    "op8_substring_dedup": """
+        with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+        win as (select doc_id, i, array_to_string(w[i : i + 19], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 18)) i from d where len(w) >= 20)),
+        rep as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) r from win) where r > 1),
+        gone as (select distinct doc_id, i + j p from rep, range(20) t(j)),
+        kept as (select doc_id, string_agg(x, ' ' order by p) t from (select doc_id, unnest(w) x, generate_subscripts(w, 1) p from d) anti join gone using (doc_id, p) group by doc_id),
+        n as (select doc_id, count(*) n from gone group by doc_id)
+        select doc_id, len(w)::bigint n_words, coalesce(n.n, 0)::bigint n_removed, sha256(coalesce(kept.t, '')) kept_sha256
+        from d left join n using (doc_id) left join kept using (doc_id)""",
+    "op5_chosen_path_join": """
+        with w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+        s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) s from w),
+        k as (select doc_id, len(s) n, array_to_string(list_sort(s), '|') k, unnest(s) t from s),
+        x as (select a.doc_id a, b.doc_id b from k a join k b on a.t = b.t and a.doc_id < b.doc_id group by a.doc_id, b.doc_id having 5 * count(*) >= 4 * (any_value(a.n) + any_value(b.n) - count(*))),
+        e as (select a, b from x union all select b, a from x),
+        r as (with recursive r(i, c) as (select doc_id, doc_id from s union select r.i, e.b from r join e on e.a = r.c) select i, min(c) c from r group by i),
+        n as (select a, count(*) n from e group by a),
+        q as (select doc_id, array_to_string(list_sort(s), '|') k, len(s) n from s),
+        c as (select *, case when n > 0 then min(doc_id) over (partition by k) else doc_id end copy_of from q)
+        select c.doc_id, copy_of, coalesce(n.n, 0)::bigint n_links, r.c class_id, c.doc_id = r.c kept
+        from c left join n on n.a = c.doc_id join r on r.i = c.doc_id""",
 }

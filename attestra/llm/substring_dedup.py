@@ -10,9 +10,11 @@ windows merge into maximal removal intervals, and those words go.
 A window's key has 72 hash bits beside the bucket number, which adds bits with the input.
 
 Defined cases: null or empty text has no words; rows without doc_id
-sort last (those with equal texts count as one document); rows that repeat a doc_id with the same text
-count as one document and each yields that document's row; input columns other
-than doc_id and text are ignored, so their names cannot clash.
+sort after ids under 2**62 (those with equal texts count as one document); rows that
+repeat a doc_id count as one document: a window that begins at the same word in
+several of them is judged once, words go from each row at the places found in any of them (so
+equal rows yield equal results), and each row yields its own result; input columns
+other than doc_id and text are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
-from attestra.llm._shared import numbered, real_id, text_bytes
+from attestra.llm._shared import made_up, numbered, text_bytes
 
 _BUCKET_BYTES = 12 << 20  # of text, for each bucket of windows
 _GROUP_BYTES = 6 << 20  # of text, for each group of documents
@@ -36,9 +39,11 @@ def _windows(k: int, buckets: int, groups: int):
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("doc", pa.binary()), ("pos", pa.binary()), ("h", pa.binary()), ("x", pa.binary())])
 
     def deal(kind, key, n, *cols):
+        if not len(key):
+            return
         order = np.argsort(key, kind="stable")
         key, cols = key[order], [c[order] for c in cols]
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
             yield (kind, int(key[a]), *(T.pack(c[a:b]) for c in cols), *[None] * (4 - n))
 
@@ -65,6 +70,8 @@ def _windows(k: int, buckets: int, groups: int):
             # what repeats in here is removed whatever the others hold
             rows = [*deal(0, (h[new] % np.uint64(buckets)).astype(np.int32), 4, who[new], pos[new], h[new], x[new])]
             rows += deal(1, group_of(who[again], groups), 2, who[again], pos[again])
+            if not rows:
+                continue  # words enough in the slice, but no document with k of them
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
@@ -92,7 +99,7 @@ def _repeats(groups: int):
         order = np.argsort(g, kind="stable")
         doc, pos, g = doc[order], pos[order], g[order]
         cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
-        ends = [*cut[1:], len(g)]
+        ends = [*cut[1:], len(g)][: len(cut)]
         return pa.table({"key": pa.array(g[cut], pa.int32()), "doc": pa.array([T.pack(doc[a:b]) for a, b in zip(cut, ends)], pa.binary()), "pos": pa.array([T.pack(pos[a:b]) for a, b in zip(cut, ends)], pa.binary())})
 
     return run
@@ -132,7 +139,8 @@ def _kept(k: int):
                 left += y - x
             rows.append((b - a, left, b" ".join(parts), [v for s in spans for v in s]))
         n_words, n_removed, kept, spans = zip(*rows, strict=True) if rows else ([], [], [], [])
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "kept": pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()), "spans": pa.array(spans, pa.list_(pa.int64()))})
+        real = pc.if_else(docs.column("made"), pa.scalar(None, pa.int64()), docs.column("doc_id"))
+        return pa.table({"doc_id": real, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "kept": pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()), "spans": pa.array(spans, pa.list_(pa.int64()))})
 
     return run
 
@@ -141,15 +149,14 @@ def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (text), spans (flat list of removed word intervals)."""
     size = text_bytes(docs)
     buckets, groups = max(64, size // _BUCKET_BYTES), max(64, size // _GROUP_BYTES)
-    docs = docs.select(numbered(docs).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(numbered(docs).alias("doc_id"), made_up().alias("made"), F.col("text").cast("string").alias("text"))
     repeats = _repeats(groups)
 
     def bucket(key, table):
         return table.select(["key", "doc", "pos"]) if key[0].as_py() else repeats(key, table)
 
-    dealt = docs.mapInArrow(_windows(k, buckets, groups), "kind int, key int, doc binary, pos binary, h binary, x binary")
+    dealt = docs.select("doc_id", "text").mapInArrow(_windows(k, buckets, groups), "kind int, key int, doc binary, pos binary, h binary, x binary")
     gone = dealt.groupBy("kind", "key").applyInArrow(bucket, "key int, doc binary, pos binary")
     at = F.col("doc_id")
     keyed = docs.withColumn("key", F.pmod(at.bitwiseXOR(F.shiftright(at, 17)), F.lit(groups)).cast("int"))
-    out = keyed.groupBy("key").cogroup(gone.groupBy("key")).applyInArrow(_kept(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")
-    return out.select(real_id("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", "spans")
+    return keyed.groupBy("key").cogroup(gone.groupBy("key")).applyInArrow(_kept(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")

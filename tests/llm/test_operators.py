@@ -66,6 +66,26 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.intervals(np.array([0, 1, 25, 100]), 20) == [(0, 21), (25, 45), (100, 120)]
 
 
+@pytest.mark.parametrize("rows", [
+    [(1, " ".join(f"w{i}" for i in range(50)))],  # no repeat
+    [(i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(4)],  # 40 words, but no document with 20
+    [(1, " ".join(["x"] * 60)), (2, " ".join(["x"] * 30))],  # repeats only
+    [(2**62 + 5, " ".join(f"w{i}" for i in range(30))), (2**63 - 1, " ".join(f"w{i}" for i in range(30)))],  # very large ids
+])
+def test_substring_dedup_of_odd_slices(spark, rows):
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    seen, want = set(), {}
+    for d, t in rows:
+        w, gone = t.split(), set()
+        for j in range(len(w) - 19):
+            k = tuple(w[j : j + 20])
+            if k in seen:
+                gone |= set(range(j, j + 20))
+            seen.add(k)
+        want[d] = (len(w), len(gone))
+    assert got == want
+
+
 # ---- 5 ----
 
 
@@ -108,6 +128,30 @@ def test_chosen_path_blocks(spark, monkeypatch):
     assert got.sort_values("doc_id").n_links.tolist() == want
 
 
+def test_chosen_path_recursion(spark, monkeypatch):
+    """Buckets that a shared passage fills are split level by level; pairs at the threshold stay together."""
+    shared, rows = words(150, 70), []
+    for i in range(240):
+        rows.append((i, " ".join(shared + [f"o{i // 2}x{j}" for j in range(60)] + ([f"e{i}"] if i % 2 else []))))
+    monkeypatch.setattr(chosen_path, "_BLOCK", 8)
+    got = {r.doc_id: r.n_links for r in chosen_path.join(spark.createDataFrame(rows, "doc_id long, text string"), limit=4).collect()}
+    sets = [shingles(t) for _, t in rows]
+    assert got == {i: sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
+    assert set(got.values()) == {1}
+
+
+def test_one_id_with_two_texts(spark):
+    """They are two documents, with classes of their own."""
+    a, b, c = (" ".join(words(60, i)) for i in (201, 202, 203))
+    rows = [(5, a), (5, b), (6, a), (7, b + " more"), (2**62 + 1, c), (2**63 - 1, c), (None, a)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or -1, r.n_links, r.class_id, r.kept) for r in chosen_path.join(d).collect()))
+    assert got == sorted([(5, 2, 5, True), (5, 1, 5, True), (6, 2, 5, False), (7, 1, 5, False), (2**62 + 1, 1, 2**62 + 1, True), (2**63 - 1, 1, 2**62 + 1, False), (-1, 2, 5, False)])
+    named = d.withColumn("attestra_0", F.lit(1)).withColumn("__number", F.lit(2))
+    kept = chosen_path.deduplicated(named.unionByName(named))
+    assert kept.columns == named.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (5, b), (2**62 + 1, c)])
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)] + [(5, 5)]
