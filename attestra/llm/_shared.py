@@ -52,3 +52,10 @@ def free_names(docs: DataFrame, n: int) -> list[str]:
     """Column names that the table does not have."""
     taken = {c.lower() for c in docs.columns}
     return [c for c in (f"attestra_{i}" for i in range(n + len(taken))) if c not in taken][:n]
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Partitioned by keys for a grouping: in at least ``parts`` parts, where the session's own number is smaller."""
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(parts, *keys)
+    return df

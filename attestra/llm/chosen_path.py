@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
-from attestra.llm._shared import free_names, made_up, numbered, written
+from attestra.llm._shared import dealt, free_names, made_up, numbered, written
 from attestra.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -303,7 +303,7 @@ def _joined(docs: DataFrame, words: int, threshold: float, recall: float, limit:
     places = places.join(classes.select("rep", F.col("first.doc_id").alias("src"), "lo", "hi", "w"), "rep")
     located = docs.join(places, docs["doc_id"] == places["src"]).drop("doc_id", "src")
     members = located.mapInArrow(_members(words), "task long, bucket long, bi int, bj int, own int, rep long, w long, all binary, tokens binary")
-    found = written(members.groupBy("task").applyInArrow(_compare(threshold), "rep long, links long, root long"), "links")
+    found = written(dealt(members, tasks, "task").groupBy("task").applyInArrow(_compare(threshold), "rep long, links long, root long"), "links")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep").join(classes.select("rep", "least", "first"), "rep")

@@ -17,7 +17,9 @@ Equal vectors under one label are one node from the start.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and those without label, link with nothing and are their own
 component; vectors of different lengths link with nothing; a repeated vec_id
-counts for each row; a null vec_id stays null; other input columns are ignored.
+counts for each row, and rows of one vec_id with different vectors are different nodes;
+a null vec_id stays null and is no one's component_id (rows linked to none but such rows have
+none, and are kept); other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
-from attestra.llm._shared import written
+from attestra.llm._shared import dealt, written
 from attestra.llm.components import components
 
 GROW = 8
@@ -268,9 +270,9 @@ def exact_links(nodes: DataFrame, threshold: float, dtype) -> DataFrame:
     sizes = nodes.groupBy("g").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"), F.ceil(F.sum("exact") / _BLOCK).alias("lefts")).where("lefts > 0")
     nodes = nodes.join(sizes, "g")
     row = "g long, block long, rep binary, w binary, exact binary, v binary"
-    dealt = lambda df, n: df.select("g", F.pmod(F.xxhash64("rep"), F.col(n)).cast("long").alias("block"), "rep", "w", "exact", "v").groupBy("g", "block").applyInArrow(_block, row)
-    right = written(dealt(nodes, "blocks"), "blocks").select("g", "block", *(F.col(c).alias("other" if c == "rep" else f"other_{c}") for c in ("rep", "w", "exact", "v")))
-    left = written(dealt(nodes.where("exact = 1"), "lefts"), "exact-blocks").join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "rep", "v")
+    cut = lambda df, n: df.select("g", F.pmod(F.xxhash64("rep"), F.col(n)).cast("long").alias("block"), "rep", "w", "exact", "v").groupBy("g", "block").applyInArrow(_block, row)
+    right = written(cut(nodes, "blocks"), "blocks").select("g", "block", *(F.col(c).alias("other" if c == "rep" else f"other_{c}") for c in ("rep", "w", "exact", "v")))
+    left = written(cut(nodes.where("exact = 1"), "lefts"), "exact-blocks").join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "rep", "v")
     return written(left.join(right, ["g", "block"]).mapInArrow(_between(threshold, dtype), "kind string, a long, b long, n long"), "exact-links")
 
 
@@ -279,9 +281,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, tr
     double = vectors.schema["embedding"].dataType.simpleString() != "array<float>"
     dtype = np.float64 if double else np.float32
     vec = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"))
-    rows = written(vec.mapInArrow(_nodes, "vec_id long, label long, v binary").withColumn("vec_id", F.coalesce("vec_id", F.lit(T.NULL_ID))), "vectors")
+    rows = written(vec.mapInArrow(_nodes, "vec_id long, label long, v binary"), "vectors")
     valid = rows.where("v is not null").withColumn("g", F.xxhash64("label", F.length("v")))
-    nodes = written(valid.groupBy("g", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "nodes")
+    nodes = valid.groupBy("g", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"))
+    nodes = written(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")  # a number of its own, fixed once written
     n_nodes = nodes.count()
     tasks = max(24, n_nodes * 3 * k // _TASK_ROWS)
     sizes = nodes.groupBy("g").agg(F.count("*").alias("n"))
@@ -299,11 +302,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, tr
 
     def refine(state: DataFrame, placed: DataFrame) -> DataFrame:
         task = F.pmod(F.xxhash64("hub"), F.lit(tasks))
-        found = placed.select(task.alias("task"), "hub", "rep", "v", "k").groupBy("task").applyInArrow(compare, _LIST)
+        found = dealt(placed.select(task.alias("task"), "hub", "rep", "v", "k"), tasks, "task").groupBy("task").applyInArrow(compare, _LIST)
         part = lambda c: F.pmod(F.xxhash64(c), F.lit(tasks)).alias("part")
         left = state.select(part("rep"), *(c.split()[0] for c in _STATE.split(", ")))
         right = found.select(part("rep"), "rep", "nbr", "sim")
-        return written(left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(improve, _STATE), "graph")
+        return written(dealt(left, tasks, "part").groupBy("part").cogroup(dealt(right, tasks, "part").groupBy("part")).applyInArrow(improve, _STATE), "graph")
 
     blank = [F.lit(None).cast("binary").alias("nbr"), F.lit(None).cast("binary").alias("sim"), F.lit(k).cast("int").alias("k"), F.lit(False).alias("full"), F.lit(0).cast("long").alias("changed")]
     state = refine(nodes.select("rep", "g", "w", "v", *blank), placed.withColumn("k", F.lit(k).cast("int")))
@@ -333,15 +336,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, tr
     exact = state.select("rep", "g", "w", "v", "sim").mapInArrow(_held(threshold), _HELD).withColumn("exact", (poor | (F.col("held") >= GROW * k)).cast("long")).drop("held")
     exact = written(exact, "exact")
     more = exact_links(exact, threshold, dtype)
-    link = state.select("rep", "nbr", "sim").mapInArrow(_edges, "a long, b long, sim double").where(F.col("sim") >= threshold).select("a", "b").unionByName(more.where("kind = 'link'").select("a", "b"))
+    # lists of nodes compared exactly say nothing new: their counts and spanning edges come from the blocks
+    short = state.select("rep", "nbr", "sim").join(exact.where("exact = 0").select("rep"), "rep", "left_semi")
+    link = short.mapInArrow(_edges, "a long, b long, sim double").where(F.col("sim") >= threshold).select("a", "b").unionByName(more.where("kind = 'link'").select("a", "b"))
     link = written(link.unionByName(link.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     weight = nodes.select(F.col("rep").alias("b"), "w")
     links = link.join(weight, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("links"))
     counted = more.where("kind = 'count'").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     links = exact.select("rep", "exact").join(links, "rep", "left").join(counted, "rep", "left").select("rep", F.when(F.col("exact") == 1, F.col("n")).otherwise(F.col("links")).alias("links"))
     group = components(link.unionByName(more.where("kind = 'edge'").select("a", "b"))).withColumnRenamed("id", "rep")
-    node = nodes.join(links, "rep", "left").join(group, "rep", "left").select("g", "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    group = written(group.join(nodes.select("rep", "least"), "rep"), "groups")
+    heads = group.groupBy("component").agg(F.min("least").alias("head"))
+    node = nodes.join(links, "rep", "left").join(group.select("rep", "component").join(heads, "component"), "rep", "left")
+    node = node.select("g", "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("head")).alias("component_id"))
     out = rows.withColumn("g", F.xxhash64("label", F.length("v"))).join(node, ["g", "v"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    real = lambda c: F.when(F.col(c) != T.NULL_ID, F.col(c)).alias(c)
-    return out.select(real("vec_id"), "n_links", real("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept")), recalls
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")), recalls

@@ -90,4 +90,11 @@ ORACLE: dict[str, str] = {
         c as (select *, case when n > 0 then min(doc_id) over (partition by k) else doc_id end copy_of from q)
         select c.doc_id, copy_of, coalesce(n.n, 0)::bigint n_links, r.c class_id, c.doc_id = r.c kept
         from c left join n on n.a = c.doc_id join r on r.i = c.doc_id""",
+    "op2_nn_descent": """
+        with v as (select vec_id, label, embedding::double[] e from embeddings),
+        x as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+        e as (select a, b from x union all select b, a from x),
+        r as (with recursive r(i, c) as (select vec_id, vec_id from v union select r.i, e.b from r join e on e.a = r.c) select i, min(c) c from r group by i),
+        n as (select a, count(*) n from e group by a)
+        select vec_id, coalesce(n.n, 0)::bigint n_links, r.c component_id, vec_id = r.c kept from v left join n on n.a = vec_id join r on r.i = vec_id""",
 }

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
-from attestra.llm._shared import made_up, numbered, text_bytes
+from attestra.llm._shared import dealt, made_up, numbered, text_bytes
 
 _BUCKET_BYTES = 12 << 20  # of text, for each bucket of windows
 _GROUP_BYTES = 6 << 20  # of text, for each group of documents
@@ -155,8 +155,8 @@ def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     def bucket(key, table):
         return table.select(["key", "doc", "pos"]) if key[0].as_py() else repeats(key, table)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(_windows(k, buckets, groups), "kind int, key int, doc binary, pos binary, h binary, x binary")
-    gone = dealt.groupBy("kind", "key").applyInArrow(bucket, "key int, doc binary, pos binary")
+    windows = docs.select("doc_id", "text").mapInArrow(_windows(k, buckets, groups), "kind int, key int, doc binary, pos binary, h binary, x binary")
+    gone = dealt(windows, buckets, "kind", "key").groupBy("kind", "key").applyInArrow(bucket, "key int, doc binary, pos binary")
     at = F.col("doc_id")
     keyed = docs.withColumn("key", F.pmod(at.bitwiseXOR(F.shiftright(at, 17)), F.lit(groups)).cast("int"))
-    return keyed.groupBy("key").cogroup(gone.groupBy("key")).applyInArrow(_kept(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")
+    return dealt(keyed, groups, "key").groupBy("key").cogroup(dealt(gone, groups, "key").groupBy("key")).applyInArrow(_kept(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")

@@ -425,6 +425,14 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(df.where("1 = 0"))[0].count() == 0
 
 
+def test_nn_descent_with_repeated_and_null_ids(spark):
+    e = np.random.default_rng(6).standard_normal((4, 64)).astype(np.float32)
+    near = lambda v: (v + 0.01).tolist()
+    rows = [(5, e[0].tolist()), (5, e[1].tolist()), (6, near(e[0])), (7, near(e[1])), (None, e[2].tolist()), (None, e[3].tolist()), (8, near(e[2])), (2**63 - 1, [0.0] * 64)]
+    got = nn_descent.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int"))[0].collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (None, 1, 8, False), (None, 0, None, True), (8, 1, 8, True), (2**63 - 1, 0, 2**63 - 1, True)], key=repr)
+
+
 def test_nn_descent_finds_isolated_pairs(spark):
     """Pairs beside a cluster whose links outnumber them: the audit is by node, and what the graph misses is compared exactly."""
     r = np.random.default_rng(4)
