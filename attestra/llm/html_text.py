@@ -9,7 +9,9 @@ are trained by exact likelihood on labelled pages from a seeded generator.
 
 Defined cases: null or empty html has empty text; tags may be unclosed, wrongly
 nested or cut off; a ``<`` that opens no tag is text; ``br`` and table cells count
-as white space; scripts, styles, templates, ``head`` and comments are never text;
+as white space; scripts, styles, templates, ``head``, comments, embedded objects and
+selections are never text (self-closed ones hold nothing, unclosed ones end with their
+parent, or at the next block if they hold none); time is linear in the page's length whatever it holds;
 repeated rows give repeated results; null ids and urls are kept; other input
 columns are ignored.
 """
@@ -28,14 +30,17 @@ from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 # Element names by their role in HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template noscript svg iframe object head textarea select".split())
+_RAW = frozenset("script style head".split())
+_UNSEEN = frozenset("template noscript svg iframe object textarea select".split())
+_FLAT = frozenset("svg iframe textarea select".split())  # these hold no blocks
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 _CLOSES_P = _BLOCK - {"tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 _SCOPE = frozenset("table td th button caption html body".split())
@@ -68,54 +73,132 @@ class Page:
         self.pieces: list[tuple[int, str]] = []  # element, text; a break has an empty text
 
 
+class _Open:
+    """The stack of open elements, with the places of each name, so that closing costs what it closes."""
+
+    def __init__(self, page: Page):
+        self.page, self.stack, self.links = page, [0], 0
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def top(self, names) -> int:
+        """The innermost open element among names, the root aside; 0 if there is none."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def push(self, name: str, attrs: str) -> None:
+        page, k = self.page, len(self.stack)
+        page.tags.append(name), page.attrs.append(attrs), page.parent.append(self.stack[-1]), page.own.append(0), page.link.append(0)
+        self.stack.append(len(page.tags) - 1)
+        self.places.setdefault(name, []).append(k)
+        if name in _BLOCK:
+            self.blocks.append(k)
+        if name in _SCOPE:
+            self.scopes.append(k)
+        self.links += name == "a"
+
+    def close(self, k: int) -> None:
+        """Closes the k-th open element and all inside it."""
+        for i in self.stack[k:]:
+            name = self.page.tags[i]
+            self.places[name].pop()
+            self.links -= name == "a"
+        del self.stack[k:]
+        for places in (self.blocks, self.scopes):
+            while places and places[-1] >= k:
+                places.pop()
+
+
 def parse(source: str) -> Page:
     page = Page()
-    stack = [0]
-    tags, attrs, parent, own, link, pieces = page.tags, page.attrs, page.parent, page.own, page.link, page.pieces
-    at, n, links = 0, len(source), 0
+    opened = _Open(page)
+    stack, own, link, pieces = opened.stack, page.own, page.link, page.pieces
+    at, n = 0, len(source)
+    broken: set[int] = set()  # quotes after which no tag ends
+    unclosed: set[str] = set()  # names without any end tag further on
+    unseen, flat = 0, False  # depth at which an unclosed embedded element was opened (0: none), and whether it holds no blocks
 
     def text(a: int, b: int) -> None:
+        if a >= b or unseen:
+            return
         t = source[a:b]
         pieces.append((stack[-1], t))
         size = len(t.strip())
         own[stack[-1]] += size
-        if links:
+        if opened.links:
             link[stack[-1]] += size
 
-    while at < n:
-        m = _TOKEN.search(source, at)
+    def tag_end(p: int) -> int:
+        """Where a tag whose attributes begin at p ends: at the first ``>`` outside quotes, or if quotes don't match the first of all; -1 without any."""
+        first, quotes = p, []
+        while (m := _STOP.search(source, p)) is not None:
+            k = m.start()
+            if source[k] == ">":
+                return k
+            quotes.append(k)
+            p = -1 if k in broken else source.find(source[k], k + 1) + 1
+            if p <= 0:
+                break
+        broken.update(quotes)
+        return source.find(">", first)
+
+    def end_tag(name: str) -> int:
+        """Where the next end tag of this name ends; -1 without any."""
+        if name in unclosed:
+            return -1
+        m = re.compile(f"</{name}\\b[^>]*>", re.I).search(source, at)
         if m is None:
-            text(at, n)
-            break
-        if m.start() > at:
-            text(at, m.start())
-        at = m.end()
-        name = m.group(2) or m.group(5)
+            unclosed.add(name)
+        return m.end() if m else -1
+
+    done = 0  # what is before is text or tags already seen
+    while (lt := source.find("<", at)) >= 0:
+        head = source[lt + 1 : lt + 2]
+        if head in ("!", "?"):
+            if source.startswith("!--", lt + 1):
+                end = source.find("-->", lt + 4)
+                end = n if end < 0 else end + 2
+            else:
+                end = source.find(">", lt)
+            name = None
+        else:
+            m = _NAME.match(source, lt + 1)
+            if m is None:
+                at = lt + 1
+                continue
+            name, end = m.group().lower(), tag_end(m.end())
+        if end < 0:
+            break  # no tag ends any more
+        text(done, lt)
+        at = done = end + 1
         if name is None:
             continue
-        name = name.lower()
-        if m.group(1) or m.group(4):
-            if name in _BLOCK:
+        if name[0] == "/":
+            name = name[1:]
+            k, block = opened.top((name,)), name in _BLOCK
+            if block:
                 pieces.append((stack[-1], ""))
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    links -= sum(tags[x] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if name not in _BLOCK and tags[stack[k]] in _BLOCK and name != "a":
-                    break
-            if name in _BLOCK:
+            if k and (block or name == "a" or not opened.blocks or k > opened.blocks[-1]):
+                opened.close(k)
+                unseen = unseen if len(stack) >= unseen else 0
+            if block:
                 pieces.append((stack[-1], ""))
             continue
+        attrs = source[m.end() : end]
         if name in _RAW:
-            end = re.compile(f"</{name}\\b[^>]*>", re.I).search(source, at)
-            if end is not None:
-                at = end.end()
-            elif name == "head":
-                end = re.compile("<body\\b", re.I).search(source, at)
-                at = end.start() if end else n
-            else:
-                at = n
+            at = end_tag(name)
+            if at < 0 and name == "head":
+                body = re.compile("<body\\b", re.I).search(source, done)
+                at = body.start() if body else n
+            at = done = n if at < 0 else at
+            continue
+        if name in _UNSEEN:
+            if not attrs.endswith("/"):
+                past = end_tag(name)
+                if past >= 0:
+                    at = done = past
+                elif not unseen:
+                    unseen, flat = len(stack), name in _FLAT
             continue
         if name == "br" or name in ("td", "th"):
             pieces.append((stack[-1], " "))
@@ -124,37 +207,27 @@ def parse(source: str) -> Page:
                 pieces.append((stack[-1], ""))
             continue
         if name in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == "p":
-                    links -= sum(tags[x] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in _SCOPE:
-                    break
+            if flat:
+                unseen, flat = 0, False
+            k = opened.top(("p",))
+            if k and (not opened.scopes or k > opened.scopes[-1]):
+                opened.close(k)
         if name in _SIBLINGS:
             shut, inside = _SIBLINGS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in inside:
+            while (k := opened.top(shut.split())) > opened.top(inside):
+                opened.close(k)
+                if name != "tr":
                     break
-                if tags[stack[k]] in shut.split():
-                    links -= sum(tags[x] == "a" for x in stack[k:])
-                    del stack[k:]
-                    if name != "tr":
-                        break
-        if name in ("html", "body") and name in (tags[x] for x in stack):
+        if unseen and len(stack) < unseen:
+            unseen = 0
+        if name in ("html", "body") and (name == "html" or opened.places.get(name)):
             continue
         if name in _BLOCK:
             pieces.append((stack[-1], ""))
-        tags.append(name)
-        attrs.append(m.group(3) or m.group(6) or "")
-        parent.append(stack[-1])
-        own.append(0)
-        link.append(0)
-        stack.append(len(tags) - 1)
-        if name == "a":
-            links += 1
+        opened.push(name, attrs)
         if name in _BLOCK:
             pieces.append((stack[-1], ""))
+    text(done, n)
     return page
 
 
