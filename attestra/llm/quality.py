@@ -9,8 +9,8 @@ input's size. Every document is compared with all of them in blocks, and the
 
 Defined cases: null text is empty; a text without words (a zero vector) gets the
 mean of all labels learnt from, sampled or not; labels that are null, not 0 or 1, or contradict each other are not
-learnt from; with no labels at all every score is 0.5; ties among neighbours go
-to the smaller doc_id; repeated rows give repeated results; labels, lang, source
+learnt from; of several texts under a labelled doc_id the smallest is learnt from; with no labels at all every score is 0.5; ties among neighbours
+(cosines equal to six places) go to the smaller doc_id; repeated rows give repeated results; labels, lang, source
 and doc_id never enter a score.
 """
 
@@ -103,9 +103,8 @@ def _svd(x: np.ndarray, rank: int) -> np.ndarray:
     return np.ascontiguousarray((q @ v.T)[:, :rank], np.float32)
 
 
-def _voter(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, sample: int, k: int, rank: int):
-    """A function from a batch with ``text`` to its scores, learnt from ``docs`` and ``labels``."""
-    spark = docs.sparkSession
+def learn(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, sample: int, rank: int) -> tuple:
+    """(idf, basis, labelled vectors, their labels, mean label), of bounded size; the vectors are in order of doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     y = y.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").where(~held_out)
@@ -120,7 +119,9 @@ def _voter(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, sam
             cols = [[x[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (at, count)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["doc_id", "y", "at", "count"])
 
-    learnt = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(sparse, "doc_id long, y int, at binary, count binary").collect()  # at most `sample` rows
+    # one text for each chosen doc_id, so at most `sample` rows
+    one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    learnt = one.select("doc_id", "text", "y").mapInArrow(sparse, "doc_id long, y int, at binary, count binary").collect()
     learnt = sorted(learnt, key=lambda r: (r["doc_id"], r["at"], r["count"]))
     df, n_docs = _document_frequencies(docs)
     idf = np.log((1 + n_docs) / (1 + df)).astype(np.float32) + 1
@@ -138,10 +139,15 @@ def _voter(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, sam
         x /= np.where(size > 0, size, 1)
         basis = _svd(x, rank)
         lsa = weighted(doc, at, count, idf, basis, len(learnt))
-    model = spark.sparkContext.broadcast((idf, basis, lsa, ys))
+    return idf, basis, lsa, ys, mean
+
+
+def _voter(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, sample: int, k: int, rank: int):
+    """A function from a batch with ``text`` to its scores, learnt from ``docs`` and ``labels``."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out, label, sample, rank))
 
     def vote(piece: pa.RecordBatch) -> np.ndarray:
-        idf, basis, lsa, ys = model.value
+        idf, basis, lsa, ys, mean = model.value
         n = piece.num_rows
         out = np.full(n, mean)
         if len(ys):
@@ -150,7 +156,9 @@ def _voter(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, sam
             for a in range(0, n, 512):
                 sim = np.maximum(x[a : a + 512] @ lsa.T, 0)
                 m = min(k, len(ys))
-                near = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+                # cosines to six places, then the place among the labelled rows (by doc_id): no two keys are equal
+                rank = np.arange(len(ys)) - np.rint(sim * np.float64(10**6)) * len(ys)
+                near = np.sort(np.argpartition(rank, m - 1, axis=1)[:, :m], axis=1)
                 w = np.take_along_axis(sim, near, 1).astype(float) ** 4
                 total = w.sum(1)
                 out[a : a + 512] = np.where(total > 1e-9, (w * ys[near]).sum(1) / np.maximum(total, 1e-9), mean)

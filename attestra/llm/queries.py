@@ -47,7 +47,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
