@@ -11,8 +11,8 @@ off as far as the least length allows. Shorter items have masks of their own: on
 part more than words may differ, so that one part is equal. A ``share`` under 0.8
 or ``min_words`` under 13 is compared the same, but the masks may miss some.
 
-The test set is a query set against all rows: it is broadcast in blocks of at
-most BLOCK_BYTES of text, so one pass over the documents serves a block.
+The test set is a query set against all rows: it is broadcast in blocks of about
+BLOCK_BYTES of text, one at a time, so one pass over the documents serves a block.
 
 Defined cases: null or empty texts and items overlap with nothing; a null doc_id
 or item_id stays null; rows that repeat a document or an item add nothing to its
@@ -21,7 +21,7 @@ pair's row but n_overlaps; other input columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import reduce
 
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
+from attestra.llm._shared import free_names, written
 
 MASKS = ("10111011", "1011000111", "101100001011", "11111001")
 LEAST = 13
@@ -129,12 +130,12 @@ def _short_masks(m: int, share: float) -> list[str]:
     return ["".join("01"[i * parts // m == k] for i in range(m)) for k in range(parts)]
 
 
-def _blocks(items: DataFrame, share: float) -> list:
-    """The test set in broadcast blocks of about BLOCK_BYTES of text: names, word hashes, first words, sorted keys and their places, masks."""
+def _blocks(items: DataFrame, share: float) -> tuple[int, Callable]:
+    """The number of blocks of about BLOCK_BYTES of test-set text, and a function that broadcasts one: names, word hashes, first words, sorted keys and their places, masks."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
-    out = []
-    for k in range(n):
+
+    def block(k: int):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         rows = sorted({(r["item_id"], r["text"]) for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         w, of, first = _hashed([r[1] for r in rows])
@@ -145,8 +146,22 @@ def _blocks(items: DataFrame, share: float) -> list:
             whole = np.diff(first)[of[a]] == len(m)
             at, keys = np.r_[at, a[whole]], np.r_[keys, h[whole]]
         order = np.argsort(keys, kind="stable")
-        out.append(items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], w, first, keys[order], at[order], [*MASKS, *short])))
-    return out
+        return items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], w, first, keys[order], at[order], [*MASKS, *short]))
+
+    return n, block
+
+
+def _scanned(docs: DataFrame, items: DataFrame, min_words: int, share: float, out: str, rows_of) -> DataFrame:
+    """``rows_of(finder)`` over the documents for each block of the test set. One block is one lazy pass; of several, each one's hits are written and its broadcast freed before the next is made."""
+    n, block = _blocks(items, share)
+    if n == 1:
+        return docs.mapInArrow(rows_of(_finder(min_words, share, block(0))), out)
+    parts = []
+    for k in range(n):
+        held = block(k)
+        parts.append(written(docs.mapInArrow(rows_of(_finder(min_words, share, held)), out), "overlaps"))
+        held.unpersist()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float = 0.8) -> DataFrame:
@@ -163,24 +178,36 @@ def overlaps(docs: DataFrame, items: DataFrame, min_words: int = 13, share: floa
 
         return run
 
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(scan(_finder(min_words, share, b)), _OUT) for b in _blocks(items, share)])
+    return _scanned(docs, items, min_words, share, _OUT, scan)
 
 
 def clean(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that overlap with no item."""
+    """The rows of ``docs``, with all their columns, that overlap with no item. Where the test set has several blocks, texts that any of them hits are written by hash and joined away."""
+    if _blocks(items, share)[0] == 1:
+
+        def keep(find):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for piece in T.slices(batches, "text"):
+                    good = np.ones(piece.num_rows, bool)
+                    good[[r[0] for r in find(piece)]] = False
+                    yield piece.filter(pa.array(good))
+
+            return run
+
+        return _scanned(docs, items, min_words, share, docs.schema, keep)
 
-    def keep(find):
+    def hit(find):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in T.slices(batches, "text"):
-                good = np.ones(piece.num_rows, bool)
-                good[[r[0] for r in find(piece)]] = False
-                yield piece.filter(pa.array(good))
+                some = pa.array(sorted({r[0] for r in find(piece)}), pa.int64())
+                yield piece.select(["lo", "hi"]).take(some)
 
         return run
 
-    for b in _blocks(items, share):
-        docs = docs.mapInArrow(keep(_finder(min_words, share, b)), docs.schema)
-    return docs
+    (lo, hi), text = free_names(docs, 2), F.col("text").cast("string")
+    keys = docs.select(F.xxhash64(text).alias("lo"), F.xxhash64(text, F.lit(1)).alias("hi"), text.alias("text"))
+    found = _scanned(keys, items, min_words, share, "lo long, hi long", hit).distinct().select(F.col("lo").alias(lo), F.col("hi").alias(hi))
+    return docs.withColumn(lo, F.xxhash64(text)).withColumn(hi, F.xxhash64(text, F.lit(1))).join(found, [lo, hi], "left_anti").drop(lo, hi)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_words: int = 13, share: float = 0.8) -> DataFrame:
