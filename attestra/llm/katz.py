@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
-from attestra.llm._shared import new_path, text_bytes, written
+from attestra.llm._shared import dealt, new_path, text_bytes, written
 
 CUTOFF, K = 1, 5
 _CHUNK_BYTES = 12 << 20
@@ -77,8 +77,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner[stop] = False
         all_h[stop], all_h[inner] = END, h
         docs.append(piece.column("doc_id").fill_null(T.NULL_ID).to_numpy(zero_copy_only=False))
-        train.append(piece.column("train").to_numpy(zero_copy_only=False).astype(np.uint8))
-        sizes.append((n + 1).astype(np.uint32))
+        nameless = piece.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        train.append(piece.column("train").to_numpy(zero_copy_only=False).astype(np.uint8) + np.uint8(2) * nameless)
+        sizes.append(n + 1)
         hashes.append(all_h)
         held += len(buf)
         if held >= _CHUNK_BYTES:
@@ -92,7 +93,9 @@ class _Chunk:
     """One row of the chunks' table, unpacked."""
 
     def __init__(self, get):
-        self.docs, self.train, self.sizes = T.unpack(get("docs"), np.int64), T.unpack(get("train"), np.uint8).astype(bool), T.unpack(get("sizes"), np.uint32).astype(np.int64)
+        flags = T.unpack(get("train"), np.uint8)
+        self.docs, self.train, self.sizes = T.unpack(get("docs"), np.int64), (flags & 1).astype(bool), T.unpack(get("sizes"), np.int64)
+        self.nameless = (flags & 2).astype(bool)
         self.words, self.tokens = T.unpack(get("words"), np.uint64), T.unpack(get("tokens"), np.uint32).astype(np.int64)
         self.learnt = np.repeat(self.train, self.sizes)
 
@@ -166,20 +169,21 @@ def _add_up(kind: str, cutoff: int):
         bucket = key[0].as_py()
         order = np.argsort(table.column("chunk").to_numpy(), kind="stable")
         keys = [_undelta(table.column("keys")[int(i)].as_py()) for i in order]
-        counts = [T.unpack(table.column("a")[int(i)].as_py(), np.uint32) for i in order]
+        counts = [T.unpack(table.column("a")[int(i)].as_py(), np.int64) for i in order]
         every, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(which, np.concatenate(counts), len(every)).astype(np.int64)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, which, np.concatenate(counts))
         real = total[every != START]  # the start of a text is a history, not a word
         stats = [int(real.sum()), int((real > 0).sum()), *(int((real == r).sum()) for r in range(1, K + 2))]
         keep = total >= cutoff
-        rows = [(kind, bucket, -1, T.pack(every[keep]), T.pack(total[keep].astype(np.uint32)), None, stats)]
+        rows = [(kind, bucket, -1, T.pack(every[keep]), T.pack(total[keep]), None, stats)]
         total[~keep] = 0
         owner = np.zeros(len(which), np.uint8)
         owner[first] = 1
         at = 0
         for i, k in zip(order, keys, strict=True):
             w = which[at : at + len(k)]
-            rows.append((f"{kind} answer", bucket, int(table.column("chunk")[int(i)].as_py()), None, T.pack(total[w].astype(np.uint32)), T.pack(np.packbits(owner[at : at + len(k)] & (total[w] > 0))), None))
+            rows.append((f"{kind} answer", bucket, int(table.column("chunk")[int(i)].as_py()), None, T.pack(total[w]), T.pack(np.packbits(owner[at : at + len(k)] & (total[w] > 0))), None))
             at += len(k)
         return _answers(rows)
 
@@ -239,7 +243,7 @@ def _collected(table, buckets: int) -> dict[str, dict[int, tuple]]:
         if kind == "history answer":
             out.setdefault(kind, {})[bucket] = (T.unpack(a, np.float64), T.unpack(b, np.float64))
         else:
-            n = T.unpack(a, np.uint32).astype(np.int64)
+            n = T.unpack(a, np.int64)
             out.setdefault(kind, {})[bucket] = (n, np.unpackbits(T.unpack(b, np.uint8))[: len(n)].astype(bool))
     return out
 
@@ -265,15 +269,15 @@ def model_and_scores(docs: DataFrame, held_out: Column, cutoff: int = CUTOFF) ->
         return run
 
     def add_up(kind: str, ask, least: int) -> tuple[DataFrame, list[int]]:
-        found = written(chunks.mapInArrow(each(ask), _ASK).groupBy("bucket").applyInArrow(_add_up(kind, least), _ANSWER), kind)
+        found = written(chunks.mapInArrow(each(ask), _ASK).transform(dealt, buckets, "bucket").groupBy("bucket").applyInArrow(_add_up(kind, least), _ANSWER), kind)
         sums = found.where(F.col("kind") == kind).agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(K + 3))).first()
         return found, [int(x or 0) for x in sums]
 
-    words, stats = add_up("word", lambda i, c: _ask(i, c.words, buckets, c.word_counts().astype(np.uint32)), 1)
+    words, stats = add_up("word", lambda i, c: _ask(i, c.words, buckets, c.word_counts()), 1)
 
     def ask_pairs(i: int, c: _Chunk) -> pa.RecordBatch:
         key, _, _, count, _ = c.pairs()
-        return _ask(i, key, buckets, count.astype(np.uint32))
+        return _ask(i, key, buckets, count)
 
     pairs, pair_stats = add_up("pair", ask_pairs, cutoff)
     one, d = _Unigrams(stats), discounts(pair_stats[2:], cutoff)
@@ -299,7 +303,7 @@ def model_and_scores(docs: DataFrame, held_out: Column, cutoff: int = CUTOFF) ->
         bucket, rows = key[0].as_py(), []
         own = [i for i, c in enumerate(table.column("chunk").to_pylist()) if c < 0]
         known = T.unpack(table.column("keys")[own[0]].as_py(), np.uint64) if own else np.zeros(0, np.uint64)
-        total = T.unpack(table.column("a")[own[0]].as_py(), np.uint32).astype(float) if own else np.zeros(0)
+        total = T.unpack(table.column("a")[own[0]].as_py(), np.int64).astype(float) if own else np.zeros(0)
         asks = [i for i in range(table.num_rows) if i not in own]
         asks.sort(key=lambda i: table.column("chunk")[i].as_py())
         keys = [_undelta(table.column("keys")[i].as_py()) for i in asks]
@@ -323,7 +327,7 @@ def model_and_scores(docs: DataFrame, held_out: Column, cutoff: int = CUTOFF) ->
             at += len(k)
         return _answers(rows)
 
-    past = written(asked.unionByName(counts).groupBy("bucket").applyInArrow(histories, _ANSWER), "history")
+    past = written(dealt(asked.unionByName(counts), buckets, "bucket").groupBy("bucket").applyInArrow(histories, _ANSWER), "history")
     every = answers.unionByName(past.where("kind = 'history answer'").select("kind", "chunk", "bucket", "a", "b"))
 
     def score(left, right):
@@ -339,10 +343,9 @@ def model_and_scores(docs: DataFrame, held_out: Column, cutoff: int = CUTOFF) ->
             lp = np.log10(p)[which]
             base = np.log10((count + 1) / (one.n + one.v + 1))[c.tokens]
             at = np.cumsum(c.sizes) - c.sizes
-            out.append(pa.table({"doc_id": c.docs, "held_out": ~c.train, "n_tokens": c.sizes, "n_known": np.add.reduceat((count > 0)[c.tokens].astype(np.int64), at), "train_tokens": np.full(len(at), one.n), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(lp, at)}))
+            out.append(pa.table({"doc_id": pa.array(c.docs, mask=c.nameless), "held_out": ~c.train, "n_tokens": c.sizes, "n_known": np.add.reduceat((count > 0)[c.tokens].astype(np.int64), at), "train_tokens": np.full(len(at), one.n), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(lp, at)}))
         return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
 
     scores = chunks.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    scores = scores.withColumn("doc_id", F.when(F.col("doc_id") != T.NULL_ID, F.col("doc_id")))
     tables = [t.where(F.col("kind") == k).select("kind", "bucket", "keys", "a", "b") for t, k in ((words, "word"), (pairs, "pair"), (past, "history"))]
     return scores, tables[0].unionByName(tables[1]).unionByName(tables[2])
