@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from attestra.llm import _text as T
 
 _END = 0x10000  # added to a symbol's code point where it ends a word
-_CACHE = 400_000
+_CACHE, _CACHED_WORD = 400_000, 64  # words, and the longest of them
 
 
 def _byte_symbols() -> list[str]:
@@ -144,7 +144,9 @@ class Bpe:
                     if len(self.cache) >= _CACHE:
                         self.cache.clear()
                         self.apart.clear()
-                    got = self.cache[w] = self.word(w)
+                    got = self.word(w)
+                    if len(w) <= _CACHED_WORD:
+                        self.cache[w] = got
                 out.append(got)
         return b"".join(out)
 
