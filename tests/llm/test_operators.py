@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -196,6 +197,8 @@ def test_decontaminate_in_blocks(spark, docs, monkeypatch):
     parts = decontaminate.contaminated(docs, items).toPandas()
     key = ["doc_id", "item_id"]
     assert whole.sort_values(key).values.tolist().__repr__() == parts.sort_values(key).values.tolist().__repr__()
+    clean = decontaminate.clean(docs, items)
+    assert clean.columns == docs.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [0, 4, 5, 6, 7, 8, 10, 11, 12]
 
 
 def test_decontaminate_short_items_with_substitutions(spark):
@@ -264,6 +267,30 @@ def test_pii(docs, empty, spark):
     assert pii.find(empty).count() == 0 and pii.redact(docs).count() == docs.count()
 
 
+def test_pii_base_rules_against_the_patterns():
+    """The patterns as stated, on random strings."""
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    r = random.Random(12)
+    for i in range(6000):
+        t = "".join(r.choice(("ab@.-_%", "0123456789.. ", "+0123456789 ()-.", "4111 1111-", "a@b.c_@1.2.3.4")[i % 5]) for _ in range(r.randint(0, 60)))
+        want = [(0, *m.span()) for m in email.finditer(t)]
+        want += [(1, *m.span()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
+        for m in card.finditer(t):
+            d = [int(x) for x in re.sub("[^0-9]", "", m.group())]
+            if 16 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10 == 0:
+                want.append((2, *m.span()))
+        want += [(3, *m.span()) for m in phone.finditer(t) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        assert pii.base_spans(t) == want, t
+
+
+def test_pii_of_very_long_texts():
+    model, began = pii.train(60, 1), time.time()
+    for t in ("1" * 10**6, "a" * 10**6 + "@", "@" * 10**5, "1." * 400000, "9" * 5000 + ".1.1.1 1.1.1." + "0" * 5000 + "7", "+1" * 300000, "12 " * 20000, "1-" * 300000):
+        pii.all_spans(t, model)
+    assert pii.base_spans("1.1.1." + "0" * 5000 + "7 " + "9" * 5000 + ".1.1.1") == [(1, 0, 5007)] and time.time() - began < 120
+
+
 def test_pii_on_held_out_sentences():
     model = pii.train()
     hit = extra = miss = 0
@@ -338,7 +365,7 @@ def test_katz(spark, docs, cutoff):
 def test_katz_keeps_pairs_seen_once(spark):
     d = spark.createDataFrame([(1, "a b c d"), (2, "a c b d"), (3, "b a d c")], "doc_id long, text string")
     scores, tables = katz.model_and_scores(d, F.lit(False))
-    kept = sum(len(katz.T.unpack(bytes(r.a), np.uint32)) for r in tables.where("kind = 'pair'").collect())
+    kept = sum(len(katz.T.unpack(bytes(r.a), np.int64)) for r in tables.where("kind = 'pair'").collect())
     assert kept == len({x for t in ("a b c d", "a c b d", "b a d c") for w in [["<s>", *t.split(), "</s>"]] for x in zip(w, w[1:])})
     assert [r.score for r in scores.orderBy("doc_id").collect()] == [r.score for r in katz.model_and_scores(d, F.lit(False), 1)[0].orderBy("doc_id").collect()]
 
@@ -366,6 +393,26 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, labels, out).count() == 0
 
 
+def test_quality_votes_against_brute_force(spark):
+    """Every document's vote from all cosines, one by one; copies among the labelled rows tie, and the smaller doc_id counts."""
+    rows = [(i, " ".join(words(5 + i % 30, i // 3))) for i in range(240)] + [(7, "another text of seven")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 240, 2)] + [(i, (i // 7) % 2) for i in range(1, 240, 2)], "doc_id long, quality int")
+    idf, basis, lsa, ys, mean = quality.learn(d, labels, F.lit(False), "quality", 3000, 16)
+    assert len(ys) == 240
+    got = sorted((r.doc_id, r.score) for r in quality.score(d, labels, F.lit(False), k=7, rank=16).collect())
+    want = []
+    for i, t in rows:
+        _, at, count = quality.features(*quality.T.strings(quality.pa.array([t])))
+        x = sum((1 + math.log(c)) * float(idf[a]) * basis[a].astype(float) for a, c in zip(at, count))
+        x = x / math.sqrt(float(x @ x))
+        near = sorted((-round(max(0.0, float(x @ v.astype(float))), 6), j) for j, v in enumerate(lsa))[:7]
+        w = [(-s) ** 4 for s, _ in near]
+        want.append((i, sum(a * float(ys[j]) for a, (_, j) in zip(w, near)) / sum(w)))
+    off = [abs(a[1] - b[1]) for a, b in zip(got, sorted(want))]
+    assert sorted(off)[-3] < 1e-3  # cosines that round apart may change places
+
+
 def test_quality_of_texts_without_words(spark):
     d = spark.createDataFrame([(i, " ".join(words(20, i)) if i % 4 else "!!$$ " * 9) for i in range(40)] + [(1000, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(40)], "doc_id long, quality int")
@@ -523,6 +570,22 @@ def test_html(spark):
     assert got.count((1, want, len(want))) == 2 and (None, want, len(want)) in got and (2, "", 0) in got and (3, "", 0) in got and len(got) == 8
 
 
+@pytest.mark.parametrize("odd", ["<svg class='i'/>", "<iframe src='a'/>", "<object data='x'>", "<select>", "<svg><path d='M0'>", "<textarea>", "<noscript/>", "<object><p>old</p></object>", "<svg><title>icon</title></svg>"])
+def test_html_of_embedded_elements(odd):
+    """Self-closed or unclosed, they take nothing of the page with them; closed, their text is dropped."""
+    model = html_text.Model({}, [[0.0, 0.0], [0.0, 0.0]])  # every element is as likely as not: all text counts
+    page = f"<body><div><p>first</p><div>{odd}</div><p>second</p></div><p>third</p></body>"
+    assert html_text.extract(page, model) == "first\n\nsecond\n\nthird"
+    assert html_text.extract(f"<p>a{odd}b</p><p>c", model).endswith("c")
+
+
+def test_html_time_is_linear():
+    began = time.time()
+    for page in ("<a " * 300000, "<b>" * 100000 + "</i>" * 100000, "<i><div>" + "<b>" * 100000 + "</i>" * 100000, '<a "> "' * 100000, "<" * 10**6, "<!x" * 200000, "<svg>" * 100000 + "<p>x", "<b>" * 50000 + "<div>" * 50000, "<table>" + "<tr><td>" * 50000):
+        html_text.observe(html_text.parse(page))
+    assert time.time() - began < 60
+
+
 # ---- pipeline ----
 
 
