@@ -21,8 +21,36 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[str] = []  # folders and, without a slash, catalog tables that this process wrote
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/attestra-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/attestra-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def new_table(name: str) -> str:
+    _made.append(f"attestra_{name}_{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many intermediate tables this process has so far."""
+    return len(_made)
+
+
+def clean_up(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Removes the intermediate tables that this process wrote (after the first ``since``), but those that ``keep`` reads. Results of operators that read them and are not written yet are lost."""
+    files = set(keep.inputFiles()) if keep is not None else set()
+    some = _made[since:]
+    kept = [p for p in some if "/" in p and any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]
+    for place in some:
+        if "/" not in place:
+            spark.sql(f"drop table if exists {place}")
+        elif place not in kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made[since:] = kept
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

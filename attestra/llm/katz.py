@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
-from attestra.llm._shared import dealt, new_path, text_bytes, written
+from attestra.llm._shared import dealt, new_path, new_table, text_bytes, written
 
 CUTOFF, K = 1, 5
 _CHUNK_BYTES = 12 << 20
@@ -254,7 +254,7 @@ def model_and_scores(docs: DataFrame, held_out: Column, cutoff: int = CUTOFF) ->
     size = text_bytes(docs)
     buckets = max(64, size // _BUCKET_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    name = f"attestra_chunks_{uuid.uuid4().hex}"
+    name = new_table("chunks")
     chunks = docs.mapInArrow(_chunks, "chunk long, docs binary, train binary, sizes binary, words binary, tokens binary")
     # bucketed by chunk: the two joins below read it without a shuffle
     chunks.write.option("path", new_path(spark, "chunks")).option("compression", "none").bucketBy(buckets, "chunk").saveAsTable(name)

@@ -606,3 +606,23 @@ def test_pipeline(spark, tmp_path):
     assert seen[0] == {i for i, _ in rows if not 60 <= i < 80}
     assert seen[1] == seen[0] - {90, 91} and seen[2] == seen[1] - {92} and seen[3] == seen[4] == seen[2]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen[4]
+
+
+def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path):
+    """Nulls, empty texts, repeated rows, two texts under one id, an empty table, other columns."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (5, 1, 0), (None, 0, None), (4444, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "zz yy xx ww vv uu tt ss rr qq pp oo nn mm ll")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    twice = docs.unionByName(docs).unionByName(docs.where("doc_id = 9").withColumn("text", F.lit("quite another text than the one above"))).withColumn("attestra_0", F.lit("x"))
+    for start, want in ((twice, None), (empty.withColumn("attestra_0", F.lit("x")), 0)):
+        now = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == start.columns
+            if stage is corpus_pipeline.good_quality:
+                assert now.count() == start.count()  # only good labels
+            if stage is corpus_pipeline.one_of_each and want is None:
+                assert sorted((r.doc_id or 0) for r in now.collect()) == [0, 1, 4, 5, 6, 8, 9, 9, 10, 11]
+        last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert last.count() == (10 if want is None else 0)
