@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,3 +33,62 @@ def scored_pairs(pairs: DataFrame, a: str, b: str, out: str = "score") -> DataFr
     distinct = pairs.select(a, b).where(F.col(a) != F.col(b)).distinct().withColumn(out, ratio(F.col(a), F.col(b)))
     left = pairs.join(distinct, [a, b], "left")
     return left.withColumn(out, F.when(F.col(a) == F.col(b), F.when(F.col(a) == "", 0.0).otherwise(1.0)).otherwise(F.coalesce(out, F.lit(0.0))))
+
+
+class Texts:
+    """Texts as rows of letter numbers, the longest first, to be compared with many targets."""
+
+    def __init__(self, found: list[str]):
+        size = np.array([len(f) for f in found], np.int64)
+        self.order = np.argsort(-size, kind="stable")
+        self.found, self.size = found, size[self.order]
+        point = np.frombuffer("".join(found[i] for i in self.order).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.letters, number = np.unique(point, return_inverse=True)
+        self.codes = np.full((len(found), int(self.size[0]) if len(found) else 0), len(self.letters), np.int32)
+        self.codes[np.arange(self.codes.shape[1]) < self.size[:, None]] = number
+
+    def common_at_most(self, target: str, rows: np.ndarray) -> np.ndarray:
+        """Longest common subsequence of ``target`` with each of ``rows``, an upper limit of what matching blocks can cover; one bit for each letter of the target, all rows at once."""
+        codes, sizes, out = self.codes[rows], self.size[rows], np.zeros(len(rows), np.int64)
+        for w in range(0, len(target), 62):  # of a long target the parts' limits add up
+            part = target[w : w + 62]
+            masks = np.zeros(len(self.letters) + 1, np.uint64)
+            for i, c in enumerate(part):
+                masks[:-1][self.letters == ord(c)] |= np.uint64(1 << i)
+            full = np.uint64((1 << len(part)) - 1)
+            left = np.full(len(rows), full)
+            for j in range(int(sizes[0]) if len(rows) else 0):
+                n = int(np.searchsorted(-sizes, -j, "left"))
+                hit = left[:n] & masks[codes[:n, j]]
+                left[:n] = ((left[:n] + hit) | (left[:n] - hit)) & full
+            out += len(part) - np.bitwise_count(left).astype(np.int64)
+        return out
+
+
+def best_matches(target: str, texts: Texts, allowed: np.ndarray, least: float, count: int, slack: float, always: float) -> list[tuple[int, float]]:
+    """(place, ratio) of every allowed text whose ratio is at least ``least`` and no more than ``slack`` under the ``count``-th best, or at least ``always``.
+
+    Texts are tried in order of an upper limit of their ratio, so the ratio itself is computed for few of them.
+    """
+    m, size = len(target), texts.size
+    rows = np.flatnonzero(allowed[texts.order] & (2 * np.minimum(size, m) >= least * (size + m)) & (size > 0))
+    if not len(rows) or not target:
+        return []
+    limit = 2 * texts.common_at_most(target, rows) / (size[rows] + m)
+    out, top, match = [], [], SequenceMatcher(None)
+    match.set_seq1(target)
+    for k in np.argsort(-limit, kind="stable"):
+        floor = max(least, min(top[0] - slack, always)) if len(top) == count else least
+        if limit[k] < floor - 1e-12:
+            break
+        place = int(texts.order[rows[k]])
+        text = texts.found[place]
+        if text == target:
+            value = 1.0
+        else:
+            match.set_seq2(text)
+            value = match.ratio()
+        if value >= floor:
+            out.append((place, value))
+            (heapq.heappush if len(top) < count else heapq.heappushpop)(top, value)
+    return out

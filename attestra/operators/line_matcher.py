@@ -1,6 +1,7 @@
 """The older matcher, for comparing the two: whole lines and pairs of lines only, no labels, shapes or zones.
 
-An assignment is exact: the best sum over all ways to give fields disjoint lines.
+An assignment is exact: the best sum over all ways to give fields disjoint lines. A line
+that no later field can want is forgotten, so states stay few unless fields contend for the same lines.
 """
 
 from __future__ import annotations
@@ -33,18 +34,22 @@ def line_candidates(lines: DataFrame) -> DataFrame:
 
 
 def _best(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The best sum, field by field; only lines that a later field could still want tell two states apart."""
+    fields = [(pos, list(zip(g["score"], g["cand_pos"], map(frozenset, g["used"]), strict=True))) for pos, g in pdf.sort_values(["field_pos", "rank"]).groupby("field_pos", sort=True)]
+    wanted = [frozenset()]
+    for _, options in reversed(fields):
+        wanted.append(wanted[-1].union(*(used for _, _, used in options)))
     states: dict[frozenset, tuple[float, tuple]] = {frozenset(): (0.0, ())}
-    fields = [(pos, g.sort_values("rank")) for pos, g in pdf.groupby("field_pos", sort=True)]
-    for _, options in fields:
-        grown = {used: (score, (*picked, None)) for used, (score, picked) in states.items()}
-        for used, (score, picked) in states.items():
-            for o in options.itertuples():
-                mine = frozenset(o.used)
-                if not used & mine and score + o.score > grown.get(used | mine, (-1.0,))[0]:
-                    grown[used | mine] = (score + o.score, (*picked, o.cand_pos))
-        states = grown
+    for (pos, options), later in zip(fields, wanted[-2::-1], strict=True):
+        now: dict[frozenset, tuple[float, tuple]] = {}
+        for taken, (total, picked) in states.items():
+            for value, cand, used in [(0.0, None, frozenset()), *options]:
+                key = (taken | used) & later
+                if not taken & used and total + value > now.get(key, (-1.0,))[0]:
+                    now[key] = (total + value, picked if cand is None else (*picked, (pos, cand)))
+        states = now
     chosen = max(states.values(), key=lambda s: s[0])[1]
-    return pd.DataFrame([(pdf["doc_id"].iloc[0], pos, c) for (pos, _), c in zip(fields, chosen, strict=True) if c is not None], columns=["doc_id", "field_pos", "cand_pos"])
+    return pd.DataFrame([(pdf["doc_id"].iat[0], *c) for c in chosen], columns=["doc_id", "field_pos", "cand_pos"])
 
 
 def verify(lines: DataFrame, expected: DataFrame, least: float = 0.35, options: int = 12) -> DataFrame:

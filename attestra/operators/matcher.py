@@ -1,24 +1,31 @@
 """Field verification: expected values against recognised lines of a document.
 
-lines(doc_id, line_pos, text, confidence, line_id?, source?, side?, reading_order?, bbox?)
-and expected(doc_id, field_pos, field, expected) join by document. Candidates and
-scores are relational; two steps are not, and run per document on bounded rows:
-chaining lines into blocks, and assigning at most twelve options of each field so
-that no characters serve twice (a beam of 64).
+lines(doc_id, line_pos, text, confidence, line_id?, source?, side?, reading_order?, bbox?, polygon?)
+and expected(doc_id, field_pos, field, expected) join by document. Candidates, blocks
+of lines, shapes and verdicts are relational. Two steps run in Python on bounded groups:
+the best texts of each field among a block of a document's texts (a block holds at
+most BLOCK of them, however long the document is), and the assignment, from at most
+twelve options of each field, of texts such that no characters serve twice (a beam of 64).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestra.functions import mrz
 from attestra.functions import text as tx
-from attestra.functions.similarity import scored_pairs
+from attestra.functions.similarity import Texts, best_matches
+from attestra.operators import layout
+
+#: Distinct texts of a document that are compared with its fields at once.
+BLOCK = 8192
 
 
 @dataclass(frozen=True)
@@ -36,14 +43,27 @@ class Thresholds:
     options: int = 12
 
 
-_CANDIDATE = "doc_id string, cand_pos long, text string, resources array<struct<line:int,a:int,b:int>>, kind string, confidence double, source string"
 _BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
+_SPOTS = "array<struct<line:int,a:int,b:int>>"
 
 
 def _lines(lines: DataFrame) -> DataFrame:
-    """All columns that the steps read; those that are missing are null."""
-    optional = {"line_id": "string", "source": "string", "side": "string", "reading_order": "int", "bbox": _BOX}
-    return lines.select(F.col("doc_id").cast("string"), F.col("line_pos").cast("int"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), *((F.col(c) if c in lines.columns else F.lit(None)).cast(t).alias(c) for c, t in optional.items()))
+    """All columns that the steps read; those that are missing are null, and a missing box is that of the polygon."""
+    has = lambda c: F.col(c) if c in lines.columns else F.lit(None)
+    box = has("bbox").cast(_BOX)
+    if "polygon" in lines.columns:
+        box = F.coalesce(box, layout.polygon_box(F.col("polygon")))
+    plain = [has(c).cast(t).alias(c) for c, t in (("line_id", "string"), ("source", "string"), ("side", "string"), ("reading_order", "int"))]
+    return lines.select(F.col("doc_id").cast("string"), F.col("line_pos").cast("int"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(has("confidence").cast("double"), F.lit(0.0)).alias("confidence"), *plain, box.alias("bbox"))
+
+
+def _candidate(order: Column, text: Column, resources: Column, kind: str, confidence: Column, source: Column) -> list[Column]:
+    return ["doc_id", order.alias("cand"), text.alias("text"), resources.cast(_SPOTS).alias("resources"), F.lit(kind).alias("kind"), confidence.alias("confidence"), source.alias("source")]
+
+
+def _place(group: int, line: Column, pos: Column) -> Column:
+    """Where a candidate comes among all of its document's."""
+    return F.struct(F.lit(group).alias("group"), line.cast("int").alias("line"), pos.cast("int").alias("pos"))
 
 
 def _found_at(text, parts):
@@ -58,67 +78,63 @@ def _found_at(text, parts):
 
 
 def span_candidates(lines: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Whole lines, spans of one to six tokens, dates, and what stands before each date."""
+    """Whole lines, spans of one to six tokens, dates, and what stands before each date. A text that is several of these comes once for each; ``verify`` keeps the first."""
     t = F.col("text")
-    tokens = _found_at(t, F.regexp_extract_all(t, F.lit(r"(?U)(\S+)")))
-    dates = _found_at(t, F.regexp_extract_all(t, F.lit(f"({tx.DATE})")))
-    df = _lines(lines).where(F.trim(t) != "").withColumn("tok", tokens).withColumn("dat", dates)
-    n = F.size("tok")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, F.least(i + th.max_tokens, n) - 1), lambda j: F.struct(F.col("tok")[i]["a"].alias("a"), F.col("tok")[j]["b"].alias("b")))))
-    cut = lambda x: F.substr(t, x["a"] + 1, x["b"] - x["a"])
-    found = F.concat(
-        F.array(F.struct(F.trim(t).alias("text"), F.lit(0).alias("a"), F.length(t).alias("b"))),
-        F.transform(spans, lambda x: F.struct(cut(x).alias("text"), x["a"].alias("a"), x["b"].alias("b"))),
-        F.flatten(F.transform("dat", lambda x: F.array(F.struct(cut(x).alias("text"), x["a"].alias("a"), x["b"].alias("b")), F.struct(F.trim(F.substr(t, F.lit(1), x["a"])).alias("text"), F.lit(0).alias("a"), x["a"].alias("b"))))),
-    )
-    found = F.array_distinct(F.filter(found, lambda x: x["text"] != ""))
-    df = df.select("doc_id", "line_pos", "confidence", F.coalesce("source", "side", F.lit("visible_ocr")).alias("source"), F.posexplode(found).alias("pos", "c"))
-    return df.select("doc_id", (F.col("line_pos").cast("long") * 100_000 + F.col("pos")).alias("cand_pos"), F.col("c.text").alias("text"), F.array(F.struct(F.col("line_pos").alias("line"), F.col("c.a").alias("a"), F.col("c.b").alias("b"))).alias("resources"), F.lit("visible_ocr").alias("kind"), "confidence", "source")
-
-
-def compatible(a, b, th: Thresholds) -> bool:
-    """Whether two lines can follow each other in one value; rows with side, source and bbox."""
-    sides = (a["side"] or a["source"], b["side"] or b["source"])
-    if all(sides) and sides[0] != sides[1]:
-        return False
-    p, q = a["bbox"], b["bbox"]
-    if p is None or q is None:
-        return True
-    if p["y1"] > q["y1"]:
-        p, q = q, p
-    height = max(1.0, p["y2"] - p["y1"], q["y2"] - q["y1"])
-    near = q["y1"] - p["y2"] <= th.vertical_gap * height
-    overlap = min(p["x2"], q["x2"]) > max(p["x1"], q["x1"])
-    aligned = abs(p["x1"] - q["x1"]) <= th.left_alignment * max(p["x2"] - p["x1"], q["x2"] - q["x1"], 1.0)
-    return near and (overlap or aligned)
+    source = F.coalesce("source", "side", F.lit("visible_ocr"))
+    df = _lines(lines).where(F.trim(t) != "").select("doc_id", "line_pos", "text", "confidence", source.alias("source"))
+    spot = lambda a, b: F.array(F.struct(F.col("line_pos").alias("line"), a.alias("a"), b.alias("b")))
+    cut = F.substr(t, F.col("a") + 1, F.col("b") - F.col("a"))
+
+    def rows(df: DataFrame, pos: Column, text: Column) -> DataFrame:
+        return df.where(text != "").select(*_candidate(_place(0, F.col("line_pos"), pos), text, spot(F.col("a"), F.col("b")), "visible_ocr", F.col("confidence"), F.col("source")))
+
+    whole = rows(df.withColumns({"a": F.lit(0), "b": F.length(t)}), F.lit(0), F.trim(t))
+    tokens = df.withColumn("tok", _found_at(t, F.regexp_extract_all(t, F.lit(r"(?U)(\S+)")))).select("*", F.posexplode("tok").alias("i", "first"))
+    tokens = tokens.select("*", F.explode(F.sequence(F.col("i"), F.least(F.col("i") + th.max_tokens, F.size("tok")) - 1)).alias("j"))
+    tokens = tokens.withColumns({"a": F.col("first.a"), "b": F.col("tok")[F.col("j")]["b"]}).drop("tok", "first")
+    spans = rows(tokens, 1 + F.col("i") * th.max_tokens + F.col("j") - F.col("i"), cut)
+    dated = df.where(t.rlike(tx.DATE)).withColumn("dat", _found_at(t, F.regexp_extract_all(t, F.lit(f"({tx.DATE})"))))
+    dated = dated.select("*", F.posexplode("dat").alias("i", "d")).withColumn("n", 1 + th.max_tokens * F.length(t) + 2 * F.col("i"))
+    dates = rows(dated.withColumns({"a": F.col("d.a"), "b": F.col("d.b")}), F.col("n"), cut)
+    before = rows(dated.withColumns({"a": F.lit(0), "b": F.col("d.a")}), F.col("n") + 1, F.trim(cut))
+    return reduce(DataFrame.unionByName, [whole, spans, dates, before])
+
+
+def _next_lines(lines: DataFrame, th: Thresholds) -> DataFrame:
+    """doc_id, line_pos, next: of each line the first one further on, in reading order, that can continue its value.
+
+    Two boxes can be near only if the lower starts within (gap + 1) of the page's greatest line
+    height from the upper one's top, so pages are cut into strips of that height and a line meets those of its
+    own strip and the next. Lines without a box are continued by the following line only.
+    """
+    side = F.coalesce(F.when(F.col("side") != "", F.col("side")), F.when(F.col("source") != "", F.col("source")))
+    top = F.coalesce("bbox.y1", F.lit(float("inf")))
+    order = F.struct(top.alias("y"), F.coalesce("reading_order", "line_pos").alias("n"), "line_pos")
+    df = lines.select("doc_id", "line_pos", "bbox", side.alias("where_from"), order.alias("order"))
+    tall = df.groupBy("doc_id").agg((th.vertical_gap + 1) * F.greatest(F.lit(1.0), F.max(F.col("bbox.y2") - F.col("bbox.y1")))).toDF("doc_id", "tall")
+    boxed = df.where("bbox is not null").join(tall, "doc_id").withColumn("strip", F.floor(F.col("bbox.y1") / F.col("tall"))).drop("tall")
+    b = lambda d: d.select("doc_id", *(F.col(c).alias(f"{c}2") for c in d.columns if c != "doc_id"))
+    near = boxed.withColumn("strip2", F.explode(F.array("strip", F.col("strip") + 1))).join(b(boxed), ["doc_id", "strip2"]).where(layout.compatible(F.col("bbox"), F.col("bbox2"), th.vertical_gap, th.left_alignment))
+    follow = df.withColumn("line_pos2", F.col("line_pos") + 1).join(b(df), ["doc_id", "line_pos2"]).where("bbox is null or bbox2 is null")
+    columns = ["doc_id", "line_pos", "order", "where_from", "line_pos2", "order2", "where_from2"]
+    pairs = near.select(*columns).unionByName(follow.select(*columns)).where("order2 > order and coalesce(where_from = where_from2, true)")
+    return pairs.groupBy("doc_id", "line_pos").agg(F.min_by("line_pos2", "order2").alias("next"))
 
 
 def assembled_candidates(lines: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Blocks of two or three compatible lines, in reading order."""
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("line_pos").to_dict("records")
-        for r in rows:
-            r["side"], r["source"] = (None if pd.isna(r[c]) else r[c] for c in ("side", "source"))
-        order = sorted(rows, key=lambda r: (r["bbox"]["y1"] if r["bbox"] is not None else float("inf"), r["reading_order"] if pd.notna(r["reading_order"]) else r["line_pos"]))
-        out, seen = [], set()
-        for i, first in enumerate(order):
-            group = [first]
-            for nxt in order[i + 1 :]:
-                if len(group) == th.max_lines:
-                    break
-                last = group[-1]
-                if (last["bbox"] is None or nxt["bbox"] is None) and nxt["line_pos"] != last["line_pos"] + 1 or not compatible(last, nxt, th):
-                    continue
-                group.append(nxt)
-                text = " ".join(r["text"].strip() for r in group).strip()
-                key = (text, tuple(r["line_pos"] for r in group))
-                if key not in seen:
-                    seen.add(key)
-                    out.append((first["doc_id"], 10**12 + len(out), text, [{"line": r["line_pos"], "a": 0, "b": len(r["text"])} for r in group], "visible_ocr", min(r["confidence"] for r in group), first["source"] or first["side"] or "visible_ocr"))
-        return pd.DataFrame(out, columns=["doc_id", "cand_pos", "text", "resources", "kind", "confidence", "source"])
-
-    return _lines(lines).groupBy("doc_id").applyInPandas(chain, _CANDIDATE)
+    """Blocks of two or more lines, each the next that fits the one before; every beginning of a chain is a candidate."""
+    df = _lines(lines)
+    after = _next_lines(df, th)
+    one = lambda n: df.select("doc_id", F.col("line_pos").alias("next"), *(F.col(c).alias(f"{c}{n}") for c in ("text", "confidence")))
+    spot = lambda line, text: F.struct(line.alias("line"), F.lit(0).alias("a"), F.length(text).alias("b"))
+    source = F.coalesce(F.when(F.col("source") != "", F.col("source")), F.when(F.col("side") != "", F.col("side")), F.lit("visible_ocr"))
+    chain = df.select("doc_id", F.col("line_pos").alias("head"), F.col("line_pos").alias("tail"), F.trim("text").alias("text"), F.array(spot(F.col("line_pos"), F.col("text"))).alias("resources"), "confidence", source.alias("source"))
+    parts = []
+    for n in range(2, th.max_lines + 1):
+        step = chain.join(after.withColumnRenamed("line_pos", "tail"), ["doc_id", "tail"]).join(one("2"), ["doc_id", "next"])
+        chain = step.select("doc_id", "head", F.col("next").alias("tail"), F.concat_ws(" ", "text", F.trim("text2")).alias("text"), F.concat("resources", F.array(spot(F.col("next"), F.col("text2")))).alias("resources"), F.least("confidence", "confidence2").alias("confidence"), "source")
+        parts.append(chain.select(*_candidate(_place(1, F.col("head"), F.lit(n)), F.trim("text"), F.col("resources"), "visible_ocr", F.col("confidence"), F.col("source"))))
+    return reduce(DataFrame.unionByName, parts).where("text <> ''")
 
 
 def mrz_candidates(lines: DataFrame, documents: DataFrame) -> DataFrame:
@@ -133,16 +149,9 @@ def mrz_candidates(lines: DataFrame, documents: DataFrame) -> DataFrame:
 
     def follows(a: str, b: str):
         side = lambda s: F.coalesce(f"side{s}", f"source{s}", F.lit(""))
-        boxes = F.col(f"bbox{a}").isNotNull() & F.col(f"bbox{b}").isNotNull()
-        c = lambda s, k: F.col(f"bbox{s}.{k}")
-        flip = c(a, "y1") > c(b, "y1")
-        p, q = (lambda k: F.when(flip, c(b, k)).otherwise(c(a, k))), (lambda k: F.when(flip, c(a, k)).otherwise(c(b, k)))
-        th = Thresholds()
-        height = F.greatest(F.lit(1.0), p("y2") - p("y1"), q("y2") - q("y1"))
-        near = q("y1") - p("y2") <= th.vertical_gap * height
-        lap = F.least(p("x2"), q("x2")) > F.greatest(p("x1"), q("x1"))
-        aligned = F.abs(p("x1") - q("x1")) <= th.left_alignment * F.greatest(p("x2") - p("x1"), q("x2") - q("x1"), F.lit(1.0))
-        place = F.when(boxes, near & (lap | aligned)).otherwise(F.col(f"line_pos{b}") == F.col(f"line_pos{a}") + 1)
+        p, q, th = F.col(f"bbox{a}"), F.col(f"bbox{b}"), Thresholds()
+        fits = F.when(p["y1"] > q["y1"], layout.compatible(q, p, th.vertical_gap, th.left_alignment)).otherwise(layout.compatible(p, q, th.vertical_gap, th.left_alignment))
+        place = F.when(p.isNotNull() & q.isNotNull(), fits).otherwise(F.col(f"line_pos{b}") == F.col(f"line_pos{a}") + 1)
         return ((side(a) == "") | (side(b) == "") | (side(a) == side(b))) & place
 
     def rows(df: DataFrame, fields: dict, checks, ranges: dict, confidence) -> DataFrame:
@@ -154,9 +163,10 @@ def mrz_candidates(lines: DataFrame, documents: DataFrame) -> DataFrame:
             if name in ("date_of_birth", "date_of_expiry"):
                 values.append(F.struct(mrz.full_date(v).alias("text"), spot.alias("r")))
         df = df.where(mrz.all_passed(checks)).select("doc_id", "line_pos", confidence.alias("confidence"), F.posexplode(F.array(*values)).alias("pos", "c")).where("c.text is not null")
-        return df.select("doc_id", (F.lit(2 * 10**12) + F.col("line_pos").cast("long") * 100 + F.col("pos")).alias("cand_pos"), "c.text", F.array("c.r").alias("resources"), F.lit("mrz").alias("kind"), "confidence", F.lit("mrz").alias("source"))
+        return df.select(*_candidate(_place(2, F.col("line_pos"), F.col("pos")), F.col("c.text"), F.array("c.r"), "mrz", F.col("confidence"), F.lit("mrz")))
 
     n = F.lit
+    # The columns of each field in a zone's lines.
     sep, third = F.instr("text", "<<") - 1, F.instr("text2", "<<") - 1
     two = df.where((F.col("document_type") == "passport") & (F.length("f") == 44) & (F.length("f1") == 44) & follows("", "1"))
     r3 = {"document_code": ("line_pos", n(0), n(2)), "issuing_state": ("line_pos", n(2), n(5)), "surname": ("line_pos", n(5), F.when(sep >= 0, sep).otherwise(44)), "given_names": ("line_pos", F.when(sep >= 0, sep + 2).otherwise(5), n(44)), "document_number": ("line_pos1", n(0), n(9)), "nationality": ("line_pos1", n(10), n(13)), "date_of_birth": ("line_pos1", n(13), n(19)), "sex": ("line_pos1", n(20), n(21)), "date_of_expiry": ("line_pos1", n(21), n(27)), "optional_data": ("line_pos1", n(28), n(42))}
@@ -166,48 +176,116 @@ def mrz_candidates(lines: DataFrame, documents: DataFrame) -> DataFrame:
     return a.unionByName(rows(three, *mrz.td1(F.col("f"), F.col("f1"), F.col("f2")), r1, F.least("confidence", "confidence1", "confidence2")))
 
 
+def _scored(th: Thresholds):
+    """The texts of one block of a document that can be among a field's options."""
+
+    def score(fields: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        out, ready = [], {}
+        for kind, some in texts.groupby("kind", sort=False):
+            ready[kind] = (some["text"].tolist(), some["found"].tolist(), Texts(some["found"].tolist()), *(some[c].to_numpy(bool) for c in ("digits", "mixed", "dated")))
+        for f in fields.itertuples():
+            if f.field_kind not in ready:
+                continue
+            raw, found, rows, digits, mixed, dated = ready[f.field_kind]
+            fits = {"date": dated, "identifier": digits if f.digits else mixed, "name": ~digits | bool(f.digits)}.get(f.field_kind, np.ones(len(raw), bool))
+            for i, value in best_matches(f.target, rows, fits, th.candidate_min_score, th.options, th.mrz_source_penalty, th.mrz_conflict_score):
+                out.append((f.doc_id, f.field_pos, raw[i], found[i], value, round(value, 4)))
+        return pd.DataFrame(out, columns=["doc_id", "field_pos", "text", "found", "score", "rounded"])
+
+    return score
+
+
 def _assign(th: Thresholds):
+    """One option, or none, for each field in turn: the best sums so far are carried on, and no characters serve twice."""
+
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        fields = [(pos, g.sort_values("rank").to_dict("records")) for pos, g in pdf.groupby("field_pos", sort=True)]
-        beam: list[tuple[float, tuple, tuple]] = [(0.0, (), ())]
-        for _, options in fields:
-            grown = [(s, used, (*picked, None)) for s, used, picked in beam]
-            for s, used, picked in beam:
-                for o in options:
-                    spots = tuple((r["line"], r["a"], r["b"]) for r in o["resources"])
-                    if not any(x[0] == y[0] and max(x[1], y[1]) < min(x[2], y[2]) for x in spots for y in used):
-                        grown.append((s + o["adjusted"], used + spots, (*picked, o["cand_pos"])))
-            beam = sorted(grown, key=lambda b: b[0], reverse=True)[: th.beam]
-        best = max(beam, key=lambda b: b[0])[2]
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], pos, c) for (pos, _), c in zip(fields, best, strict=True) if c is not None], columns=["doc_id", "field_pos", "cand_pos"])
+        beam: list[tuple[float, frozenset, tuple]] = [(0.0, frozenset(), ())]
+        for pos, options in pdf.sort_values(["field_pos", "rank"]).groupby("field_pos", sort=True):
+            spots = [[(r["line"], r["a"], r["b"]) for r in x] for x in options["resources"]]
+            choices = list(zip(options["adjusted"], options["rank"], spots, strict=True))
+            now = list(beam)  # leaving the field out comes first among equals
+            for total, used, picked in beam:
+                taken: dict[int, list] = {}
+                for line, a, b in used:
+                    taken.setdefault(line, []).append((a, b))
+                for value, rank, mine in choices:
+                    if not any(a < y and x < b for line, a, b in mine for x, y in taken.get(line, ())):
+                        now.append((total + value, used.union(mine), (*picked, (pos, rank))))
+            beam = sorted(now, key=lambda s: -s[0])[: th.beam]
+        return pd.DataFrame([(pdf["doc_id"].iat[0], pos, rank) for pos, rank in beam[0][2]], columns=["doc_id", "field_pos", "rank"])
 
     return assign
 
 
-def verify(lines: DataFrame, expected: DataFrame, documents: DataFrame | None = None, th: Thresholds = Thresholds()) -> DataFrame:
-    """One row for each expected field: doc_id, field_pos, field, expected, detected, score, status, source, evidence."""
+def prepared(expected: DataFrame) -> DataFrame:
+    """doc_id, field_pos, field, expected, and its kind and normal form."""
+    fields = expected.select(F.col("doc_id").cast("string"), F.col("field_pos").cast("int"), "field", F.trim(F.col("expected").cast("string")).alias("expected"))
+    fields = fields.withColumn("field_kind", tx.field_kind(F.col("field"), F.col("expected")))
+    return fields.withColumn("target", tx.normal(F.col("expected"), F.col("field_kind")))
+
+
+def candidates(lines: DataFrame, documents: DataFrame | None = None, th: Thresholds = Thresholds()) -> DataFrame:
+    """All candidates of all documents, in their order of preference."""
     cands = span_candidates(lines, th).unionByName(assembled_candidates(lines, th))
-    if documents is not None:
-        cands = cands.unionByName(mrz_candidates(lines, documents))
-    first = W.partitionBy("doc_id", "text", "resources", "kind").orderBy("cand_pos")
-    cands = cands.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
-    value = F.trim(F.col("expected").cast("string"))
-    fields = expected.select(F.col("doc_id").cast("string"), F.col("field_pos").cast("int"), "field", value.alias("expected")).withColumn("field_kind", tx.field_kind(F.col("field"), F.col("expected"))).withColumn("target", tx.normal(F.col("expected"), F.col("field_kind")))
+    return cands if documents is None else cands.unionByName(mrz_candidates(lines, documents))
+
+
+def options(fields: DataFrame, cands: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """At most twelve candidates for each field, best first (``rank``)."""
     # normal forms once for each text and kind, not once for each pair
-    texts = cands.select("doc_id", "text").distinct().join(fields.select("doc_id", "field_kind").distinct(), "doc_id").withColumn("found", tx.normal(F.col("text"), F.col("field_kind")))
-    pairs = fields.join(texts, ["doc_id", "field_kind"]).where(tx.shape_fits(F.col("target"), F.col("found"), F.col("text"), F.col("field_kind")))
-    pairs = scored_pairs(pairs, "target", "found").where(F.col("score") >= th.candidate_min_score)
-    options = pairs.join(cands, ["doc_id", "text"])
+    texts = cands.select("doc_id", "text").distinct().join(fields.select("doc_id", "field_kind").distinct(), "doc_id")
+    texts = texts.withColumn("found", tx.normal(F.col("text"), F.col("field_kind"))).where("found <> ''").withColumns(tx.looks(F.col("found"), F.col("text")))
+    blocks = texts.groupBy("doc_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("text"), F.col("blocks")).alias("block")
+    left = fields.join(blocks, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "field_pos", "field_kind", "target", F.col("target").rlike(r"^\p{Nd}+$").alias("digits"))
+    right = texts.join(blocks, "doc_id").select("doc_id", block, F.col("field_kind").alias("kind"), "text", "found", "digits", "mixed", "dated")
+    best = left.groupBy("doc_id", "block").cogroup(right.groupBy("doc_id", "block")).applyInPandas(_scored(th), "doc_id string, field_pos int, text string, found string, score double, rounded double")
+    found = best.join(cands, ["doc_id", "text"])
+    again = W.partitionBy("doc_id", "field_pos", "text", "resources", "kind").orderBy("cand")
+    found = found.withColumn("again", F.row_number().over(again)).where("again = 1").drop("again")
     per_field = W.partitionBy("doc_id", "field_pos")
     visible = F.max(F.when(F.col("kind") == "visible_ocr", F.col("score")).otherwise(0.0)).over(per_field)
-    options = options.withColumn("adjusted", F.when((F.col("kind") == "mrz") & (visible >= th.mrz_conflict_score), F.col("score") - th.mrz_source_penalty).otherwise(F.col("score"))).where(F.col("adjusted") >= th.candidate_min_score)
-    rank = F.row_number().over(per_field.orderBy(F.desc("adjusted"), F.desc("score"), F.desc("confidence"), "cand_pos"))
-    options = options.withColumn("rank", rank).where(F.col("rank") <= th.options)
-    chosen = options.select("doc_id", "field_pos", "rank", "cand_pos", "adjusted", "resources").groupBy("doc_id").applyInPandas(_assign(th), "doc_id string, field_pos int, cand_pos long")
-    got = options.select("doc_id", "field_pos", "cand_pos", "text", "found", "score", "source", "resources").join(chosen, ["doc_id", "field_pos", "cand_pos"])
-    out = fields.join(got, ["doc_id", "field_pos"], "left")
+    found = found.withColumn("adjusted", F.when((F.col("kind") == "mrz") & (visible >= th.mrz_conflict_score), F.col("score") - th.mrz_source_penalty).otherwise(F.col("score"))).where(F.col("adjusted") >= th.candidate_min_score)
+    rank = F.row_number().over(per_field.orderBy(F.desc("adjusted"), F.desc("score"), F.desc("confidence"), "cand"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= th.options)
+
+
+def _with_evidence(chosen: DataFrame, lines: DataFrame) -> DataFrame:
+    """``evidence``: of each line that a value was read from its id, the span of characters, source, side and box."""
+    at = chosen.select("doc_id", "field_pos", F.posexplode("resources").alias("n", "r"))
+    line = _lines(lines).select("doc_id", F.col("line_pos").alias("line"), F.coalesce("line_id", F.col("line_pos").cast("string")).alias("line_id"), F.coalesce("source", "side", F.lit("visible_ocr")).alias("line_source"), "side", "bbox")
+    at = at.withColumn("line", F.col("r.line")).join(line, ["doc_id", "line"])
+    part = F.struct("n", "line_id", F.array("r.a", "r.b").alias("span"), F.col("line_source").alias("source"), "side", "bbox")
+    got = at.groupBy("doc_id", "field_pos").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.dropFields("n")).alias("evidence"))
+    return chosen.join(got, ["doc_id", "field_pos"])
+
+
+def verify(lines: DataFrame, expected: DataFrame, documents: DataFrame | None = None, th: Thresholds = Thresholds()) -> DataFrame:
+    """One row for each expected field: doc_id, field_pos, field, expected, detected, score, status, source, evidence."""
+    fields = prepared(expected)
+    best = options(fields, candidates(lines, documents, th), th)
+    chosen = best.select("doc_id", "field_pos", "rank", "adjusted", "resources").groupBy("doc_id").applyInPandas(_assign(th), "doc_id string, field_pos int, rank int")
+    got = best.select("doc_id", "field_pos", "rank", "text", "found", "score", "rounded", "source", "resources").join(chosen, ["doc_id", "field_pos", "rank"])
+    out = fields.join(_with_evidence(got, lines), ["doc_id", "field_pos"], "left")
     status = tx.status(F.col("target"), F.col("found"), F.col("score"), F.col("field_kind"), th.likely_name_score, th.likely_text_score)
-    return out.select("doc_id", "field_pos", "field", "expected", F.col("text").alias("detected"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"), status.alias("status"), "source", F.col("resources").alias("evidence"))
+    return out.select("doc_id", "field_pos", "field", "expected", F.col("text").alias("detected"), F.coalesce("rounded", F.lit(0.0)).alias("score"), status.alias("status"), "source", "evidence")
+
+
+def work(lines: DataFrame, expected: DataFrame, documents: DataFrame | None = None, th: Thresholds = Thresholds()) -> DataFrame:
+    """By document: candidates, pairs of a field and a candidate that could be compared, and options kept."""
+    fields, cands = prepared(expected), candidates(lines, documents, th)
+    n = cands.groupBy("doc_id").agg(F.count("*").alias("candidates")).join(fields.groupBy("doc_id").agg(F.count("*").alias("fields")), "doc_id", "full")
+    kept = options(fields, cands, th).groupBy("doc_id").agg(F.count("*").alias("options"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return n.join(kept, "doc_id", "left").select("doc_id", zero("fields"), zero("candidates"), (F.coalesce("fields", F.lit(0)) * F.coalesce("candidates", F.lit(0))).alias("comparisons"), zero("options"))
+
+
+def both_sides(front: DataFrame, back: DataFrame) -> DataFrame:
+    """The lines of a card: the front's, then the back's, numbered on from there, each with its side as source."""
+    f, b = (_lines(x).withColumns({"side": F.lit(s), "source": F.coalesce("source", F.lit(s))}) for x, s in ((front, "front"), (back, "back")))
+    upto = f.groupBy("doc_id").agg((F.max("line_pos") + 1).alias("upto"))
+    b = b.join(upto, "doc_id", "left").withColumns({"line_pos": F.col("line_pos") + F.coalesce("upto", F.lit(0)), "reading_order": F.col("reading_order") + F.coalesce("upto", F.lit(0))}).drop("upto")
+    return f.unionByName(b)
 
 
 def summary(results: DataFrame, *keys: str) -> DataFrame:
