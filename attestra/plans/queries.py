@@ -53,13 +53,14 @@ def ocr_lines(s, d):
     return layout.text_lines(t(s, d, "documents")).select("doc_id", col("line_pos").cast(L).alias("line_pos"), "text")
 
 
-@query("""with k as (select item_id, regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') w from benchmark), p as (select item_id, w, unnest(range(1, len(w) + 1)) i from k)
-select item_id, i::bigint first_token, j::bigint last_token, array_to_string(w[i:j], ' ') span from (select *, unnest(range(i, least(i + 5, len(w)) + 1)) j from p)""")
+@query("""with k as (select item_id, regexp_replace(trim(regexp_replace(text, '[^a-z ]+', ' ', 'g')), ' +', ' ', 'g') x from benchmark), w as (select item_id, x, string_split(x, ' ') w, unnest(range(1, len(string_split(x, ' ')) + 1)) i from k where x <> ''), s as (select item_id, x, w, i, unnest(range(i, least(i + 5, len(w)) + 1)) j from w),
+r as (select item_id, array_to_string(w[i:j], ' ') span, case when i = 1 then 0 else length(array_to_string(w[1:i-1], ' ')) + 1 end a from s) select item_id::varchar doc_id, span as "text", a::bigint a, (a + length(span))::bigint b from r union all select item_id::varchar, x, 0::bigint, length(x)::bigint from k where x <> ''""")
 def token_spans(s, d):
-    w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    k = t(s, d, "benchmark").select("item_id", w.alias("w")).select("*", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    k = k.select("*", F.explode(F.sequence(col("i"), F.least(col("i") + 5, F.size("w")))).alias("j"))
-    return k.select("item_id", col("i").cast(L).alias("first_token"), col("j").cast(L).alias("last_token"), F.array_join(F.slice("w", col("i"), col("j") - col("i") + 1), " ").alias("span"))
+    """The matcher's candidates inside one line: the whole of it and every span of one to six words."""
+    x = F.trim(F.regexp_replace(F.trim(F.regexp_replace("text", "[^a-z ]+", " ")), " +", " "))
+    lines = t(s, d, "benchmark").select(col("item_id").alias("doc_id"), F.lit(0).alias("line_pos"), x.alias("text"), F.lit(1.0).alias("confidence"))
+    r = col("resources")[0]
+    return matcher.span_candidates(lines).select("doc_id", "text", r["a"].cast(L).alias("a"), r["b"].cast(L).alias("b"))
 
 
 @query("""select o_orderkey, o_orderdate::date::varchar dotted, o_orderdate::date::varchar iso, strftime(o_orderdate, '20%y-%m-%d') short, '3102' || strftime(o_orderdate, '%Y') invalid from orders""")
@@ -84,21 +85,26 @@ def text_norm(s, d):
     return t(s, d, "orders").select("o_orderkey", tx.normal_text(col("o_orderpriority")).alias("norm"))
 
 
-_KIND_VALUES = [("Birth_Date", "x"), ("residence", "x"), ("authority", "AB12"), ("remark", "19.10.2005"), ("remark", "A1B2"), ("remark", "plain"), ("family", "x"), ("expires", "x"), ("note", "1 2"), ("note", "12345678")]
+_NAMES = ("Birth_Date", "residence", "authority", "remark", "family", "expires", "note", "sex", "holder", "pinfl")
+_KIND_SQL = "select p_partkey, list_extract([" + ", ".join(f"'{n}'" for n in _NAMES) + "], (p_partkey % 10 + 1)::int) field, case when p_partkey % 3 = 0 then p_name when p_partkey % 7 = 0 then '19.10.' || (2000 + p_size) when p_partkey % 11 = 0 then (10000000 + p_partkey)::varchar when p_partkey % 5 = 0 then p_partkey || ' ' || p_size else p_brand end as value from part"
 
 
-@query("""select field, value, case when lower(field) in ('birth_date','issue_date','expiry_date','date_of_birth','date_of_issue','date_of_expiry') then 'date' when lower(field) in ('authority','address','sex') then 'text'
+@query(f"""select p_partkey, case when lower(field) in ('birth_date','issue_date','expiry_date','date_of_birth','date_of_issue','date_of_expiry') then 'date' when lower(field) = 'pinfl' then 'identifier' when lower(field) in ('authority','address','sex') then 'text'
 when regexp_matches(field, '(?i)date|birth|expiry|expire|issue') then 'date' when regexp_matches(field, '(?i)number|num|passport|document|card|license|licence|pin|personal|serial|id') then 'identifier' when regexp_matches(field, '(?i)name|surname|family|given|patronymic') then 'name'
-when regexp_full_match(value, '\\d{1,4}[./, -]\\d{1,2}[./, -]\\d{1,4}|\\d{6,8}') then 'date' when length(regexp_replace(value, '[^0-9]', '', 'g')) >= 2 and regexp_matches(value, '[A-Za-z]') then 'identifier' else 'text' end kind
-from (values ('Birth_Date','x'),('residence','x'),('authority','AB12'),('remark','19.10.2005'),('remark','A1B2'),('remark','plain'),('family','x'),('expires','x'),('note','1 2'),('note','12345678')) v(field, value)""")
+when regexp_full_match(value, '\\d{{1,4}}[./, -]\\d{{1,2}}[./, -]\\d{{1,4}}|\\d{{6,8}}') then 'date' when length(regexp_replace(value, '[^0-9]', '', 'g')) >= 2 and regexp_matches(value, '[A-Za-z]') then 'identifier' else 'text' end kind
+from ({_KIND_SQL})""")
 def field_kind(s, d):
-    return s.createDataFrame(_KIND_VALUES, "field string, value string").select("field", "value", tx.field_kind(col("field"), col("value")).alias("kind"))
+    k = col("p_partkey")
+    value = F.when(k % 3 == 0, col("p_name")).when(k % 7 == 0, F.concat(F.lit("19.10."), (2000 + col("p_size")).cast(S))).when(k % 11 == 0, (10000000 + k).cast(S)).when(k % 5 == 0, F.concat_ws(" ", k.cast(S), col("p_size").cast(S))).otherwise(col("p_brand"))
+    return t(s, d, "part").select("p_partkey", tx.field_kind(F.array(*map(F.lit, _NAMES))[(k % 10).cast("int")], value).alias("kind"))
 
 
-@query("""select v, case when b = '' then v else b end bare from (select v, case when regexp_matches(v, '(?i)^\\s*(\\d+[A-Z]|[A-Z]\\d*)[.)](\\s|\\d|[A-Z])') then regexp_replace(v, '(?i)^\\s*(\\d+[A-Z]|[A-Z]\\d*)[.)]\\s*', '') when regexp_matches(v, '(?i)^\\s*\\d+[.)](\\s|[A-Z])') then regexp_replace(v, '^\\s*\\d+[.)]\\s*', '') else v end b
-from (values ('8. FARG'),('19.10.2005'),('4a. 08.12.2017'),('5.AB123'),('12. 5'),('A.1'),('8. '),('plain')) t(v))""")
+@query("""select p_partkey, case when b = '' then v else b end bare from (select p_partkey, v, case when regexp_matches(v, '(?i)^\\s*(\\d+[A-Z]|[A-Z]\\d*)[.)](\\s|\\d|[A-Z])') then regexp_replace(v, '(?i)^\\s*(\\d+[A-Z]|[A-Z]\\d*)[.)]\\s*', '') when regexp_matches(v, '(?i)^\\s*\\d+[.)](\\s|[A-Z])') then regexp_replace(v, '^\\s*\\d+[.)]\\s*', '') else v end b
+from (select p_partkey, case p_partkey % 6 when 0 then p_size || '. ' || p_name when 1 then '19.10.' || (2000 + p_size) when 2 then '4a. ' || p_size || '.12.2017' when 3 then '5.' || p_brand when 4 then '8. ' else p_name end v from part) t)""")
 def label_strip(s, d):
-    return s.createDataFrame([(x,) for x in ("8. FARG", "19.10.2005", "4a. 08.12.2017", "5.AB123", "12. 5", "A.1", "8. ", "plain")], "v string").select("v", tx.strip_label(col("v")).alias("bare"))
+    k, n = col("p_partkey") % 6, col("p_size").cast(S)
+    v = F.when(k == 0, F.concat(n, F.lit(". "), "p_name")).when(k == 1, F.concat(F.lit("19.10."), (2000 + col("p_size")).cast(S))).when(k == 2, F.concat(F.lit("4a. "), n, F.lit(".12.2017"))).when(k == 3, F.concat(F.lit("5."), "p_brand")).when(k == 4, "8. ").otherwise(col("p_name"))
+    return t(s, d, "part").select("p_partkey", tx.strip_label(v).alias("bare"))
 
 
 # ---- machine-readable zones ----
@@ -312,7 +318,7 @@ def stability(s, d):
 def stats_iqr_mad(s, d):
     e = t(s, d, "events")
     m = e.groupBy("event_type").agg(F.median("value").alias("m"), stats.iqr(col("value")).alias("iqr"), F.min("value").alias("low"), F.max("value").alias("high"))
-    dev = e.join(F.broadcast(m.select("event_type", "m")), "event_type").groupBy("event_type").agg(F.median(F.abs(col("value") - col("m"))).alias("mad"))
+    dev = e.join(m.select("event_type", "m"), "event_type").groupBy("event_type").agg(F.median(F.abs(col("value") - col("m"))).alias("mad"))
     return m.join(dev, "event_type").select("event_type", rnd(col("m")).alias("median"), rnd(col("iqr")).alias("iqr"), rnd(col("mad")).alias("mad"), "low", "high")
 
 
@@ -466,9 +472,12 @@ def key_setops(s, d):
 _MAGIC = [("FFD8FFE0", "jpg"), ("89504E470D0A1A0A00", "png"), ("524946460000000057454250", "webp"), ("524946460000000057415645", None), ("424D00", "bmp"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("474946383961", "gif"), ("255044462D", "pdf"), ("504B0304", "zip"), ("00", None), ("", None)]
 
 
-@query("select head, kind from (values " + ", ".join(f"('{h}', {repr(k) if k else 'null'})" for h, k in _MAGIC) + ") v(head, kind)")
+@query("select page_id, list_extract([" + ", ".join(repr(k) if k else "null" for _, k in _MAGIC) + f"], (page_id % {len(_MAGIC)} + 1)::int) kind from pages")
 def sniff_type(s, d):
-    return s.createDataFrame([(h,) for h, _ in _MAGIC], "head string").select("head", tx.file_type(F.unhex("head")).alias("kind"))
+    """Pages as uploads, each behind the first bytes of some file type."""
+    head = F.array(*(F.lit(h) for h, _ in _MAGIC))[(col("page_id") % len(_MAGIC)).cast("int")]
+    body = F.when(head == "", F.lit("").cast("binary")).otherwise(F.concat(F.unhex(head), F.encode("html", "utf-8")))
+    return t(s, d, "pages").select("page_id", tx.file_type(body).alias("kind"))
 
 
 @query("""select page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') as safe from pages""")
@@ -540,3 +549,5 @@ def zone_reconstruct(s, d):
 
 
 ORACLE["zone_reconstruct"] = "select c_custkey, upper(c_mktsegment) surname, lpad(c_custkey::varchar, 9, '0') document_number, c_custkey % 7 <> 0 valid from customer"
+
+from attestra.plans import run_queries  # noqa: E402, F401  registers more queries
