@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from attestra.llm import _text as T
 
 FEATURES = 1 << 13
+#: Text bytes whose features a task holds at once; documents whose cosines it holds at once.
+_SLICE, _ROWS = 1 << 20, 128
 RANK = 64
 _SCHEMA = "doc_id long, at binary, count binary"
 
@@ -67,9 +69,9 @@ def weighted(doc: np.ndarray, at: np.ndarray, count: np.ndarray, idf: np.ndarray
     """Unit latent vectors of n documents (zero where there is nothing)."""
     v = (1 + np.log(count)).astype(np.float32) * idf[at]
     out = np.zeros((n, basis.shape[1]), np.float32)
-    for a in range(0, len(doc), 1 << 18):
-        d = doc[a : a + (1 << 18)]
-        part = v[a : a + (1 << 18), None] * basis[at[a : a + (1 << 18)]]
+    for a in range(0, len(doc), 1 << 16):
+        d = doc[a : a + (1 << 16)]
+        part = v[a : a + (1 << 16), None] * basis[at[a : a + (1 << 16)]]
         head = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
         np.add.at(out, d[head], np.add.reduceat(part, head, axis=0))
     size = np.linalg.norm(out, axis=1, keepdims=True)
@@ -81,7 +83,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(FEATURES, np.int64), 0
-        for piece in T.slices(batches, "text"):
+        for piece in T.slices(batches, "text", _SLICE):
             total += np.bincount(features(*T.strings(piece.column("text")))[1], minlength=FEATURES)
             n += piece.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(np.r_[total, n])], names=["at", "n"])
@@ -113,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, samp
     chosen = parts[0].unionByName(parts[1]).select("doc_id", "y")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in T.slices(batches, "text"):
+        for piece in T.slices(batches, "text", _SLICE):
             doc, at, count = features(*T.strings(piece.column("text")))
             cut = np.searchsorted(doc, np.arange(piece.num_rows + 1))
             cols = [[x[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (at, count)]
@@ -153,15 +155,15 @@ def _voter(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, sam
         if len(ys):
             doc, at, count = features(*T.strings(piece.column("text")))
             x = weighted(doc, at, count, idf, basis, n)
-            for a in range(0, n, 512):
-                sim = np.maximum(x[a : a + 512] @ lsa.T, 0)
+            for a in range(0, n, _ROWS):
+                sim = np.maximum(x[a : a + _ROWS] @ lsa.T, 0)
                 m = min(k, len(ys))
                 # cosines to six places, then the place among the labelled rows (by doc_id): no two keys are equal
                 rank = np.arange(len(ys)) - np.rint(sim * np.float64(10**6)) * len(ys)
                 near = np.sort(np.argpartition(rank, m - 1, axis=1)[:, :m], axis=1)
                 w = np.take_along_axis(sim, near, 1).astype(float) ** 4
                 total = w.sum(1)
-                out[a : a + 512] = np.where(total > 1e-9, (w * ys[near]).sum(1) / np.maximum(total, 1e-9), mean)
+                out[a : a + _ROWS] = np.where(total > 1e-9, (w * ys[near]).sum(1) / np.maximum(total, 1e-9), mean)
         return np.clip(out, 0, 1)
 
     return vote
@@ -172,7 +174,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "qu
     vote = _voter(docs, labels, held_out, label, sample, k, rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in T.slices(batches, "text"):
+        for piece in T.slices(batches, "text", _SLICE):
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(vote(piece))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -183,7 +185,7 @@ def accepted(docs: DataFrame, labels: DataFrame, held_out: Column, least: float
     vote = _voter(docs, labels, held_out, label, sample, k, rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in T.slices(batches, "text"):
+        for piece in T.slices(batches, "text", _SLICE):
             yield piece.filter(pa.array(vote(piece) >= least))
 
     return docs.mapInArrow(run, docs.schema)
