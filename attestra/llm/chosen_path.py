@@ -3,7 +3,7 @@
 A text is the set of its five-word shingles. Recursively, each set picks shared
 tokens by a hash of the path so far (PICKS of its tokens on average), and sets
 that picked the same path form a bucket. Buckets of more than ``limit`` sets split
-once more; those that still hold more than _BLOCK sets are split again and again, as
+once more; those that still hold more than _DEEP sets are split again and again, as
 long as that saves comparisons. Runs with independent hashes repeat until
 a pair at the threshold is missed with probability below 1 - ``recall``, at any
 depth. Every pair of a bucket is then compared exactly. Large buckets (near copies,
@@ -43,6 +43,8 @@ PICKS = (2, 1, 5)
 #: Levels below the second.
 _DEPTH = 6
 _BLOCK = 512
+#: Sets of a bucket from which a split can cost less than comparing its blocks: the split ships each member's text and about PICKS[-1] sets, the blocks ship m / _BLOCK sets.
+_DEEP = 8 * _BLOCK
 _TASK_BYTES = 8 << 20
 _DENSE = 8
 
@@ -106,9 +108,9 @@ def _paths(words: int, runs: int, picks: tuple[int, ...]):
     return run
 
 
-def _buckets(rows: DataFrame, *by: str) -> DataFrame:
+def _buckets(rows: DataFrame) -> DataFrame:
     """Size and a signature of the members of every bucket of two or more."""
-    return rows.groupBy(*by or ["bucket"]).agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("s2")).where("m > 1")
+    return rows.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("s2")).where("m > 1")
 
 
 def _tokens(words: int):
@@ -119,7 +121,7 @@ def _tokens(words: int):
             sets = shingle_sets(piece, words)
             good = [i for i, s in enumerate(sets) if len(s) and _set_id(s) == (piece.column("lo")[i].as_py(), piece.column("hi")[i].as_py())]
             if good:
-                yield pa.RecordBatch.from_arrays([piece.column("rep").take(pa.array(good)), pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["rep", "tokens"])
+                yield pa.RecordBatch.from_arrays([piece.column("rep").take(pa.array(good)), pa.array([sets[i].tobytes() for i in good], pa.binary()), piece.column("parents").take(pa.array(good))], names=["rep", "tokens", "parents"])
 
     return run
 
@@ -140,32 +142,42 @@ def _split(picks: int):
     return run
 
 
+def _below(docs: DataFrame, classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """rep, parent, bucket: the buckets one level below those of ``rows`` (rep, bucket)."""
+    parents = rows.groupBy("rep").agg(F.collect_set("bucket").alias("parents")).join(classes.select("rep", F.col("first.doc_id").alias("src"), "lo", "hi"), "rep")
+    sets = docs.join(parents, docs["doc_id"] == parents["src"]).select("rep", "lo", "hi", "text", "parents").mapInArrow(_tokens(words), "rep long, tokens binary, parents array<long>")
+    return written(sets.mapInArrow(_split(PICKS[-1]), "rep long, parent long, bucket long").distinct(), "deep")
+
+
 def _deeper(docs: DataFrame, classes: DataFrame, rows: DataFrame, sizes: DataFrame, words: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(rows, sizes) of the buckets that take the place of those over _BLOCK sets: split as long as that saves comparisons, the rest as they are."""
-    sizes = sizes.where(F.col("m") > _BLOCK)
-    done, of_done = [], []
-    if not sizes.limit(1).count():
-        return done, of_done
-    rows = written(rows.join(sizes.select("bucket"), "bucket", "left_semi").select("rep", "bucket"), "deep")
-    wanted = rows.select("rep").distinct().join(classes.select("rep", F.col("first.doc_id").alias("src"), "lo", "hi"), "rep")
-    sets = written(docs.join(wanted, docs["doc_id"] == wanted["src"]).select("rep", "lo", "hi", "text").mapInArrow(_tokens(words), "rep long, tokens binary").dropDuplicates(["rep"]), "deep-sets")
+    """(rows, sizes) of the buckets that take the place of those over _DEEP sets.
+
+    A hashed sample of about _BLOCK members tells whether a split would save
+    comparisons; only then are all members split, level by level. The other buckets
+    stay whole. The sample decides on cost alone: every bucket is compared exactly.
+    """
+    sizes = sizes.where(F.col("m") > _DEEP)
+    done: list[DataFrame] = []
+    of_done: list[DataFrame] = []
     for _ in range(_DEPTH):
-        parents = rows.groupBy("rep").agg(F.collect_set("bucket").alias("parents"))
-        below = written(sets.join(parents, "rep").mapInArrow(_split(PICKS[-1]), "rep long, parent long, bucket long").distinct(), "deep")
-        parts = written(_buckets(below, "parent", "bucket"), "buckets")
-        work = parts.groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("work"))
-        judged = sizes.join(work.withColumnRenamed("parent", "bucket"), "bucket", "left").withColumn("split", F.coalesce("work", F.lit(0.0)) < 2.0 * F.col("m") * F.col("m"))
-        judged = written(judged, "judged")
-        whole, cut = judged.where("not split").drop("work", "split"), judged.where("split").select(F.col("bucket").alias("parent"))
-        parts, below = parts.join(cut, "parent", "left_semi").drop("parent"), below.join(cut, "parent", "left_semi").select("rep", "bucket")
-        small = parts.where(F.col("m") <= _BLOCK)
-        done += [rows.join(whole.select("bucket"), "bucket", "left_semi").select("rep", "bucket"), below.join(small.select("bucket"), "bucket", "left_semi").select("rep", "bucket")]
-        of_done += [whole, small]
-        sizes = parts.where(F.col("m") > _BLOCK)
-        rows = below.join(sizes.select("bucket"), "bucket", "left_semi").select("rep", "bucket")
         if not sizes.limit(1).count():
             return done, of_done
-    return [*done, rows], [*of_done, sizes]  # the last level is compared whole
+        big = sizes.select(F.col("bucket").alias("parent"), "m")
+        few = F.pmod(F.xxhash64("rep", "bucket"), F.ceil(F.col("m") / _BLOCK)) == 0
+        sample = written(rows.join(big, (F.col("bucket") == F.col("parent")) & few).select("rep", "bucket"), "deep")
+        n = sample.groupBy(F.col("bucket").alias("parent")).agg(F.count("*").alias("n"))
+        shares = _below(docs, classes, sample, words).groupBy("parent", "bucket").agg(F.count("*").alias("c")).groupBy("parent").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("work"))
+        cut = written(n.join(shares, "parent", "left").where(F.coalesce("work", F.lit(0.0)) < 2.0 * F.col("n") * F.col("n")).select("parent"), "judged")
+        of_done.append(sizes.join(cut.withColumnRenamed("parent", "bucket"), "bucket", "left_anti"))  # their rows are in the level above
+        if not cut.limit(1).count():
+            return done, of_done
+        below = _below(docs, classes, rows.join(cut.withColumnRenamed("parent", "bucket"), "bucket", "left_semi"), words)
+        rows = below.select("rep", "bucket")
+        level = written(_buckets(rows), "buckets")
+        done.append(rows)
+        of_done.append(level.where(F.col("m") <= _DEEP))
+        sizes = level.where(F.col("m") > _DEEP)
+    return done, [*of_done, sizes]  # the last level is compared whole
 
 
 def _members(words: int):
@@ -287,7 +299,7 @@ def _joined(docs: DataFrame, words: int, threshold: float, recall: float, limit:
     sizes2 = written(_buckets(two), "buckets")
     below, of_below = _deeper(docs, classes, two, sizes2, words)
     # of buckets with the same members one is enough
-    sizes = functools.reduce(DataFrame.unionByName, of_below, sizes1.where(F.col("m") <= limit).unionByName(sizes2.where(F.col("m") <= _BLOCK)))
+    sizes = functools.reduce(DataFrame.unionByName, of_below, sizes1.where(F.col("m") <= limit).unionByName(sizes2.where(F.col("m") <= _DEEP)))
     kept = written(sizes.groupBy("m", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "buckets")
     total = kept.agg(F.sum(F.col("m") * F.ceil(F.col("m") / _BLOCK))).first()[0] or 0
     mean = classes.agg(F.avg("n")).first()[0] or 0

@@ -123,6 +123,7 @@ def test_chosen_path_blocks(spark, monkeypatch):
         w[random.Random(i).randrange(120)] = f"v{i}"
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(chosen_path, "_BLOCK", 64)
+    monkeypatch.setattr(chosen_path, "_DEEP", 64)
     got = chosen_path.join(spark.createDataFrame(rows, "doc_id long, text string"), limit=16).toPandas()
     sets = [shingles(t) for _, t in rows]
     want = [sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for a in sets]
@@ -135,6 +136,7 @@ def test_chosen_path_recursion(spark, monkeypatch):
     for i in range(240):
         rows.append((i, " ".join(shared + [f"o{i // 2}x{j}" for j in range(60)] + ([f"e{i}"] if i % 2 else []))))
     monkeypatch.setattr(chosen_path, "_BLOCK", 8)
+    monkeypatch.setattr(chosen_path, "_DEEP", 8)
     got = {r.doc_id: r.n_links for r in chosen_path.join(spark.createDataFrame(rows, "doc_id long, text string"), limit=4).collect()}
     sets = [shingles(t) for _, t in rows]
     assert got == {i: sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
