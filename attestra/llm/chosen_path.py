@@ -295,7 +295,7 @@ def _joined(docs: DataFrame, words: int, threshold: float, recall: float, limit:
     one = classes.select("rep", F.explode(F.arrays_zip("paths", "more")).alias("p")).select("rep", F.col("p.paths").alias("bucket"), F.col("p.more").alias("more"))
     sizes1 = written(_buckets(one), "buckets")
     # buckets over the limit split on a second token
-    two = one.join(sizes1.where(F.col("m") > limit).select("bucket"), "bucket", "left_semi").select("rep", F.explode("more").alias("bucket"))
+    two = written(one.join(sizes1.where(F.col("m") > limit).select("bucket"), "bucket", "left_semi").select("rep", F.explode("more").alias("bucket")), "second")
     sizes2 = written(_buckets(two), "buckets")
     below, of_below = _deeper(docs, classes, two, sizes2, words)
     # of buckets with the same members one is enough
