@@ -6,15 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def quantile(x: Column, q: float) -> Column:
-    """Exact, linearly interpolated."""
-    return F.percentile(x, q)
-
-
-def iqr(x: Column) -> Column:
-    return F.percentile(x, 0.75) - F.percentile(x, 0.25)
-
-
 def wilson(hits: Column, n: Column) -> tuple[Column, Column]:
     """95 % interval of a share, within [0, 1]; null without cases."""
     z = 1.959963984540054

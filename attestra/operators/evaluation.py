@@ -53,14 +53,6 @@ def keyed_difference(left: DataFrame, right: DataFrame, keys: list[str], value:
     return j.groupBy(by).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"), F.count_if(F.col("b").isNull()).alias("removed"), F.count_if(F.col("a").isNull()).alias("added"))
 
 
-def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """The value at n // 2 of the sorted ones, from counts of distinct values: no group is collected."""
-    c = rows.groupBy(group, value).agg(F.count("*").alias("n"))
-    w = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    c = c.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy(group)))
-    return c.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(group).agg(F.min(value).alias("upper_median"))
-
-
 def pareto(rows: DataFrame, group: str, cost: str, gain: str) -> DataFrame:
     """Rows that none of their group dominates: sort by cost, keep those over the best gain so far."""
     per = rows.groupBy(group, cost).agg(F.max(gain).alias("__top"))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestra.operators.ranking import running
+
 
 def chunks(items: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
-    """``chunk``: ordinal // size inside each group."""
-    n = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    return items.withColumn("chunk", F.floor((n - 1) / size).cast("long"))
+    """``chunk``: ordinal // size inside each group, in ascending order; a group of any size."""
+    return running(items, group, order).withColumn("chunk", F.floor((F.col("upto") - 1) / size).cast("long")).drop("upto", "total")
 
 
 def cycled(spark: SparkSession, items: int, n: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestra.operators.ranking import beside, quantiles
+
 
 def stage_totals(calls: DataFrame, *keys: str) -> DataFrame:
     """By stage (and role, if among keys): model calls, tensor batches, inputs, failures, seconds. calls: tensor_batch_sizes (array), submitted_batch_size, failure_count, model_seconds, wall_seconds (model seconds where null)."""
@@ -58,12 +60,11 @@ def cap_rows(values: DataFrame, value: str, limits: DataFrame, key: str) -> Data
 def sweep(rows: DataFrame, keys: list[str], *, medians: tuple = (), p90: tuple = (), p95: tuple = (), stdev: tuple = (), means: tuple = (), totals: tuple = (), most: tuple = (), least: tuple = (), every: tuple = (), some: tuple = ()) -> DataFrame:
     """The one summary that sweeps of settings share: by keys, the number of rows and the asked statistics of the named columns. Quantiles are exact and interpolated; a single row has deviation 0."""
     agg = [F.count("*").alias("runs")]
-    for name, columns, f in (
-        ("median", medians, F.median), ("p90", p90, lambda c: F.percentile(c, 0.9)), ("p95", p95, lambda c: F.percentile(c, 0.95)), ("stdev", stdev, lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))), ("mean", means, F.avg),
-        ("total", totals, F.sum), ("max", most, F.max), ("min", least, F.min), ("all", every, F.bool_and), ("any", some, F.bool_or),
-    ):
+    for name, columns, f in (("stdev", stdev, lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))), ("mean", means, F.avg), ("total", totals, F.sum), ("max", most, F.max), ("min", least, F.min), ("all", every, F.bool_and), ("any", some, F.bool_or)):
         agg += [f(F.col(c)).alias(f"{name}_{c}") for c in columns]
-    return rows.groupBy(*keys).agg(*agg)
+    wanted = {f"{name}_{c}": (c, q) for name, columns, q in (("median", medians, 0.5), ("p90", p90, 0.9), ("p95", p95, 0.95)) for c in columns}
+    per = rows.groupBy(*keys).agg(*agg)
+    return beside(per, quantiles(rows, keys, wanted), keys) if wanted else per
 
 
 def against_baseline(rows: DataFrame, baseline: DataFrame, key: str, value: str) -> DataFrame:
@@ -137,7 +138,8 @@ def fallback_state(false_accept: Column, fallback: Column, valid: Column) -> Col
 def gate_quality(rows: DataFrame, *keys: str) -> DataFrame:
     """A check-digit gate: found and exact rates, how many pass it, how many of those are right, and how many wrong ones it lets through. Rows: found, exact, valid (null: not checked), seconds."""
     n, p = F.count("*"), F.count_if("valid")
-    return rows.groupBy(*keys).agg(n.alias("n"), F.avg(F.col("found").cast("double")).alias("found_rate"), F.avg(F.col("exact").cast("double")).alias("exact_rate"), F.try_divide(p, n).alias("coverage"), F.try_divide(F.count_if(F.col("valid") & F.col("exact")), p).alias("precision"), F.try_divide(F.count_if(F.col("valid") & ~F.col("exact")), n).alias("wrong_accept_rate"), F.avg("seconds").alias("mean_seconds"), F.median("seconds").alias("median_seconds"), F.percentile("seconds", 0.95).alias("p95_seconds"))
+    rates = rows.groupBy(*keys).agg(n.alias("n"), F.avg(F.col("found").cast("double")).alias("found_rate"), F.avg(F.col("exact").cast("double")).alias("exact_rate"), F.try_divide(p, n).alias("coverage"), F.try_divide(F.count_if(F.col("valid") & F.col("exact")), p).alias("precision"), F.try_divide(F.count_if(F.col("valid") & ~F.col("exact")), n).alias("wrong_accept_rate"), F.avg("seconds").alias("mean_seconds"))
+    return beside(rates, quantiles(rows, [*keys], {"median_seconds": ("seconds", 0.5), "p95_seconds": ("seconds", 0.95)}), [*keys])
 
 
 def first_of_signature(rows: DataFrame, keys: list[str], signature: str, order: str) -> DataFrame:

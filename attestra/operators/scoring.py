@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.operators.ranking import beside, quantiles
+
 # Fields whose values must be right to the letter.
 STRICT = "passport_number card_number pinfl personal_id license_number serial_number date_of_birth date_of_issue date_of_expiry birth_date issue_date expiry_date".split()
 STRICT_PARTS = "number pinfl personal_id serial".split()
@@ -113,12 +115,18 @@ def request_accuracy(rows: DataFrame, group: str) -> DataFrame:
 
 def request_summary(rows: DataFrame, group: str, phases: list[str], *measures: str) -> DataFrame:
     """By group and overall: requests, successes and failures of each phase, and medians of measures over the successful ones."""
-    out = []
+    out, values = [F.grouping_id().alias("__level")], {}
     for p in phases:
         mine, good = F.col("phase") == p, (F.col("phase") == p) & (F.col("status") == "ok")
         out += [F.count_if(mine).alias(f"{p}_requests"), F.count_if(good).alias(f"{p}_succeeded"), F.count_if(mine & ~good).alias(f"{p}_failed")]
-        out += [F.median(F.when(good, F.col(m))).alias(f"median_{p}_{m}") for m in measures]
-    return rows.rollup(group).agg(*out)
+        values |= {f"median_{p}_{m}": F.when(good, F.col(m)) for m in measures}
+    if not values:
+        return rows.rollup(group).agg(*out).drop("__level")
+    v = rows.select(group, *(c.alias(name) for name, c in values.items()))
+    wanted = {name: (name, 0.5) for name in values}
+    by_group = quantiles(v, [group], wanted).withColumn("__level", F.lit(0).cast("long"))
+    overall = quantiles(v, [], wanted).select(F.lit(None).cast(v.schema[group].dataType).alias(group), "*", F.lit(1).cast("long").alias("__level"))
+    return beside(rows.rollup(group).agg(*out), by_group.unionByName(overall), [group, "__level"]).drop("__level")
 
 
 def paired(baseline: DataFrame, candidate: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -17,7 +17,7 @@ from attestra.functions import mrz, stats
 from attestra.functions import text as tx
 from attestra.functions.similarity import scored_pairs
 from attestra.operators import evaluation as ev
-from attestra.operators import layout, line_matcher, matcher, packing, zones
+from attestra.operators import layout, line_matcher, matcher, packing, ranking, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -316,21 +316,21 @@ def stability(s, d):
 
 @query("""select event_type, round(quantile_cont(value, 0.5), 6) median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) iqr, round(mad(value), 6) mad, min(value) low, max(value) high from events group by event_type""")
 def stats_iqr_mad(s, d):
-    e = t(s, d, "events")
-    m = e.groupBy("event_type").agg(F.median("value").alias("m"), stats.iqr(col("value")).alias("iqr"), F.min("value").alias("low"), F.max("value").alias("high"))
-    dev = e.join(m.select("event_type", "m"), "event_type").groupBy("event_type").agg(F.median(F.abs(col("value") - col("m"))).alias("mad"))
-    return m.join(dev, "event_type").select("event_type", rnd(col("m")).alias("median"), rnd(col("iqr")).alias("iqr"), rnd(col("mad")).alias("mad"), "low", "high")
+    m = ranking.spread(t(s, d, "events"), ["event_type"], "value")
+    return m.select("event_type", *(rnd(col(c)).alias(c) for c in ("median", "iqr", "mad")), "low", "high")
 
 
 @query("""select event_type, count(*) n, round(quantile_cont(value, 0.9), 6) p90, round(quantile_cont(value, 0.95), 6) p95, round(coalesce(stddev_samp(value), 0), 4) stdev, round(count(*) / sum(value), 6) per_second from events group by event_type""")
 def perf_percentiles(s, d):
-    v = col("value")
-    return t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), rnd(stats.quantile(v, 0.9)).alias("p90"), rnd(stats.quantile(v, 0.95)).alias("p95"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4).alias("stdev"), rnd(F.count("*") / F.sum(v)).alias("per_second"))
+    e, v = t(s, d, "events"), col("value")
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4).alias("stdev"), rnd(F.count("*") / F.sum(v)).alias("per_second"))
+    q = ranking.quantiles(e, ["event_type"], {"p90": ("value", 0.9), "p95": ("value", 0.95)})
+    return ranking.beside(n, q, ["event_type"]).select("event_type", "n", rnd(col("p90")).alias("p90"), rnd(col("p95")).alias("p95"), "stdev", "per_second")
 
 
 @query("""select event_type, list_sort(list(value))[len(list(value)) // 2 + 1] upper_median from events group by event_type""")
 def upper_median(s, d):
-    return ev.upper_median(t(s, d, "events"), "event_type", "value")
+    return ranking.upper_median(t(s, d, "events"), ["event_type"], "value")
 
 
 @query("""with g as (select user_id, event_type, sum(value) v from events group by 1, 2) select user_id, event_type, round(v / sum(v) over (partition by user_id), 6) share, round(1 / greatest(1 - v / sum(v) over (partition by user_id), 1e-9), 4) bound from g""")
@@ -356,7 +356,7 @@ def wilson_ci(s, d):
 
 @query("""with m as (select event_type, median(value) m from events group by 1), b as (select m from m where event_type = 'view') select event_type, round(m.m, 6) median, round(b.m / m.m, 6) speedup from m, b""")
 def speedup_vs_baseline(s, d):
-    m = t(s, d, "events").groupBy("event_type").agg(F.median("value").alias("m"))
+    m = ranking.quantiles(t(s, d, "events"), ["event_type"], {"m": ("value", 0.5)})
     base = m.where("event_type = 'view'").select(col("m").alias("b"))  # one row
     return m.crossJoin(F.broadcast(base)).select("event_type", rnd(col("m")).alias("median"), rnd(col("b") / col("m")).alias("speedup"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attestra.operators import identity, layout, runs, scoring
+from attestra.operators import identity, layout, ranking, runs, scoring
 from attestra.plans.queries import D, L, S, _verdicts, col, query, rnd, t
 
 # ---- truth and scores ----
@@ -219,7 +219,7 @@ def sweep_summary(s, d):
 
 @query("""with m as (select event_type, user_id % 4 cfg, median(value) v from events group by 1, 2), b as (select event_type, v from m where cfg = 0 and event_type <> 'view'), f as (select v from b order by event_type limit 1) select m.event_type, m.cfg, round(coalesce(b.v, (select v from f)) / m.v, 6) ratio from m left join b using (event_type)""")
 def ratio_with_fallback(s, d):
-    m = t(s, d, "events").groupBy("event_type", (col("user_id") % 4).alias("cfg")).agg(F.median("value").alias("v"))
+    m = ranking.quantiles(t(s, d, "events").withColumn("cfg", col("user_id") % 4), ["event_type", "cfg"], {"v": ("value", 0.5)})
     r = runs.against_baseline(m, m.where("cfg = 0 and event_type <> 'view'"), "event_type", "v")
     return r.select("event_type", "cfg", rnd(col("ratio")).alias("ratio"))
 
