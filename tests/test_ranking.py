@@ -34,7 +34,7 @@ def test_running_cuts_large_groups(spark):
     assert (whole["upto"] == whole["key"].cumsum()).all() and (whole["total"] == whole["key"].sum()).all()
 
 
-@pytest.mark.parametrize("size", [3, 10**6])
+@pytest.mark.parametrize("size", [20, 100_000])
 def test_quantiles(spark, size):
     rows, df = made(spark, 500, seed=2)
     df = df.unionByName(spark.createDataFrame([("none", None, -1, "", 0)], SCHEMA))
