@@ -90,3 +90,27 @@ def reconcile_key(field: Column, value: Column) -> Column:
 
 def reconciled(visible: Column, zone: Column, field: Column, zone_field: Column) -> Column:
     return F.when(visible.isNull() | zone.isNull(), "not_run").when(reconcile_key(field, visible) == reconcile_key(zone_field, zone), "passed").otherwise("failed")
+
+
+# Fixed values of ICAO 9303: by number and width of lines, the ranges that each check digit covers and its place, both in the lines joined.
+DIGITS = {
+    (2, 44): [([(44, 53)], 53), ([(57, 63)], 63), ([(65, 71)], 71), ([(72, 86)], 86), ([(44, 54), (57, 64), (65, 87)], 87)],
+    (2, 36): [([(36, 45)], 45), ([(49, 55)], 55), ([(57, 63)], 63), ([(36, 46), (49, 56), (57, 71)], 71)],
+    (3, 30): [([(5, 14)], 14), ([(30, 36)], 36), ([(38, 44)], 44), ([(5, 30), (30, 37), (38, 45), (48, 59)], 59)],
+}
+#: The digit of optional data may be left out, in lines of 44.
+OPTIONAL = (2, 44, 86)
+
+
+def digits_valid(lines: Column) -> Column:
+    """Whether all check digits of a zone of any of the three shapes are right; null for other shapes, false where a checked part has an odd character."""
+    z = F.array_join(lines, "")
+    valid = F.lit(None).cast("boolean")
+    for (n, width), digits in DIGITS.items():
+        right = F.lit(True)
+        for ranges, at in digits:
+            digit = F.substring(z, at + 1, 1)
+            same = F.coalesce(check_digit(F.concat(*(F.substring(z, a + 1, b - a) for a, b in ranges))) == digit, F.lit(False))
+            right = right & ((digit == "<") | same if (n, width, at) == OPTIONAL else same)
+        valid = F.when((F.size(lines) == n) & F.forall(lines, lambda x: F.length(x) == width), right).otherwise(valid)  # noqa: B023
+    return valid

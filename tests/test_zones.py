@@ -24,3 +24,16 @@ def test_boxes_and_corners(spark):
     p = spark.createDataFrame([([(10.0, 10.0), (0.0, 0.0), (10.0, 0.0), (0.0, 10.0)],)], "p array<struct<x:double,y:double>>").withColumn("o", zones.ordered_corners(F.col("p")))
     r = p.select("o", zones.convex(F.col("o")).alias("good"), zones.convex(F.col("p")).alias("bad")).first()
     assert [(q.x, q.y) for q in r.o] == [(0, 0), (10, 0), (10, 10), (0, 10)] and r.good and not r.bad
+
+
+def test_check_digits_of_three_shapes(spark):
+    from attestra.functions import mrz
+
+    # fixed values: the specimens of ICAO 9303
+    td3 = ["P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"]
+    td2 = ["I<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<", "D231458907UTO7408122F1204159<<<<<<<6"]
+    td1 = ["I<UTOD231458907<<<<<<<<<<<<<<<", "7408122F1204159UTO<<<<<<<<<<<6", "ERIKSSON<<ANNA<MARIA<<<<<<<<<<"]
+    odd = [[td3[0], td3[1].replace("7408", "7409")], [td3[0], td3[1].replace("UTO7", "UTO?")], td3[:1], [], None]
+    df = spark.createDataFrame([(i, z) for i, z in enumerate([td3, td2, td1, *odd])], "i int, z array<string>")
+    got = [r["v"] for r in df.select("i", mrz.digits_valid(df["z"]).alias("v")).orderBy("i").collect()]
+    assert got == [True, True, True, False, False, None, None, None]
