@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, chosen_path, decontaminate, html_text, katz, nn_descent, pii, quality, substring_dedup, warc_zip
+from attestra.llm import bpe, chosen_path, decontaminate, html_text, katz, nn_descent, pii, quality, quality_rules, substring_dedup, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_nn_descent, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op7_katz_backoff, op8_substring_dedup, op9_quality_knn, op10_bpe)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *quality_rules.REPORTED, "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_nn_descent, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op7_katz_backoff, op8_substring_dedup, op9_quality_knn, op10_bpe, op11_quality_rules)}
 ORACLE: dict[str, str] = {
     "op3_warc_zip": """
         with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) d from pages),
@@ -90,6 +95,21 @@ ORACLE: dict[str, str] = {
         c as (select *, case when n > 0 then min(doc_id) over (partition by k) else doc_id end copy_of from q)
         select c.doc_id, copy_of, coalesce(n.n, 0)::bigint n_links, r.c class_id, c.doc_id = r.c kept
         from c left join n on n.a = c.doc_id join r on r.i = c.doc_id""",
+    "op11_quality_rules": """
+        with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+        w as (select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ln,
+                     list_filter(regexp_split_to_array(lower(t), '[\\x20\\x09-\\x0D,.;:!?]+'), lambda x: list_contains(string_split('STOP', ' '), x)) sw from d),
+        win as (select r, i, array_to_string(w[i : i + 4], ' ') k from (select r, w, unnest(range(1, len(w) - 3)) i from w where len(w) >= 5)),
+        rep as (select r, i from win qualify count(*) over (partition by r, k) > 1),
+        cov as (select r, count(distinct i + j) n from rep, range(5) x(j) group by r),
+        m as (select doc_id, len(w)::bigint n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols,
+                     (len(ln) - len(list_distinct(ln)))::bigint n_dup_lines, coalesce(cov.n, 0)::bigint n_repeat_words, len(regexp_extract_all(t, '[!?]')) marks, len(regexp_extract_all(t, '\\.\\.|…')) dots,
+                     len(sw) stops, len(ln) n_lines, len(list_filter(ln, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•]'))) bullets from w left join cov using (r)),
+        f as (select *, list_filter([case when n_words < 10 then 'few_words' end, case when 100 * n_repeat_words > 20 * n_words then 'repeated_windows' end]::varchar[], lambda x: x is not null) b,
+                     list_filter([case when 100 * word_chars < 200 * n_words or 100 * word_chars > 2000 * n_words then 'word_length' end, case when 100 * n_symbols > 10 * n_words then 'symbols' end,
+                                  case when 100 * marks > 30 * n_words then 'marks' end, case when 100 * dots > 10 * n_words then 'dots' end, case when 100 * stops < 4 * (n_words - 20) then 'stop_words' end,
+                                  case when 100 * n_dup_lines > 60 * n_lines then 'repeated_lines' end, case when 100 * bullets > 90 * n_lines then 'bullets' end]::varchar[], lambda x: x is not null) v from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, len(b) > 0 base_failed, len(b) + len(v) = 0 kept, array_to_string(b || v, ',') failed from f""".replace("STOP", " ".join(quality_rules.STOP_WORDS)),
     "op2_nn_descent": """
         with v as (select vec_id, label, embedding::double[] e from embeddings),
         x as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, chosen_path, components, decontaminate, html_text, katz, nn_descent, pii, quality, substring_dedup, warc_zip
+from attestra.llm import bpe, chosen_path, components, decontaminate, html_text, katz, nn_descent, pii, quality, quality_rules, substring_dedup, warc_zip
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep long, key string, w double, bucket string"
@@ -628,3 +628,48 @@ def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path):
                 assert sorted((r.doc_id or 0) for r in now.collect()) == [0, 1, 4, 5, 6, 8, 9, 9, 10, 11]
         last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
         assert last.count() == (10 if want is None else 0)
+
+
+# ---- 11 ----
+
+
+def repeated_words(w):
+    seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    return len({i + k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(5)})
+
+
+def test_quality_rules_against_brute_force(spark, docs, empty):
+    r = random.Random(5)
+    odd = ["# a\n# a\n\n \n# a \n- b\n• c", "é" * 30 + " " + "x" * 100_000, "a b c d e " * 4 + "f a b c d e", "w " * 50_000, "..." + "… " * 12, "the of and " * 5, "\x0b\x0c\r", "the \ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16") + "!?" * 9]
+    odd += [" ".join(r.choice(["the", "Le,", "x#", "yy", "z"]) for _ in range(r.randint(0, 60))) for _ in range(150)]
+    rows = documents() + [(100 + i, t) for i, t in enumerate(odd)]
+    table = spark.createDataFrame([(i, t, 3, "mine") for i, t in rows], "doc_id long, text string, n_words int, failed string").repartition(3)
+    got = quality_rules.apply(table)
+    assert got.columns.count("n_words") == got.columns.count("failed") == 1
+    want = collections.Counter()
+    for i, t in rows:
+        w, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
+        n, chars, symbols, marks, dots = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(re.findall("[!?]", t or "")), len(re.findall(r"\.\.|…", t or ""))
+        stops, dup, again = sum(x in quality_rules.STOP_WORDS for x in re.split(r"[\x20\x09-\x0D,.;:!?]+", (t or "").lower())), len(lines) - len(set(lines)), repeated_words(w)
+        base = n < 10 or 100 * again > 20 * n
+        bad = base or not 2 * n <= chars <= 20 * n or 10 * symbols > n or 10 * marks > 3 * n or 10 * dots > n or 100 * stops < 4 * (n - 20) or 10 * dup > 6 * len(lines) or 10 * sum(bool(re.match(r"[\x20\x09]*[-*•]", x)) for x in lines) > 9 * len(lines)
+        want[i, n, chars, symbols, dup, again, base, not bad] += 1
+    assert collections.Counter(tuple(x) for x in got.select("doc_id", *quality_rules.REPORTED, "base_failed", "kept").collect()) == want
+    assert quality_rules.apply(empty).count() == 0
+    assert quality_rules.apply(docs).count() == len(documents())
+
+
+def test_quality_rules_table(spark):
+    table = spark.createDataFrame([(1, "a b c # #"), (2, "a b")], "doc_id long, text string")
+    one = [quality_rules.Rule("no_symbols", "n_symbols", "one", most=0)]
+    assert [(x.doc_id, x.failed, x.base_failed, x.kept) for x in quality_rules.apply(table, one, ()).orderBy("doc_id").collect()] == [(1, ["no_symbols"], False, False), (2, [], False, True)]
+    plan = quality_rules.apply(table)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Python|Arrow", plan)
+
+
+def test_quality_rules_of_long_texts(spark):
+    text = " ".join(words(200_000, 9)) + " x" * 200_000
+    began = time.time()
+    row = quality_rules.apply(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_words == 400_000 and row.n_repeat_words >= 200_000
+    assert time.time() - began < 30
