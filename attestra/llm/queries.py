@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, chosen_path, decontaminate, html_text, katz, nn_descent, pii, quality, quality_rules, substring_dedup, warc_zip
+from attestra.llm import bpe, chosen_path, decontaminate, html_text, katz, nn_descent, pii, prefix_trie, quality, quality_rules, substring_dedup, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.REPORTED, "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_nn_descent, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op7_katz_backoff, op8_substring_dedup, op9_quality_knn, op10_bpe, op11_quality_rules)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_nn_descent, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op7_katz_backoff, op8_substring_dedup, op9_quality_knn, op10_bpe, op11_quality_rules, op12_prefix_trie)}
 ORACLE: dict[str, str] = {
     "op3_warc_zip": """
         with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) d from pages),
@@ -110,6 +114,21 @@ ORACLE: dict[str, str] = {
                                   case when 100 * marks > 30 * n_words then 'marks' end, case when 100 * dots > 10 * n_words then 'dots' end, case when 100 * stops < 4 * (n_words - 20) then 'stop_words' end,
                                   case when 100 * n_dup_lines > 60 * n_lines then 'repeated_lines' end, case when 100 * bullets > 90 * n_lines then 'bullets' end]::varchar[], lambda x: x is not null) v from m)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, len(b) > 0 base_failed, len(b) + len(v) = 0 kept, array_to_string(b || v, ',') failed from f""".replace("STOP", " ".join(quality_rules.STOP_WORDS)),
+    "op12_prefix_trie": """
+        with t as (select conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) p from conversations where conv_id is not null),
+        h as (select distinct c, c - c % 20 b, (xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(c::varchar, ''), lambda y: ascii(y)::bigint)), lambda v, y: list_reduce(list_concat([xor(v, y)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda q, i: xor(q >> 1, (q & 1) * 3988292384))), 4294967295) % 4) h from t),
+        k as (select h.*, (select least(h.h, count(*)) from t where t.c = h.b) k from h),
+        z as (select k.c, t.p, r, x from k join t on t.c = k.b and t.p <= k.h union all select k.c, k.k + t.p - k.h, r, x from k join t on t.c = k.c and t.p > k.h),
+        s as (select c, p, sha256(string_agg(length(r) || ':' || r || length(x) || ':' || x, '' ) over (partition by c order by p)) s, len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '')) w, count(*) over (partition by c) n from z),
+        m as (select c, 0 p, '' s, 0 w, coalesce((select any_value(n) from s where s.c = k.c), 0) n from k union all select c, p, s, w, n from s),
+        g as (select s, p, any_value(w) w, min(c) c, count(*) n, coalesce(sha256(string_agg(c::varchar, ',' order by c) filter (where m.n = p)), sha256('')) e from m group by s, p),
+        l as (select m.c, m.p, g.s, g.c node, lag(g.s) over (partition by m.c order by m.p) up, lag(g.c) over (partition by m.c order by m.p) up_c from m join g on g.s = m.s and g.p = m.p),
+        u as (select distinct s, p, up, up_c from l),
+        k2 as (select up s, count(*) n from u where up is not null group by up),
+        a as (select distinct x.s top, y.s low from l x join l y on x.c = y.c and x.p <= y.p),
+        v as (select top, sum((g.n - 1) * g.w) saved, count(*) filter (where k2.n is null) leaves from a join g on g.s = a.low left join k2 on k2.s = a.low group by top)
+        select g.c conv_id, g.p::bigint depth, u.up_c parent_conv_id, g.n n_convs, coalesce(k2.n, 0) n_children, v.leaves n_leaves, v.saved::bigint saved_tokens, g.e ends_sha256
+        from g join u on u.s = g.s and u.p = g.p join v on v.top = g.s left join k2 on k2.s = g.s""",
     "op2_nn_descent": """
         with v as (select vec_id, label, embedding::double[] e from embeddings),
         x as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
