@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, chosen_path, decontaminate, html_text, katz, nn_descent, pii, prefix_trie, quality, quality_rules, substring_dedup, warc_zip
+from attestra.llm import bpe, chosen_path, collocations, decontaminate, html_text, katz, nn_descent, pii, prefix_trie, quality, quality_rules, substring_dedup, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_nn_descent, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op7_katz_backoff, op8_substring_dedup, op9_quality_knn, op10_bpe, op11_quality_rules, op12_prefix_trie)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_nn_descent, op3_warc_zip, op4_html_tree_model, op5_chosen_path_join, op6_pii_semi_crf, op7_katz_backoff, op8_substring_dedup, op9_quality_knn, op10_bpe, op11_quality_rules, op12_prefix_trie, op13_collocations)}
 ORACLE: dict[str, str] = {
     "op3_warc_zip": """
         with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) d from pages),
@@ -129,6 +133,21 @@ ORACLE: dict[str, str] = {
         v as (select top, sum((g.n - 1) * g.w) saved, count(*) filter (where k2.n is null) leaves from a join g on g.s = a.low left join k2 on k2.s = a.low group by top)
         select g.c conv_id, g.p::bigint depth, u.up_c parent_conv_id, g.n n_convs, coalesce(k2.n, 0) n_children, v.leaves n_leaves, v.saved::bigint saved_tokens, g.e ends_sha256
         from g join u on u.s = g.s and u.p = g.p join v on v.top = g.s left join k2 on k2.s = g.s""",
+    "op13_collocations": """
+        with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) p from documents where text is not null),
+        w as (select lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') w from p),
+        g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, (values (1), (2), (3)) x(k) where len(w) >= k)),
+        f as materialized (select lang, k, g, count(*) f from g group by all),
+        n as (select lang, sum(f) n from f where k = 1 group by lang),
+        c as (select *, string_split(g, ' ') w from f where k > 1 and f >= 10),
+        h as materialized (select lang, k, g, f a, j, array_to_string(w[1 : j], ' ') lg, array_to_string(w[j + 1 :], ' ') rg from c, (values (1), (2)) x(j) where j < k),
+        l as materialized (select h.*, f.f l from h join f on f.lang = h.lang and f.g = h.lg),
+        s as materialized (select l.*, f.f r, 1000000::hugeint * a * a // (l::hugeint * f.f) s from l join f on f.lang = l.lang and f.g = l.rg),
+        b as (select * from s qualify row_number() over (partition by lang, g order by s, j) = 1),
+        sub as (select lang, array_to_string(w[1 : 2], ' ') g, f from c where k = 3 union all select lang, array_to_string(w[2 : 3], ' '), f from c where k = 3),
+        m as (select lang, g, max(f) f from sub group by all),
+        kept as (select b.* from b left join m using (lang, g) where m.f is null or 100 * m.f < 50 * b.a)
+        select lang, row_number() over (partition by lang order by s desc, a desc, g) as rank, g phrase, a, l, r, n::bigint n, s::bigint score from kept join n using (lang) qualify rank <= 2000""",
     "op2_nn_descent": """
         with v as (select vec_id, label, embedding::double[] e from embeddings),
         x as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
