@@ -46,8 +46,8 @@ from attestra.llm._shared import dealt, new_path, new_table, text_bytes, written
 from attestra.llm.katz import _bucket_of, _deltas, _undelta
 
 MOST_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2_000
-_SHARD_BYTES = 8 << 20
-_BUCKET_BYTES = 8 << 20
+_SHARD_BYTES = 4 << 20
+_BUCKET_BYTES = 4 << 20
 _CUTS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 _C = np.uint64(0xA24BAED4963EE407)
 
@@ -69,9 +69,10 @@ def _shard(bufs: list[np.ndarray], offs: list[np.ndarray], of_text: list[str]) -
     lang = np.array([number[x] for x in of_text], np.int64)[of]
     seeds = np.array([_seed(x) for x in names], np.uint64)
     key = T.mix(T.word_hashes(buf, start, end, 1)[0] ^ seeds[lang]) if len(start) else np.zeros(0, np.uint64)
-    cuts = np.cumsum(cut, dtype=np.int64)
+    cuts = np.searchsorted(np.flatnonzero(cut), start)  # cuts before each word
     starts = np.ones(len(start), bool)
-    starts[1:] = (of[1:] != of[:-1]) | (cuts[start[1:]] != cuts[start[:-1]])
+    starts[1:] = (of[1:] != of[:-1]) | (cuts[1:] != cuts[:-1])
+    del of, cut, cuts
     keys, first, tokens, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     rank = np.argsort(-count, kind="stable")  # frequent words get small numbers, which compress
     place = np.empty(len(rank), np.uint32)
@@ -89,7 +90,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     offs: list[np.ndarray] = []
     langs: list[str] = []
     held = 0
-    for piece in T.slices(batches, "text"):
+    for piece in T.slices(batches, "text", _SHARD_BYTES // 4):
         buf, off = T.strings(piece.column("text"))
         bufs.append(buf)
         offs.append(off)
