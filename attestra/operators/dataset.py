@@ -47,12 +47,27 @@ def _per_type(table: dict, default=None) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col("document_type"))
 
 
+def _entries(value: Column, path: str, entry: Callable[[Column], Column]) -> Column:
+    """An object's entries as a map of plain structs."""
+    return F.transform_values(_object(value, path), lambda k, x: entry(x))
+
+
+def _list(value: Column, path: str) -> Column:
+    return F.when(kind(value, path) == "ARRAY", F.try_variant_get(value, path, "array<variant>"))
+
+
 def parsed(annotations: DataFrame) -> DataFrame:
-    """file, v (VARIANT; null if malformed or no object), id, document_type, images, hashes, fields (maps; null if no objects), status."""
+    """Annotations as plain columns: file, whole (a JSON object), id, document_type, shown_type (of any kind), images and hashes (maps to text, null for other kinds), fields (map to state and kind of value), status, notes_kind, zone_kind, lines_kind, lines (null where no text)."""
     v = F.try_parse_json("text")
     a = annotations.select("file", v.alias("v")).withColumn("v", F.when(kind(F.col("v")) == "OBJECT", F.col("v")))
     v = F.col("v")
-    return a.select("file", "v", F.nullif(_text(v, "$.id"), F.lit("")).alias("id"), _text(v, "$.document_type").alias("document_type"), _object(v, "$.images").alias("images"), _object(v, "$.image_sha256").alias("hashes"), _object(v, "$.fields").alias("fields"), _text(v, "$.status").alias("status"))
+    text = lambda x: F.struct(_text(x).alias("text"))
+    field = lambda x: F.struct(_text(x, "$.state").alias("state"), F.coalesce(kind(x, "$.value"), F.lit("VOID")).alias("kind"))
+    return a.select(
+        "file", v.isNotNull().alias("whole"), F.nullif(_text(v, "$.id"), F.lit("")).alias("id"), _text(v, "$.document_type").alias("document_type"), F.try_variant_get(v, "$.document_type", "string").alias("shown_type"),
+        _entries(v, "$.images", text).alias("images"), _entries(v, "$.image_sha256", text).alias("hashes"), _entries(v, "$.fields", field).alias("fields"), _text(v, "$.status").alias("status"),
+        kind(v, "$.notes").alias("notes_kind"), kind(v, "$.mrz").alias("zone_kind"), kind(v, "$.mrz.lines").alias("lines_kind"), F.transform(_list(v, "$.mrz.lines"), lambda x: _text(x)).alias("lines"),
+    )
 
 
 class Rule(NamedTuple):
@@ -83,40 +98,37 @@ def _listed(values: Column) -> Column:
     return _if(F.size(values) > 0, F.array_join(F.array_sort(values), ", "))
 
 
-def _field_rule(wrong: Callable[[Column, Column], Column]) -> Callable[[], Column]:
-    """Names of the fields whose entry (a VARIANT with a state) is wrong."""
+def _field_rule(wrong: Callable[[Column], Column]) -> Callable[[], Column]:
+    """Names of the fields whose entry (state, kind of value) is wrong."""
 
     def details() -> Column:
-        names = F.transform(F.filter(F.map_entries("fields"), lambda e: F.coalesce(wrong(e["value"], _text(e["value"], "$.state")), F.lit(False))), lambda e: e["key"])
+        names = F.transform(F.filter(F.map_entries("fields"), lambda e: F.coalesce(wrong(e["value"]), F.lit(False))), lambda e: e["key"])
         return F.coalesce(names, F.array().cast("array<string>"))
 
     return details
 
 
-def _known_state(state: Column) -> Column:
-    return F.coalesce(state.isin(*STATES), F.lit(False))
+def _known_state(field: Column) -> Column:
+    return F.coalesce(field["state"].isin(*STATES), F.lit(False))
 
 
-def _zone_lines() -> Column:
-    return F.when(kind(F.col("v"), "$.mrz") == "OBJECT", F.coalesce(F.try_variant_get("v", "$.mrz.lines", "array<variant>"), F.array().cast("array<variant>"))).otherwise(F.array().cast("array<variant>"))
+def _odd_lines() -> Column:
+    return F.coalesce((F.col("zone_kind") == "OBJECT") & (F.col("lines_kind") != "ARRAY"), F.lit(False))
 
 
-def _zone(per_line: Callable[[Column, Column], Column] | None) -> Callable[[], Column]:
-    """A rule on the zone's lines, for types that have one: on their number, or the numbers of the lines that are wrong."""
+def _n_lines() -> Column:
+    return F.coalesce(F.size("lines"), F.lit(0))
 
-    def details() -> Column:
-        shape = _per_type(ZONES)
-        if per_line is None:
-            return _if(~_zone_is_odd() & (F.size(_zone_lines()) != shape[0]), F.size(_zone_lines()))
-        wrong = F.filter(F.transform(_zone_lines(), lambda x, i: F.when(F.coalesce(per_line(x, shape[1]), F.lit(False)), (i + 1).cast("string"))), lambda x: x.isNotNull())
-        return F.when(shape.isNotNull() & ~_zone_is_odd(), wrong).otherwise(F.array().cast("array<string>"))
 
-    return details
+def _zone(per_line: Callable[[Column, Column], Column]) -> Callable[[], Column]:
+    """A rule on the lines of a zone, for types that have one: the numbers of those that are wrong."""
 
+    def details() -> Column:
+        width = _per_type(ZONES)[1]
+        wrong = F.filter(F.transform("lines", lambda x, i: F.when(F.coalesce(per_line(x, width), F.lit(False)), (i + 1).cast("string"))), lambda x: x.isNotNull())
+        return F.when(width.isNotNull(), wrong)
 
-def _zone_is_odd() -> Column:
-    lines = kind(F.col("v"), "$.mrz.lines")
-    return F.coalesce((kind(F.col("v"), "$.mrz") == "OBJECT") & lines.isNotNull() & (lines != "ARRAY"), F.lit(False))
+    return details
 
 
 def _stem() -> Column:
@@ -127,10 +139,6 @@ def _folder() -> Column:
     return F.substring_index(F.substring_index("file", "/", -2), "/", 1)
 
 
-def _value_kind(entry: Column) -> Column:
-    return F.coalesce(kind(entry, "$.value"), F.lit("VOID"))
-
-
 #: Rules on annotations that have an id and a known type.
 RULES = (
     Rule("path does not match", lambda: _if((_stem() != F.col("id")) | (_folder() != F.col("document_type")))),
@@ -139,18 +147,18 @@ RULES = (
     Rule("fields are no object", lambda: _if(F.col("fields").isNull())),
     Rule("unknown fields", lambda: _listed(F.array_except(F.map_keys("fields"), _per_type(FIELDS)))),
     Rule("missing fields", lambda: _listed(F.array_except(_per_type(FIELDS), F.coalesce(F.map_keys("fields"), F.array().cast("array<string>"))))),
-    Rule("invalid state", _field_rule(lambda e, state: ~_known_state(state))),
-    Rule("value is no text", _field_rule(lambda e, state: (state == "value") & (_value_kind(e) != "STRING"))),
-    Rule("value without state", _field_rule(lambda e, state: _known_state(state) & (state != "value") & (_value_kind(e) != "VOID"))),
+    Rule("invalid state", _field_rule(lambda e: ~_known_state(e))),
+    Rule("value is no text", _field_rule(lambda e: (e["state"] == "value") & (e["kind"] != "STRING"))),
+    Rule("value without state", _field_rule(lambda e: _known_state(e) & (e["state"] != "value") & (e["kind"] != "VOID"))),
     Rule("invalid status", lambda: _if(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), F.col("status"))),
     Rule("incomplete", lambda: _if(~F.col("status").eqNullSafe("complete"), F.col("status"))),
-    Rule("missing notes", lambda: _if(F.col("status").eqNullSafe("complete") & ~kind(F.col("v"), "$.notes").eqNullSafe("STRING"))),
-    Rule("zone lines are no list", lambda: _if(_per_type(ZONES).isNotNull() & _zone_is_odd())),
-    Rule("number of zone lines", _zone(None)),
-    Rule("unreadable zone line", _zone(lambda x, width: kind(x) != "STRING")),
-    Rule("width of zone line", _zone(lambda x, width: F.char_length(_text(x)) != width)),
-    Rule("characters of zone line", _zone(lambda x, width: (_text(x) != "") & ~_text(x).rlike("^[A-Z0-9<]+$"))),
-    Rule("zone not allowed", lambda: _if(_per_type(ZONES).isNull() & kind(F.col("v"), "$.mrz").isNotNull())),
+    Rule("missing notes", lambda: _if(F.col("status").eqNullSafe("complete") & ~F.col("notes_kind").eqNullSafe("STRING"))),
+    Rule("zone lines are no list", lambda: _if(_per_type(ZONES).isNotNull() & _odd_lines())),
+    Rule("number of zone lines", lambda: _if(~_odd_lines() & (_n_lines() != _per_type(ZONES)[0]), _n_lines())),
+    Rule("unreadable zone line", _zone(lambda x, width: x.isNull())),
+    Rule("width of zone line", _zone(lambda x, width: F.char_length(x) != width)),
+    Rule("characters of zone line", _zone(lambda x, width: (x != "") & ~x.rlike("^[A-Z0-9<]+$"))),
+    Rule("zone not allowed", lambda: _if(_per_type(ZONES).isNull() & F.col("zone_kind").isNotNull())),
 )
 
 
@@ -166,18 +174,16 @@ def annotation_issues(annotations: DataFrame, documents: DataFrame, digests: Dat
     a = parsed(annotations)
     known = F.coalesce(F.col("document_type").isin(*ROLES), F.lit(False))
     row = lambda df, issue, detail: df.select(F.lit(issue).alias("issue"), "file", detail.cast("string").alias("detail"))
-    first = F.when(F.col("v").isNull(), F.struct(F.lit("malformed").alias("issue"), F.lit("").alias("detail")))
+    first = F.when(~F.col("whole"), F.struct(F.lit("malformed").alias("issue"), F.lit("").alias("detail")))
     first = first.when(F.col("id").isNull(), F.struct(F.lit("missing id").alias("issue"), F.lit("").alias("detail")))
-    first = first.when(~known, F.struct(F.lit("invalid type").alias("issue"), F.coalesce(F.try_variant_get("v", "$.document_type", "string"), F.lit("null")).alias("detail")))
+    first = first.when(~known, F.struct(F.lit("invalid type").alias("issue"), F.coalesce("shown_type", F.lit("null")).alias("detail")))
     good = a.where(F.col("id").isNotNull() & known)
     each = F.concat(*map(_named, rules))
     out = [a.withColumn("x", first).where("x is not null").select("x.issue", "file", "x.detail"), good.select("file", F.explode(each).alias("x")).select("x.issue", "file", "x.detail")]
 
-    # maps of VARIANT can be neither joined nor compared: as texts from here on
-    texts = lambda c: F.transform_values(c, lambda k, x: F.struct(_text(x).alias("text"), kind(x).alias("kind")))
     right = F.coalesce(_keys("images") == F.array_sort(_per_type(ROLES)), F.lit(False))
-    hashes = F.when(F.coalesce(_keys("hashes") == F.array_sort(_per_type(ROLES)), F.lit(False)), texts("hashes"))
-    light = good.select("file", "document_type", "id", F.when(right, texts("images")).alias("images"), hashes.alias("hashes"))
+    declared = F.coalesce(_keys("hashes") == F.array_sort(_per_type(ROLES)), F.lit(False))
+    light = good.select("file", "document_type", "id", F.when(right, F.col("images")).alias("images"), F.when(declared, F.col("hashes")).alias("hashes"))
     plain = F.transform_values("images", lambda k, x: x["text"])
     found = light.join(documents.select("document_type", "id", F.col("images").alias("there")), ["document_type", "id"])
     entries = lambda c: F.array_sort(F.map_entries(c))
@@ -209,42 +215,66 @@ def _rectangle_is_odd(v: Column) -> Column:
     return ~F.coalesce((kind(v) == "OBJECT") & fits, F.lit(False))
 
 
-def _owned(fields: Column) -> Column:
-    return F.transform(fields, lambda f: F.struct(_text(f, "$.region").alias("region"), F.nullif(_text(f, "$.name"), F.lit("")).alias("name"), kind(f, "$.required").alias("required")))
+def _number(v: Column) -> Column:
+    return F.coalesce(kind(v).isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.lit(False))
 
 
-#: Rules on profiles (columns v, regions, fields, owned, rois), each with its details.
-PROFILE_RULES = (
-    Rule("version or layout", lambda: _if(~F.coalesce((F.try_variant_get("v", "$.version", "double") == 1) & (kind(F.col("v"), "$.layout") == "STRING"), F.lit(False)))),
-    Rule("no sample metadata", lambda: _if(~kind(F.col("v"), "$.sample_metadata").eqNullSafe("OBJECT"))),
-    Rule("canonical size", lambda: _if(reduce(lambda a, b: a | b, [~F.coalesce((kind(F.col("v"), f"$.canonical_size.{c}") == "BIGINT") & (F.try_variant_get("v", f"$.canonical_size.{c}", "long") > 0), F.lit(False)) for c in ("width", "height")]))),
-    Rule("no regions or fields", lambda: _if(F.coalesce(F.size("regions") <= 0, F.lit(True)) | F.coalesce(F.size("fields") <= 0, F.lit(True)))),
-    Rule("region rectangle", lambda: F.transform(F.filter(F.map_entries("regions"), lambda e: _rectangle_is_odd(F.try_variant_get(e["value"], "$.data_crop", "variant"))), lambda e: e["key"])),
-    Rule("region without boxes", lambda: F.transform(F.filter(F.map_entries("regions"), lambda e: ~kind(e["value"], "$.field_rois").eqNullSafe("OBJECT")), lambda e: e["key"])),
-    Rule("box rectangle", lambda: F.transform(F.filter("rois", lambda r: _rectangle_is_odd(r["box"])), lambda r: F.concat_ws("/", r["region"], r["name"]))),
-    Rule("field without a name", lambda: F.transform(F.filter("owned", lambda f: f["name"].isNull()), lambda f: F.coalesce(f["region"], F.lit("null")))),
-    Rule("field owned twice", lambda: F.array_distinct(F.filter(F.transform("owned", lambda f: f["name"]), lambda n: F.size(F.filter("owned", lambda f: f["name"] == n)) > 1))),
-    Rule("required is no flag", lambda: F.transform(F.filter("owned", lambda f: f["name"].isNotNull() & ~f["required"].eqNullSafe("BOOLEAN")), lambda f: f["name"])),
-    Rule("field outside its region", lambda: F.transform(F.filter("owned", lambda f: f["name"].isNotNull() & ~F.exists("rois", lambda r: r["name"].eqNullSafe(f["name"]) & r["region"].eqNullSafe(f["region"]))), lambda f: f["name"])),
-    Rule("box without a field", lambda: F.transform(F.filter("rois", lambda r: ~F.exists("owned", lambda f: r["name"].eqNullSafe(f["name"]) & r["region"].eqNullSafe(f["region"]))), lambda r: F.concat_ws("/", r["region"], r["name"]))),
-    Rule("page anchor", lambda: _if(F.coalesce(kind(F.col("v"), "$.document_localization") != "VOID", F.lit(False)) & ~F.coalesce((_text(F.col("v"), "$.document_localization.strategy") == "mrz_anchor") & (F.size(_corners()) == 4), F.lit(False)))),
-    Rule("anchor corners", lambda: _if(F.coalesce(F.size(_corners()) == 4, F.lit(False)) & F.exists(_corners(), lambda c: ~F.coalesce((kind(c) == "ARRAY") & (F.size(F.try_variant_get(c, "$", "array<variant>")) == 2) & F.forall(F.try_variant_get(c, "$", "array<variant>"), lambda x: kind(x).isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")), F.lit(False))))),
-)
+def _odd_corner(c: Column) -> Column:
+    xy = F.try_variant_get(c, "$", "array<variant>")
+    return ~F.coalesce((kind(c) == "ARRAY") & (F.size(xy) == 2) & F.forall(xy, _number), F.lit(False))
+
 
+def parsed_profiles(profiles: DataFrame) -> DataFrame:
+    """Layout profiles as plain columns: file, whole (a JSON object), version, layout_kind, metadata_kind, width, height (null unless whole numbers), regions (name, odd, boxes_kind), rois (region, name, odd), owned (region, name, required), has_anchor, strategy, corners (whether each is odd)."""
+    v = F.try_parse_json("text")
+    p = profiles.select("file", v.alias("v")).withColumn("v", F.when(kind(F.col("v")) == "OBJECT", F.col("v")))
+    v = F.col("v")
+    size = lambda c: F.when(kind(v, f"$.canonical_size.{c}") == "BIGINT", F.try_variant_get(v, f"$.canonical_size.{c}", "long"))
+    region = lambda e: F.struct(e["key"].alias("name"), _rectangle_is_odd(F.try_variant_get(e["value"], "$.data_crop", "variant")).alias("odd"), kind(e["value"], "$.field_rois").alias("boxes_kind"))
+    none = F.array().cast("array<struct<region:string,name:string,odd:boolean>>")
+    boxes = lambda e: F.coalesce(F.transform(F.map_entries(_object(e["value"], "$.field_rois")), lambda b: F.struct(e["key"].alias("region"), b["key"].alias("name"), _rectangle_is_odd(b["value"]).alias("odd"))), none)
+    owned = lambda f: F.struct(_text(f, "$.region").alias("region"), F.nullif(_text(f, "$.name"), F.lit("")).alias("name"), kind(f, "$.required").alias("required"))
+    anchor = "$.document_localization"
+    p = p.withColumn("entries", F.map_entries(_object(v, "$.regions")))
+    return p.select(
+        "file", v.isNotNull().alias("whole"), F.try_variant_get(v, "$.version", "double").alias("version"), kind(v, "$.layout").alias("layout_kind"), kind(v, "$.sample_metadata").alias("metadata_kind"), size("width").alias("width"), size("height").alias("height"),
+        F.transform("entries", region).alias("regions"), F.flatten(F.transform("entries", boxes)).alias("rois"), F.transform(_list(v, "$.fields"), owned).alias("owned"),
+        F.coalesce(kind(v, anchor) != "VOID", F.lit(False)).alias("has_anchor"), _text(v, f"{anchor}.strategy").alias("strategy"), F.transform(_list(v, f"{anchor}.page_corners_relative_to_mrz_width"), _odd_corner).alias("corners"),
+    )
+
+
+def _names(array: str, wrong: Callable[[Column], Column], shown: Callable[[Column], Column] = lambda x: x["name"]) -> Callable[[], Column]:
+    return lambda: F.transform(F.filter(array, lambda x: F.coalesce(wrong(x), F.lit(False))), shown)
+
+
+def _claims(f: Column, r: Column) -> Column:
+    return r["name"].eqNullSafe(f["name"]) & r["region"].eqNullSafe(f["region"])
 
-def _corners() -> Column:
-    path = "$.document_localization.page_corners_relative_to_mrz_width"
-    return F.when(kind(F.col("v"), path) == "ARRAY", F.try_variant_get("v", path, "array<variant>"))
+
+_FULL = lambda r: F.concat_ws("/", r["region"], r["name"])
+
+#: Rules on layout profiles, each with its details.
+PROFILE_RULES = (
+    Rule("version or layout", lambda: _if(~F.coalesce((F.col("version") == 1) & (F.col("layout_kind") == "STRING"), F.lit(False)))),
+    Rule("no sample metadata", lambda: _if(~F.col("metadata_kind").eqNullSafe("OBJECT"))),
+    Rule("canonical size", lambda: _if(~F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)))),
+    Rule("no regions or fields", lambda: _if(F.coalesce(F.size("regions") <= 0, F.lit(True)) | F.coalesce(F.size("owned") <= 0, F.lit(True)))),
+    Rule("region rectangle", _names("regions", lambda r: r["odd"])),
+    Rule("region without boxes", _names("regions", lambda r: ~r["boxes_kind"].eqNullSafe("OBJECT"))),
+    Rule("box rectangle", _names("rois", lambda r: r["odd"], _FULL)),
+    Rule("field without a name", _names("owned", lambda f: f["name"].isNull(), lambda f: F.coalesce(f["region"], F.lit("null")))),
+    Rule("field owned twice", lambda: F.array_distinct(_names("owned", lambda f: F.size(F.filter("owned", lambda g: g["name"] == f["name"])) > 1)())),
+    Rule("required is no flag", _names("owned", lambda f: f["name"].isNotNull() & ~f["required"].eqNullSafe("BOOLEAN"))),
+    Rule("field outside its region", _names("owned", lambda f: f["name"].isNotNull() & ~F.coalesce(F.exists("rois", lambda r: _claims(f, r)), F.lit(False)))),
+    Rule("box without a field", _names("rois", lambda r: ~F.coalesce(F.exists("owned", lambda f: _claims(f, r)), F.lit(False)), _FULL)),
+    Rule("page anchor", lambda: _if(F.col("has_anchor") & ~F.coalesce((F.col("strategy") == "mrz_anchor") & (F.size("corners") == 4), F.lit(False)))),
+    Rule("anchor corners", lambda: _if((F.size("corners") == 4) & F.exists("corners", lambda odd: odd))),
+)
 
 
 def layout_issues(profiles: DataFrame, rules: tuple[Rule, ...] = PROFILE_RULES) -> DataFrame:
     """issue, file, detail of layout profiles (file, text as JSON): every rule, not the first that fails. Boxes belong to a region; a field must own one of its own region's."""
-    v = F.try_parse_json("text")
-    p = profiles.select("file", v.alias("v")).withColumn("v", F.when(kind(F.col("v")) == "OBJECT", F.col("v")))
-    bad = p.where("v is null").select(F.lit("malformed").alias("issue"), "file", F.lit("").alias("detail"))
-    empty = "array<struct<region:string,name:string,box:variant>>"
-    boxes = F.flatten(F.transform(F.map_entries("regions"), lambda e: F.coalesce(F.transform(F.map_entries(_object(e["value"], "$.field_rois")), lambda b: F.struct(e["key"].alias("region"), b["key"].alias("name"), b["value"].alias("box"))), F.array().cast(empty))))
-    fields = F.when(kind(F.col("v"), "$.fields") == "ARRAY", F.try_variant_get("v", "$.fields", "array<variant>"))
-    p = p.where("v is not null").withColumns({"regions": _object(F.col("v"), "$.regions"), "fields": fields}).withColumns({"rois": boxes, "owned": _owned(F.col("fields"))})
+    p = parsed_profiles(profiles)
+    bad = p.where("not whole").select(F.lit("malformed").alias("issue"), "file", F.lit("").alias("detail"))
     each = F.concat(*map(_named, rules))
-    return bad.unionByName(p.select("file", F.explode(each).alias("x")).select("x.issue", "file", "x.detail"))
+    return bad.unionByName(p.where("whole").select("file", F.explode(each).alias("x")).select("x.issue", "file", "x.detail"))
