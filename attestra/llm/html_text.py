@@ -11,7 +11,8 @@ Defined cases: null or empty html has empty text; tags may be unclosed, wrongly
 nested or cut off; a ``<`` that opens no tag is text; ``br`` and table cells count
 as white space; scripts, styles, templates, ``head``, comments, embedded objects and
 selections are never text (self-closed ones hold nothing, unclosed ones end with their
-parent, or at the next block if they hold none); time is linear in the page's length whatever it holds;
+parent, or at the next block if they hold none); an unclosed comment, script or style takes the
+rest of the page, as in browsers, an unclosed ``head`` what is before ``body``; time is linear in the page's length whatever it holds;
 repeated rows give repeated results; null ids and urls are kept; other input
 columns are ignored.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import _text as T
 
+_EMPTY, _COMMENT = re.compile("-?>"), re.compile("--!?>")  # what closes a comment at its start, and anywhere
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -156,8 +158,8 @@ def parse(source: str) -> Page:
         head = source[lt + 1 : lt + 2]
         if head in ("!", "?"):
             if source.startswith("!--", lt + 1):
-                end = source.find("-->", lt + 4)
-                end = n if end < 0 else end + 2
+                m = _EMPTY.match(source, lt + 4) or _COMMENT.search(source, lt + 4)
+                end = m.end() - 1 if m else n
             else:
                 end = source.find(">", lt)
             name = None
