@@ -21,7 +21,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -323,8 +325,12 @@ def train(n: int = 900, rounds: int = 6, seed: int = 11) -> Model:
 def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, base and added spans), each by kind and start."""
     base = base_spans(text)
-    more = [s for s in model.spans(text) if not any(s[1] < b and a < s[2] for _, a, b in base)] if _SEED.search(text) else []
-    return base, sorted(base + more)
+    if not _SEED.search(text):
+        return base, sorted(base)
+    order = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in order], list(accumulate((b for _, b in order), max))  # of all that start up to there, the last end
+    free = lambda a, b: not (n := bisect_left(starts, b)) or ends[n - 1] <= a
+    return base, sorted(base + [s for s in model.spans(text) if free(s[1], s[2])])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
