@@ -37,6 +37,8 @@ MASKS = ("10111011", "1011000111", "101100001011", "11111001")
 LEAST = 13
 #: Bytes of test-set text broadcast at once.
 BLOCK_BYTES = 4 << 20
+#: Pairs of places looked at once: hot words and repeats cost time, not memory.
+PAIRS = 1 << 20
 _BITS = 24
 _OUT = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -55,6 +57,14 @@ def _masked(w: np.ndarray, of: np.ndarray, mask: str, salt: int) -> tuple[np.nda
     return at, T.mix(h[at])
 
 
+def _earlier(at: np.ndarray, keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The key of the same mask one word earlier in the same text, or 0. ``at`` ascends within each mask."""
+    out = np.zeros(len(keys), np.uint64)
+    follows = (at[1:] == at[:-1] + 1) & (of[at[1:]] == of[at[:-1]])
+    out[1:][follows] = keys[:-1][follows]
+    return out
+
+
 def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, text of each word, first word of each text and the end) of lower-cased texts."""
     buf, off = T.strings(pa.array([t.lower() for t in texts], pa.string()))
@@ -62,6 +72,10 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return T.word_hashes(buf, start, end, 1)[0], of, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
+def _paired(keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return T.mix(keys * _C + before)
+
+
 def _seeds(w: np.ndarray, of: np.ndarray, masks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     found = [_masked(w, of, m, 1 + i) for i, m in enumerate(masks)]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -96,7 +110,7 @@ def _finder(min_words: int, share: float, block):
     """A function from a batch with ``text`` to its overlaps with a block: (row, item_id, doc_start, item_start, n_words, n_equal)."""
 
     def find(piece: pa.RecordBatch) -> list[tuple]:
-        names, iw, ifirst, keys, where, masks = block.value
+        names, iw, ifirst, keys, where, groups, spans, masks = block.value
         if not len(keys):
             return []
         iof = np.searchsorted(ifirst, np.arange(len(iw)), "right") - 1
@@ -105,15 +119,31 @@ def _finder(min_words: int, share: float, block):
         table[keys >> shift] = True
         w, of, first = _hashed([t or "" for t in piece.column("text").to_pylist()])
         at, h = _seeds(w, of, masks)
+        before = _earlier(at, h, of)
         hit = np.flatnonzero(table[h >> shift])
-        at, h = at[hit], h[hit]
+        at, h, before = at[hit], h[hit], before[hit]
         lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-        n = hi - lo
-        at = np.repeat(at, n)
-        item_at = where[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        seen = dict.fromkeys(zip(of[at].tolist(), iof[item_at].tolist(), (at - item_at).tolist(), strict=True))
+        # places in items where the word before hits as well lie on a diagonal that is known: left out
+        pair = _paired(h, before)
+        g = np.minimum(np.searchsorted(groups, pair), len(groups) - 1)
+        known = (before != 0) & (groups[g] == pair) & (hi > lo)
+        a, b = np.where(known, spans[g, 0], hi), np.where(known, spans[g, 1], hi)
+        start, n = np.r_[lo, b], np.r_[a - lo, hi - b]
+        at, start, n = np.tile(at, 2)[n > 0], start[n > 0], n[n > 0]
+        width, base = np.int64(len(w) + len(iw) + 1), np.int64(len(iw))
+        seen = np.zeros(0, np.int64)
+        upto = np.cumsum(n)
+        x = 0
+        while x < len(n):  # in blocks of pairs; one place has at most as many as the block of items has words
+            y = max(x + 1, int(np.searchsorted(upto, (upto[x - 1] if x else 0) + PAIRS, "right")))
+            m = n[x:y]
+            doc_at = np.repeat(at[x:y], m)
+            item_at = where[np.repeat(start[x:y], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            seen = np.union1d(seen, (of[doc_at].astype(np.int64) * len(names) + iof[item_at]) * width + (doc_at - item_at + base))
+            x = y
+        both, diagonals = seen // width, seen % width - base
         rows = []
-        for d, i, diagonal in seen:
+        for d, i, diagonal in zip((both // max(1, len(names))).tolist(), (both % max(1, len(names))).tolist(), diagonals.tolist(), strict=True):
             a = max(int(ifirst[i]), int(first[d]) - diagonal)
             b = min(int(ifirst[i + 1]), int(first[d + 1]) - diagonal)
             equal = iw[a:b] == w[a + diagonal : b + diagonal]
@@ -145,8 +175,13 @@ def _blocks(items: DataFrame, share: float) -> tuple[int, Callable]:
             a, h = _masked(w, of, m, 1 + len(MASKS) + i)
             whole = np.diff(first)[of[a]] == len(m)
             at, keys = np.r_[at, a[whole]], np.r_[keys, h[whole]]
-        order = np.argsort(keys, kind="stable")
-        return items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], w, first, keys[order], at[order], [*MASKS, *short]))
+        before = _earlier(at, keys, of)
+        order = np.lexsort((before, keys))
+        keys, before = keys[order], before[order]
+        edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (before[1:] != before[:-1])]) if len(keys) else np.zeros(0, np.int64)
+        groups, spans = _paired(keys[edge], before[edge]), np.stack([edge, np.r_[edge[1:], len(keys)][: len(edge)]], 1)
+        by = np.argsort(groups, kind="stable")
+        return items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], w, first, keys, at[order], groups[by], spans[by], [*MASKS, *short]))
 
     return n, block
 
