@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import time
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, chosen_path, components, decontaminate, html_text, katz, nn_descent, pii, quality, quality_rules, substring_dedup, warc_zip
+from attestra.llm import bpe, chosen_path, collocations, components, decontaminate, html_text, katz, nn_descent, pii, prefix_trie, quality, quality_rules, queries, substring_dedup, warc_zip
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep long, key string, w double, bucket string"
@@ -221,6 +222,36 @@ def test_decontaminate_short_items_with_substitutions(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == set(range(docs.count())) - {d for d, _ in want}
 
 
+def test_decontaminate_repeated_words_against_brute_force(spark):
+    """Items of 30 to 300 words out of few, so that places repeat, against every diagonal's longest stretches."""
+    r = random.Random(8)
+    items = [(i, [r.choice("ab cd ef".split()[: r.randint(2, 3)]) for _ in range(r.randint(30, 300))]) for i in range(6)]
+    docs = []
+    for i, item in items:
+        part = item[r.randint(0, 10) :][: r.randint(15, 200)]
+        docs.append((i, [f"x{r.random()}" for _ in range(5)] + [w if r.random() < 0.9 else "zz" for w in part] + ["ab"] * r.randint(0, 40)))
+    want = collections.Counter()
+    for d, text in docs:
+        for i, item in items:
+            for diagonal in range(-len(item) + 1, len(text)):
+                a, b = max(0, -diagonal), min(len(item), len(text) - diagonal)
+                equal = np.array([item[k] == text[k + diagonal] for k in range(a, b)])
+                for x, y in decontaminate._stretches(equal, 0.8, 13):
+                    want[d, i, a + x + diagonal, a + x, y - x, int(equal[x:y].sum())] += 1
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{name} long, text string")
+    got = collections.Counter(tuple(x) for x in decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect())
+    assert got == want
+
+
+def test_decontaminate_hot_words(spark):
+    docs = spark.createDataFrame([(1, "the " * 20_000), (2, "a b " * 3000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the " * 2_000), (2, "a b " * 500)], "item_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): (r.n_overlaps, r.n_words, r.doc_start, r.item_start) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1): (20_000 + 2_000 - 1 - 2 * 12, 2_000, 0, 0), (2, 2): (3_500 - 13, 1_000, 0, 0)}
+    assert time.time() - began < 60
+
+
 def test_stretches_are_the_longest():
     r = np.random.default_rng(3)
     for n in range(13, 60):
@@ -293,6 +324,15 @@ def test_pii_of_very_long_texts():
     assert pii.base_spans("1.1.1." + "0" * 5000 + "7 " + "9" * 5000 + ".1.1.1") == [(1, 0, 5007)] and time.time() - began < 120
 
 
+def test_pii_of_many_spans():
+    text, model = "a@b.co 555-123-4567 jo [at] site [dot] org " * 20_000, pii.train(60, 1)
+    began = time.time()
+    base, spans = pii.all_spans(text[: 43 * 500], model)
+    assert all(x[2] <= y[1] or y[2] <= x[1] for x in spans for y in base if x not in base)
+    assert len(base) == 500 and set(base) <= set(spans)
+    assert len(pii.all_spans(text, model)[0]) == 20_000 and time.time() - began < 60
+
+
 def test_pii_on_held_out_sentences():
     model = pii.train()
     hit = extra = miss = 0
@@ -581,6 +621,12 @@ def test_html_of_embedded_elements(odd):
     assert html_text.extract(f"<p>a{odd}b</p><p>c", model).endswith("c")
 
 
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!---->", "<!-- a > b -- c -->", "<!-- a --!>", "<!--x-->"])
+def test_html_comments_take_nothing_with_them(comment):
+    model = html_text.Model({}, [[0.0, 0.0], [0.0, 0.0]])
+    assert html_text.extract(f"<body><p>first</p>{comment}<p>sec{comment}ond</p></body>", model) == "first\n\nsecond"
+
+
 def test_html_time_is_linear():
     began = time.time()
     for page in ("<a " * 300000, "<b>" * 100000 + "</i>" * 100000, "<i><div>" + "<b>" * 100000 + "</i>" * 100000, '<a "> "' * 100000, "<" * 10**6, "<!x" * 200000, "<svg>" * 100000 + "<p>x", "<b>" * 50000 + "<div>" * 50000, "<table>" + "<tr><td>" * 50000):
@@ -673,3 +719,167 @@ def test_quality_rules_of_long_texts(spark):
     row = quality_rules.apply(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.n_words == 400_000 and row.n_repeat_words >= 200_000
     assert time.time() - began < 30
+
+
+# ---- 12 ----
+
+
+def trie(rows, block=20, mod=4):
+    """Nodes by brute force."""
+    own = {}
+    for c, t, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own.setdefault(c, []).append((t is not None, t or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest(), (role, text)))
+    own = {c: [x[3] for x in sorted(v)] for c, v in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % mod
+        built[c] = own.get(c - int(math.fmod(c, block)), [])[:h] + turns[h:]
+    members = {}
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    below = {p: [q for q in members if len(q) == len(p) + 1 and q[: len(p)] == p] for p in members}
+    out = set()
+    for p, m in members.items():
+        under = [q for q in members if q[: len(p)] == p]
+        ends = ",".join(map(str, sorted(c for c in m if len(built[c]) == len(p))))
+        saved = sum((len(members[q]) - 1) * len(WORD.findall(q[-1][1])) for q in under if q)
+        out.add((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(below[p]), sum(not below[q] for q in under), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def conversations(r, n, deep):
+    rows = []
+    for c in range(n):
+        k = r.choice([1, 2, 3, 5, deep])
+        rows += [(c * 3 - 40, t, r.choice(["user", "user", "bot", None]) if t % 7 == 6 else "user", f"turn {t if r.random() < 0.97 else r.random()}") for t in range(k)]
+    rows += [(7, None, None, None), (7, None, "user", ""), (7, 1, "user", "again"), (7, 1, "user", "again"), (7, 1, "bot", "x"), (None, 1, "user", "lost"), (21, 3, "user", "alone"), (10**12 + 1, 0, "user", "far"), (10**12 + 2, 0, "user", "far")]
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "deep", "long"), [(1, 9, None), (2, 150, None), (3, 150, 20)])
+def test_prefix_trie(spark, monkeypatch, seed, deep, long):
+    rows = conversations(random.Random(seed), 40, deep)
+    if long:
+        monkeypatch.setattr(prefix_trie, "LONG", long)
+        monkeypatch.setattr(prefix_trie, "HOT", 2)
+        monkeypatch.setattr(prefix_trie, "_RUN", 16)
+    got = prefix_trie.nodes(spark.createDataFrame([(*x, 1, "k") for x in rows], "conv_id long, turn long, role string, text string, n int, cls string").repartition(3)).collect()
+    assert len(got) == len(set(got)) and {tuple(x) for x in got} == trie(rows)
+
+
+def test_prefix_trie_of_few(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert prefix_trie.nodes(spark.createDataFrame([], schema)).count() == 0
+    for rows in ([(5, 0, "user", "a b")], [(5, 0, "user", "a b"), (5, 1, None, "c")], [(1, 0, "u", "x"), (2, 0, "u", "x")], [(None, 0, "u", "x")]):
+        got = prefix_trie.nodes(spark.createDataFrame(rows, schema)).collect()
+        assert {tuple(x) for x in got} == trie(rows)
+
+
+# ---- 13 ----
+
+
+def collocations_of(rows, most=3, least=10, share=50):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    f = collections.Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            f.update((lang or "und", *w[i : i + k]) for k in range(1, most + 1) for i in range(len(w) - k + 1))
+    longer = collections.defaultdict(int)
+    for p, a in f.items():
+        if a >= least and len(p) > 3:
+            for q in ((p[0], *p[2:]), p[:-1]):
+                longer[q] = max(longer[q], a)
+    out = []
+    for p, a in f.items():
+        if a >= least and len(p) > 2 and 100 * longer[p] < share * a:
+            lang, w = p[0], p[1:]
+            s, k = min((10**6 * a * a // (f[lang, *w[:k]] * f[lang, *w[k:]]), k) for k in range(1, len(w)))
+            out.append((lang, -s, -a, " ".join(w).encode(), f[lang, *w[:k]], f[lang, *w[k:]], sum(n for q, n in f.items() if len(q) == 2 and q[0] == lang)))
+    return sorted(out)
+
+
+def phrase_rows(seed, n=60):
+    r = random.Random(seed)
+    vocabulary = "the The of and new york city é ß a b c d".split()
+    rows = [(r.choice(["en", "fr", None, "und"]), "".join(r.choice(vocabulary) + r.choice([" ", " ", " ", "\t", ", ", ".", "\n", "\x0b", "\u00a0"]) for _ in range(r.randint(0, 80)))) for _ in range(n)]
+    return rows + [("en", None), ("en", ""), ("fr", "new york city " * 30), ("xx", "p q r s. " * 12), ("xx", "p q r s. " * 12), ("yy", "z" * 100_000 + " z")]
+
+
+@pytest.mark.parametrize(("seed", "most", "share"), [(1, 3, 50), (2, 3, 100), (3, 4, 50), (4, 2, 50)])
+def test_collocations(spark, monkeypatch, seed, most, share):
+    monkeypatch.setattr(collocations, "_SHARD_BYTES", 700)
+    rows = phrase_rows(seed)
+    docs = spark.createDataFrame([(i, *x, "mine") for i, x in enumerate(rows)], "doc_id long, lang string, text string, phrase string").repartition(3)
+    want = collocations_of(rows, most, 10, share)
+    got = collocations.mine(docs, most_words=most, share=share, top=5).collect()
+    best = {}
+    for x in want:
+        best.setdefault(x[0], []).append(x)
+    assert want and sorted((x.lang, -x.score, -x.a, x.phrase.encode(), x.l, x.r, x.n) for x in got) == sorted(x for v in best.values() for x in v[:5])
+    assert all(best[x.lang][x["rank"] - 1][3].decode() == x.phrase for x in got)
+
+
+def test_collocations_of_nothing(spark, empty):
+    assert collocations.mine(empty).count() == 0
+    assert collocations.mine(spark.createDataFrame([(1, None, None), (2, "en", " . ")], "doc_id long, lang string, text string")).count() == 0
+
+
+def test_collocation_scores_of_any_size():
+    a = np.array([10, 3_000_000_000, 7])
+    x, y = np.array([20, 5_000_000_000, 7]), np.array([30, 3_000_000_001, 7])
+    got = collocations._cut(a, [(x, y), (y, x), (x, x)])
+    for i in range(3):
+        cuts = [(int(x[i]), int(y[i])), (int(y[i]), int(x[i])), (int(x[i]), int(x[i]))]
+        s = [collocations.score(int(a[i]), *c) for c in cuts]
+        k = s.index(min(s))
+        assert (int(got[0][i]), int(got[1][i]), int(got[2][i])) == (*cuts[k], s[k])
+
+
+def test_automaton_states():
+    """States are the classes of substrings with equal end places; links lead to the longest suffix in another one."""
+    r = random.Random(4)
+    pieces = [[r.choice("abc") for _ in range(r.randint(1, 12))] for _ in range(6)]
+    text = ". ".join(" ".join(p) for p in pieces)
+    buf, off = collocations.T.strings(collocations.pa.array([text]))
+    batch = collocations._shard([buf], [off], ["en"])
+    auto = collocations.Automaton(lambda c: batch.column(c)[0].as_py())
+    auto.deepen(known=False)
+    auto.deepen(known=False)
+    of, ends, links = auto.states()
+    where = collections.defaultdict(set)
+    for p, w in enumerate(pieces):
+        for k in (1, 2, 3):
+            for i in range(len(w) - k + 1):
+                where[tuple(w[i : i + k])].add((p, i + k))
+    state = {}
+    for k in (1, 2, 3):
+        for phrase, s in zip(auto.phrases(k, np.arange(len(of[k - 1])))[0], of[k - 1], strict=True):
+            state[tuple(phrase.split())] = int(s)
+    assert state.keys() == where.keys()
+    assert all((state[p] == state[q]) == (where[p] == where[q]) for p in where for q in where if len(p) >= len(q) and p[-len(q) :] == q)
+    assert all(ends[s] == len(where[p]) for p, s in state.items())
+    for p, s in state.items():
+        shorter = [q for q in (p[i:] for i in range(1, len(p))) if state[q] != s]
+        assert links[s] == (state[shorter[0]] if shorter else -1)
+
+
+# ---- SQL ----
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from __spark_entry__ import queries as every
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet(['{folder}/{t}.parquet/*.parquet'])" if os.path.isdir(f"{folder}/{t}.parquet") else f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got = every()[name](spark, folder)
+    cols = sorted(got.columns)
+    want = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({queries.ORACLE[name]})").fetchall()
+    assert collections.Counter(map(tuple, got.select(*cols).collect())) == collections.Counter(want)
