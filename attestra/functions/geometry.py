@@ -7,17 +7,12 @@ their page. What is degenerate (three corners in line, no area, a point at infin
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NEAR = 1e-12
-
+from attestra.functions.columns import bound
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+_NEAR = 1e-12
 
 
 def point(x: Column | float, y: Column | float) -> Column:

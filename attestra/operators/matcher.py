@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import mrz
 from attestra.functions import text as tx
+from attestra.functions.columns import bound, running_sums
 from attestra.functions.similarity import Texts, best_matches
 from attestra.operators import layout
 
@@ -77,6 +78,23 @@ def _found_at(text, parts):
     return F.aggregate(parts, zero, add)["out"]
 
 
+def _spans(text: Column, most: int) -> Column:
+    """Spans of one to ``most`` tokens: first and last token, start and end, text. Built from tokens and the blanks before them, in time linear in the line."""
+
+    def each(p: Column, ends: Column, mixed: Column) -> Column:
+        n = F.size(p["tok"])
+        one = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (F.get(ends, i) - F.length(F.get(p["tok"], i))).cast("int").alias("a"), F.get(ends, j).cast("int").alias("b"), F.array_join(F.slice(mixed, 2 * i + 2, 2 * (j - i) + 1), "").alias("text"))
+        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, F.least(i + most, n) - 1), lambda j: one(i, j)))))
+
+    def placed(p: Column) -> Column:
+        size = F.zip_with(p["gap"], p["tok"], lambda g, k: F.length(g) + F.length(k))
+        mixed = F.flatten(F.zip_with(p["gap"], p["tok"], lambda g, k: F.array(g, k)))
+        return bound(bound(size, lambda v: running_sums(v)), lambda ends: bound(mixed, lambda m: each(p, ends, m)))
+
+    part = lambda n: F.regexp_extract_all(text, F.lit(r"(?U)(\s*)(\S+)"), F.lit(n))
+    return bound(F.struct(part(1).alias("gap"), part(2).alias("tok")), placed)
+
+
 def span_candidates(lines: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """Whole lines, spans of one to six tokens, dates, and what stands before each date. A text that is several of these comes once for each; ``verify`` keeps the first."""
     t = F.col("text")
@@ -89,10 +107,8 @@ def span_candidates(lines: DataFrame, th: Thresholds = Thresholds()) -> DataFram
         return df.where(text != "").select(*_candidate(_place(0, F.col("line_pos"), pos), text, spot(F.col("a"), F.col("b")), "visible_ocr", F.col("confidence"), F.col("source")))
 
     whole = rows(df.withColumns({"a": F.lit(0), "b": F.length(t)}), F.lit(0), F.trim(t))
-    tokens = df.withColumn("tok", _found_at(t, F.regexp_extract_all(t, F.lit(r"(?U)(\S+)")))).select("*", F.posexplode("tok").alias("i", "first"))
-    tokens = tokens.select("*", F.explode(F.sequence(F.col("i"), F.least(F.col("i") + th.max_tokens, F.size("tok")) - 1)).alias("j"))
-    tokens = tokens.withColumns({"a": F.col("first.a"), "b": F.col("tok")[F.col("j")]["b"]}).drop("tok", "first")
-    spans = rows(tokens, 1 + F.col("i") * th.max_tokens + F.col("j") - F.col("i"), cut)
+    tokens = df.select("doc_id", "line_pos", "confidence", "source", F.explode(_spans(t, th.max_tokens)).alias("s")).select("*", "s.*")
+    spans = rows(tokens, 1 + F.col("i") * th.max_tokens + F.col("j") - F.col("i"), F.col("text"))
     dated = df.where(t.rlike(tx.DATE)).withColumn("dat", _found_at(t, F.regexp_extract_all(t, F.lit(f"({tx.DATE})"))))
     dated = dated.select("*", F.posexplode("dat").alias("i", "d")).withColumn("n", 1 + th.max_tokens * F.length(t) + 2 * F.col("i"))
     dates = rows(dated.withColumns({"a": F.col("d.a"), "b": F.col("d.b")}), F.col("n"), cut)
@@ -251,11 +267,12 @@ def options(fields: DataFrame, cands: DataFrame, th: Thresholds = Thresholds())
 
 
 def _with_evidence(chosen: DataFrame, lines: DataFrame) -> DataFrame:
-    """``evidence``: of each line that a value was read from its id, the span of characters, source, side and box."""
-    at = chosen.select("doc_id", "field_pos", F.posexplode("resources").alias("n", "r"))
-    line = _lines(lines).select("doc_id", F.col("line_pos").alias("line"), F.coalesce("line_id", F.col("line_pos").cast("string")).alias("line_id"), F.coalesce("source", "side", F.lit("visible_ocr")).alias("line_source"), "side", "bbox")
+    """``evidence``: of each line that a value was read from its id, the span of characters, the kind of candidate as source, side and box. A line without a side has that of its source, if it is one."""
+    at = chosen.select("doc_id", "field_pos", "kind", F.posexplode("resources").alias("n", "r"))
+    side = F.coalesce(F.nullif("side", F.lit("")), F.when(F.col("source").isin("front", "back"), F.col("source")))
+    line = _lines(lines).select("doc_id", F.col("line_pos").alias("line"), F.coalesce("line_id", F.col("line_pos").cast("string")).alias("line_id"), side.alias("side"), "bbox")
     at = at.withColumn("line", F.col("r.line")).join(line, ["doc_id", "line"])
-    part = F.struct("n", "line_id", F.array("r.a", "r.b").alias("span"), F.col("line_source").alias("source"), "side", "bbox")
+    part = F.struct("n", "line_id", F.array("r.a", "r.b").alias("span"), F.col("kind").alias("source"), "side", "bbox")
     got = at.groupBy("doc_id", "field_pos").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.dropFields("n")).alias("evidence"))
     return chosen.join(got, ["doc_id", "field_pos"])
 
@@ -265,7 +282,7 @@ def verify(lines: DataFrame, expected: DataFrame, documents: DataFrame | None =
     fields = prepared(expected)
     best = options(fields, candidates(lines, documents, th), th)
     chosen = best.select("doc_id", "field_pos", "rank", "adjusted", "resources").groupBy("doc_id").applyInPandas(_assign(th), "doc_id string, field_pos int, rank int")
-    got = best.select("doc_id", "field_pos", "rank", "text", "found", "score", "rounded", "source", "resources").join(chosen, ["doc_id", "field_pos", "rank"])
+    got = best.select("doc_id", "field_pos", "rank", "text", "found", "score", "rounded", "source", "kind", "resources").join(chosen, ["doc_id", "field_pos", "rank"])
     out = fields.join(_with_evidence(got, lines), ["doc_id", "field_pos"], "left")
     status = tx.status(F.col("target"), F.col("found"), F.col("score"), F.col("field_kind"), th.likely_name_score, th.likely_text_score)
     return out.select("doc_id", "field_pos", "field", "expected", F.col("text").alias("detected"), F.coalesce("rounded", F.lit(0.0)).alias("score"), status.alias("status"), "source", "evidence")

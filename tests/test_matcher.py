@@ -1,6 +1,7 @@
 """Vectors of the verification matcher, and that dealing rows otherwise changes nothing."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.operators import matcher as M
 
@@ -107,3 +108,29 @@ def test_every_line_of_a_turn(spark, tmp_path):
     assert {(r.doc_id, r.field_pos, r.expected) for r in fields.where("doc_id = 'c'").collect()} == {("c", 0, "one two three"), ("c", 1, "seven eight nine")}
     found = M.verify(lines, spark.createDataFrame([("c", 0, "name", "four five")], "doc_id string, field_pos int, field string, expected string")).first()
     assert (found.detected, found.status) == ("four five", "match")
+
+
+def test_spans_of_long_and_odd_lines(spark):
+    import re
+    import time
+
+    texts = ["a", "  a\tb  c  ", "　x y", "é " * 7, " ".join(f"w{i % 97}" for i in range(700))]
+    df = spark.createDataFrame([("d", i, x) for i, x in enumerate(texts)], "doc_id string, line_pos int, text string")
+    got = {(x.resources[0].line, x.resources[0].a, x.resources[0].b, x.text) for x in M.span_candidates(df).collect()}
+    want = {(i, 0, len(x), x.strip()) for i, x in enumerate(texts)}
+    for i, x in enumerate(texts):
+        at = [m.span() for m in re.finditer(r"\S+", x)]
+        want |= {(i, at[j][0], at[k][1], x[at[j][0] : at[k][1]]) for j in range(len(at)) for k in range(j, min(j + 6, len(at)))}
+    assert {(i, a, b, re.sub(r"^\s+|\s+$", "", t)) for i, a, b, t in got} == {(i, a, b, t.strip()) for i, a, b, t in want}
+    long = spark.createDataFrame([("d", 0, " ".join(f"word{i}" for i in range(8_000)))], "doc_id string, line_pos int, text string")
+    M.span_candidates(df).count()
+    began = time.time()
+    assert M.span_candidates(long).select(F.sum(F.length("text"))).first()[0] > 48_000
+    assert time.time() - began < 15
+
+
+def test_evidence_names_kind_and_side(spark):
+    lines = spark.createDataFrame([("d", 0, "LENA", "front", None), ("d", 1, "HOLM", "scan", "back"), ("d", 2, "7 MAY ROAD", None, None)], "doc_id string, line_pos int, text string, source string, side string")
+    fields = spark.createDataFrame([("d", 0, "name", "LENA"), ("d", 1, "surname", "HOLM"), ("d", 2, "address", "7 MAY ROAD")], "doc_id string, field_pos int, field string, expected string")
+    got = {r.field: [(e.source, e.side) for e in r.evidence] for r in M.verify(lines, fields).collect()}
+    assert got == {"name": [("visible_ocr", "front")], "surname": [("visible_ocr", "back")], "address": [("visible_ocr", None)]}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from attestra.operators import zones
 
-TD3 = ["P<UZBCITIZEN<<JOHN" + "<" * 26, "0000000000UZB0000000M" + "0" * 23]
+TD3 = ["P<UTOHOLM<<INGA<MAJ" + "<" * 25, "K7204419<3UTO8805142F3009303" + "<" * 16]
 
 
 def test_lines_and_blocks(spark):
