@@ -83,9 +83,9 @@ def polygon_box(polygon: Column) -> Column:
 
 
 def page_order(lines: DataFrame, *page: str) -> DataFrame:
-    """``place`` of each line of a page, by the mean height of its polygon, then by its left end."""
+    """``place`` of each line of a page, by the mean height of its polygon, then by its left end; lines of one place follow their polygons and texts."""
     mean_y, left = F.aggregate("polygon", F.lit(0.0), lambda a, p: a + p["y"]) / F.size("polygon"), F.array_min(F.transform("polygon", lambda p: p["x"]))
-    return lines.withColumn("place", F.row_number().over(W.partitionBy(*page).orderBy(mean_y, left)) - 1)
+    return lines.withColumn("place", F.row_number().over(W.partitionBy(*page).orderBy(mean_y, left, "polygon", "text")) - 1)
 
 
 def unit_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:

@@ -109,8 +109,8 @@ def boundary(rows: DataFrame, key: str, target: str) -> DataFrame:
 
 
 def diverse(rows: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """A sample of n rows that takes from each group in turn, in an order by hash. The size is the feature."""
-    depth = F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    """A sample of n rows that takes from each group in turn, in an order by digest of seed and key. The size is the feature."""
+    depth = F.row_number().over(W.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
     return rows.withColumn("depth", depth).where(F.col("depth") <= n).orderBy("depth", group).limit(n)
 
 
