@@ -71,3 +71,40 @@ def key_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     k = a.distinct().select("k", F.lit(1).alias("side")).unionByName(b.distinct().select("k", F.lit(2).alias("side"))).groupBy("k").agg(F.sum("side").alias("s"))
     c = k.agg(F.count("*").alias("union"), F.count_if(F.col("s") == 3).alias("intersect"), F.count_if(F.col("s") == 1).alias("left only"), F.count_if(F.col("s") == 2).alias("right only"))
     return c.select(F.explode(F.array(*(F.struct(F.lit(x).alias("op"), F.col(x).alias("n")) for x in c.columns))).alias("x")).select("x.op", "x.n")
+
+
+def status_changes(rows: DataFrame, before: str, after: str, *groups: str) -> DataFrame:
+    """How often each status of one run became each of another."""
+    return rows.groupBy(*groups, F.concat_ws("->", before, after).alias("change")).agg(F.count("*").alias("n"))
+
+
+def transition_table(rows: DataFrame, before: Column, after: Column, group: str) -> DataFrame:
+    """By group: both_correct, regression, improvement, both_wrong, zeros included."""
+    names = ["BOTH_CORRECT", "REGRESSION", "IMPROVEMENT", "BOTH_WRONG"]
+    tr = transition(before, after)
+    return rows.groupBy(group).agg(*(F.count_if(tr == n).alias(n.lower()) for n in names))
+
+
+def positional_changes(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """``changed`` and ``positions`` of two lists: places where they differ, what one lacks included; a missing list is empty."""
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce(left, none), F.coalesce(right, none)
+    pairs = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
+    return rows.withColumns({"changed": F.size(F.filter(pairs, lambda x: x)).cast("long"), "positions": F.greatest(F.size(a), F.size(b)).cast("long")})
+
+
+def stability(rows: DataFrame, output: Column, unit: str, *groups: str) -> DataFrame:
+    """By group: units, and those whose repeats did not all give the same output (null counts as one)."""
+    n = rows.groupBy(*groups, unit).agg(F.countDistinct(F.struct(output)).alias("n"))
+    return n.groupBy(*groups).agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("unstable"))
+
+
+def coverage(documents: DataFrame, labels: DataFrame, key: str, label: str, *groups: str) -> DataFrame:
+    """By group: documents, labelled ones, good ones (label 1) and those without a label."""
+    j = documents.join(labels.select(key, label), key, "left")
+    return j.groupBy(*groups).agg(F.count("*").alias("documents"), F.count(label).alias("labelled"), F.count_if(F.col(label) == 1).alias("good"), (F.count("*") - F.count(label)).alias("missing"))
+
+
+def breakdown(rows: DataFrame, tags: Column, value: Column, name: str = "tag") -> DataFrame:
+    """Rows and mean value of each tag of an array; a row counts for every tag it has."""
+    return rows.select(value.alias("__value"), F.explode(tags).alias(name)).groupBy(name).agg(F.count("*").alias("n"), F.avg("__value").alias("mean"))

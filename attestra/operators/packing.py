@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.operators.ranking import running
@@ -13,9 +15,12 @@ def chunks(items: DataFrame, group: list[str], order: list[Column], size: int) -
     return running(items, group, order).withColumn("chunk", F.floor((F.col("upto") - 1) / size).cast("long")).drop("upto", "total")
 
 
-def cycled(spark: SparkSession, items: int, n: int) -> DataFrame:
-    """Positions 0..n-1 and the item that each takes when items repeat in turn."""
-    return spark.range(n).select(F.col("id").alias("pos"), F.pmod("id", F.lit(items)).alias("item"))
+def cycled(items: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """Positions 0..n-1, each with the item (all its columns) that is due when the items repeat in turn, in an order that is unique."""
+    numbered = running(items.withColumn("__all", F.lit(1)), ["__all"], order).drop("__all")
+    turns = F.ceil((F.lit(n) - F.col("upto") + 1) / F.col("total"))
+    each = numbered.where(F.col("upto") <= n).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)))
+    return each.withColumn("pos", (F.col("upto") - 1 + F.col("turn") * F.col("total")).cast("long")).drop("upto", "total", "turn")
 
 
 def target_width(width: Column, height: Column, to_height: int = 48, least: int = 320, most: int = 3200) -> Column:
@@ -38,9 +43,7 @@ def side_pairs(entries: DataFrame) -> DataFrame:
     return entries.groupBy(parent.alias("parent")).agg(F.count("*").alias("entries"), f.alias("fronts"), b.alias("backs"), ((f == 1) & (b == 1)).alias("paired"))
 
 
-def matrix(spark: SparkSession, axes: dict[str, list[int]]) -> DataFrame:
-    """Every combination of a few configured values."""
-    df = spark.range(1).select()
-    for name, values in axes.items():
-        df = df.select("*", F.explode(F.array(*(F.lit(v).cast("long") for v in values))).alias(name))
-    return df
+def matrix(axes: dict[str, DataFrame]) -> DataFrame:
+    """Every combination of the distinct values of a few one-column tables of settings."""
+    named = [df.select(F.col(df.columns[0]).alias(name)).distinct() for name, df in axes.items()]
+    return reduce(DataFrame.crossJoin, named)

@@ -182,3 +182,32 @@ def aligned(side: Column) -> Column:
 def pixel_scale(percent: Column) -> Column:
     """Scale of each side for a share of the pixels."""
     return F.sqrt(percent / 100)
+
+
+def first_record(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
+    """The first row of each key in an order that is unique; no group is sorted."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("__row")).select(*keys, "__row.*")
+
+
+def stage_shares(rows: DataFrame, whole: str, stage: str, value: str) -> DataFrame:
+    """``v`` (summed by stage), ``share`` of the whole."""
+    g = rows.groupBy(whole, stage).agg(F.sum(value).alias("v"))
+    return g.withColumn("share", F.try_divide(F.col("v"), F.sum("v").over(W.partitionBy(whole))))
+
+
+def against_one(rows: DataFrame, key: str, base, value: str) -> DataFrame:
+    """``speedup``: the value of one named row by each row's."""
+    one = rows.where(F.col(key) == base).agg(F.max(value).alias("__base"))  # one row
+    return rows.crossJoin(F.broadcast(one)).withColumn("speedup", F.try_divide("__base", value)).drop("__base")
+
+
+def other_time(rows: DataFrame, key: str, stage: str, value: str, explained: tuple[str, ...]) -> DataFrame:
+    """By key: what of all time the named stages leave, at least 0."""
+    part = F.coalesce(F.sum(F.when(F.col(stage).isin(*explained), F.col(value))), F.lit(0.0))
+    return rows.groupBy(key).agg(F.greatest(F.lit(0.0), F.sum(value) - part).alias("other"))
+
+
+def hypothetical_calls(groups: DataFrame, n: str, caps: list[int], *keys: str) -> DataFrame:
+    """By key and cap: calls that groups of n items would take at that many a call, and groups over it."""
+    g = groups.select(*keys, n, F.explode(F.array(*(F.lit(c).cast("long") for c in caps))).alias("cap"))
+    return g.groupBy(*keys, "cap").agg(F.sum(F.ceil(F.col(n) / F.col("cap"))).cast("long").alias("calls"), F.count_if(F.col(n) > F.col("cap")).alias("over_cap"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import geometry as g
 from attestra.functions import text as tx
-from attestra.operators import identity, layout, profiles, runs, scoring, zone_search
+from attestra.operators import identity, layout, profiles, runs, scoring, timings, zone_search
 from attestra.plans.queries import D, L, S, _td3, col, query, rnd, t
 
 # ---- regions and reading order ----
@@ -199,3 +199,50 @@ def zone_search_best(s, d):
     z = _td3(s, d).select(k.alias("sample"), "l2", lines.alias("lines"), F.array(F.lit(44), F.lit(44)).alias("lengths"), F.lit(500).alias("width"), F.lit(300).alias("height"))
     found = zone_search.search(z)
     return found.join(z.select("sample", "l2"), "sample").select(col("sample").alias("c_custkey"), col("lines")[0].alias("first"), (col("lines")[1] == col("l2")).alias("second_found"), rnd(col("score")).alias("score"))
+
+
+# ---- timing facts of three tables that have little in common ----
+
+_SOURCES = [
+    timings.Source("baseline", {"document_type": "event_type", "configuration": "user_id", "repeat": "event_id", "seconds": "value", "docs_per_second": "rate"}, where="event_id % 10 <> 3"),
+    timings.Source("batch", {"document_type": "kind", "configuration": "clerk", "seconds": "millis", "lines_per_second": "lines"}, 0.001, stages="stages"),
+    timings.Source("models", {"document_type": "o_type", "configuration": "p_brand", "seconds": "p_retailprice"}),
+]
+_TYPES = "case k % 4 when 0 then 'view' when 1 then 'click' when 2 then 'error' else 'none' end"
+_FACTS = f"""select 'baseline' experiment, event_type document_type, user_id::varchar as configuration, event_id as repeat, value as seconds, null::double lines, null::double detect from events where event_id % 10 <> 3
+union all select 'batch', {_TYPES.replace("k", "o_orderkey")}, (o_custkey % 3)::varchar, null, o_totalprice::double * 0.001, o_custkey::double, o_totalprice::double / 4 from orders
+union all select 'models', null, p_brand, null, p_retailprice::double, null, null from part"""
+
+
+def _timings(s, d):
+    k = col("o_orderkey")
+    kind = F.expr(_TYPES.replace("k", "o_orderkey"))
+    batch = t(s, d, "orders").select(kind.alias("kind"), (col("o_custkey") % 3).alias("clerk"), col("o_totalprice").alias("millis"), col("o_custkey").alias("lines"), F.create_map(F.lit("detect"), col("o_totalprice").cast(D) / 4, F.lit("read"), (k % 5).cast(D)).alias("stages"))
+    documents = t(s, d, "events").groupBy(col("event_type").alias("document_type")).agg(F.count("*").alias("documents"))
+    return timings.facts({"baseline": t(s, d, "events"), "batch": batch, "models": t(s, d, "part")}, _SOURCES, documents)
+
+
+@query(f"""with f as ({_FACTS}), n as (select event_type document_type, count(*) n from events group by 1) select experiment, document_type, configuration, count(*) n, count(repeat) repeats, round(sum(seconds), 4) as seconds, round(sum(n / seconds), 4) rate, sum(lines)::bigint as lines, round(sum(detect), 4) detect from f left join n using (document_type) group by all""")
+def timing_facts(s, d):
+    f, _ = _timings(s, d)
+    return f.groupBy("experiment", "document_type", "configuration").agg(F.count("*").alias("n"), F.count("repeat").alias("repeats"), F.round(F.sum("seconds"), 4).alias("seconds"), F.round(F.sum("docs_per_second"), 4).alias("rate"), F.sum("lines_per_second").cast(L).alias("lines"), F.round(F.sum(col("stages")["detect"]), 4).alias("detect"))
+
+
+@query("""with r as (select 'baseline' experiment, (select count(*) from events where event_id % 10 <> 3) n union all select 'batch', (select count(*) from orders) union all select 'models', (select count(*) from part)), c as (select * from (values ('baseline', 'document_type', 'event_type', true), ('baseline', 'configuration', 'user_id', true), ('baseline', 'repeat', 'event_id', true), ('baseline', 'seconds', 'value', true), ('baseline', 'docs_per_second', 'rate', false), ('batch', 'document_type', 'kind', true), ('batch', 'configuration', 'clerk', true), ('batch', 'seconds', 'millis', true), ('batch', 'lines_per_second', 'lines', true), ('models', 'document_type', 'o_type', false), ('models', 'configuration', 'p_brand', true), ('models', 'seconds', 'p_retailprice', true)) v(experiment, field, "column", present)) select experiment, field, "column", present, case when present then n else 0 end filled, n as rows from c join r using (experiment)""")
+def observed_fields(s, d):
+    return _timings(s, d)[1]
+
+
+@query(f"""with f as ({_FACTS}), m as (select experiment, document_type, configuration, median(seconds) m from f group by all), p as (select * from (values ('slow', 'batch', '0', 'batch', '1', true), ('other', 'batch', '2', 'batch', '0', false)) v(family, be, b, e, c, counts))
+select family, x.document_type, round(x.m / y.m, 6) speedup, case when counts then case when x.document_type = 'view' then 7 else 0 end end regressions from p join m x on x.experiment = be and x.configuration = b join m y on y.experiment = e and y.configuration = c and y.document_type = x.document_type""")
+def measured_opportunities(s, d):
+    pair = lambda *v: F.struct(*(F.lit(x).alias(n) for n, x in zip(("family", "base_experiment", "base", "experiment", "candidate", "counts"), v, strict=True)))
+    pairs = s.range(1).select(F.inline(F.array(pair("slow", "batch", "0", "batch", "1", True), pair("other", "batch", "2", "batch", "0", False))))
+    regressions = t(s, d, "events").where("event_type = 'view'").groupBy(col("event_type").alias("document_type")).agg(F.lit(7).alias("regressions"))
+    return timings.opportunities(_timings(s, d)[0], pairs, regressions).withColumn("speedup", rnd(col("speedup")))
+
+
+@query(f"""select document_type, configuration, count(*) n, round(avg(detect / seconds), 6) detect_share from ({_FACTS}) where experiment = 'batch' group by all""")
+def stage_facts(s, d):
+    f = timings.stage_facts(_timings(s, d)[0]).where("stage = 'detect'")
+    return f.groupBy("document_type", "configuration").agg(F.count("*").alias("n"), rnd(F.avg("share")).alias("detect_share"))

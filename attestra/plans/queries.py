@@ -17,7 +17,7 @@ from attestra.functions import mrz, stats
 from attestra.functions import text as tx
 from attestra.functions.similarity import scored_pairs
 from attestra.operators import evaluation as ev
-from attestra.operators import layout, line_matcher, matcher, packing, ranking, zones
+from attestra.operators import layout, line_matcher, matcher, packing, ranking, runs, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -293,15 +293,13 @@ def transitions(s, d):
 
 @query(f"""select status || '->' || other change, count(*) n from ({_VERDICT_SQL}) group by 1""")
 def status_matrix(s, d):
-    return _verdicts(s, d).groupBy(F.concat_ws("->", "status", "other").alias("change")).agg(F.count("*").alias("n"))
+    return ev.status_changes(_verdicts(s, d), "status", "other")
 
 
 @query(f"""select l_shipmode_like grp, count(*) filter (where tr = 'BOTH_CORRECT') both_correct, count(*) filter (where tr = 'REGRESSION') regression, count(*) filter (where tr = 'IMPROVEMENT') improvement, count(*) filter (where tr = 'BOTH_WRONG') both_wrong from (select l_linestatus l_shipmode_like, case when {_OK} and other = 'match' then 'BOTH_CORRECT' when {_OK} then 'REGRESSION' when other = 'match' then 'IMPROVEMENT' else 'BOTH_WRONG' end tr from ({_VERDICT_SQL})) group by 1""")
 def pivot_transitions(s, d):
-    v = _verdicts(s, d)
-    v = v.select(col("l_linestatus").alias("grp"), ev.transition(v["status"].isin(*ev.ACCEPTED), v["other"].isin(*ev.ACCEPTED)).alias("tr"))
-    p = v.groupBy("grp").pivot("tr", ["BOTH_CORRECT", "REGRESSION", "IMPROVEMENT", "BOTH_WRONG"]).count().na.fill(0)
-    return p.select("grp", *(col(c).alias(c.lower()) for c in p.columns[1:]))
+    v = _verdicts(s, d).withColumnRenamed("l_linestatus", "grp")
+    return ev.transition_table(v, col("status").isin(*ev.ACCEPTED), col("other").isin(*ev.ACCEPTED), "grp")
 
 
 @query("""with l as (select doc_id, (i - 1)::bigint p, x from (select doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) i from documents)),
@@ -316,14 +314,13 @@ def diff_full_outer(s, d):
 select conv_id, len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] is distinct from b[i]))::bigint changed, greatest(len(a), len(b))::bigint positions from p""")
 def diff_positional(s, d):
     c = t(s, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("a"))
-    p = c.join(c.select((col("conv_id") - 1).alias("conv_id"), col("a").alias("b")), "conv_id", "left").withColumn("b", F.coalesce("b", F.array().cast("array<string>")))
-    return p.select("conv_id", F.size(F.filter(F.arrays_zip("a", "b"), lambda x: ~x["a"].eqNullSafe(x["b"]))).cast(L).alias("changed"), F.greatest(F.size("a"), F.size("b")).cast(L).alias("positions"))
+    p = c.join(c.select((col("conv_id") - 1).alias("conv_id"), col("a").alias("b")), "conv_id", "left")
+    return ev.positional_changes(p, "a", "b").select("conv_id", "changed", "positions")
 
 
 @query("""select event_type, count(*) groups, count(*) filter (where n > 1) unstable from (select event_type, user_id, count(distinct coalesce(props, '')) n from events group by 1, 2) group by 1""")
 def stability(s, d):
-    g = t(s, d, "events").groupBy("event_type", "user_id").agg(F.countDistinct(F.coalesce("props", F.lit(""))).alias("n"))
-    return g.groupBy("event_type").agg(F.count("*").alias("groups"), F.count_if(col("n") > 1).alias("unstable"))
+    return ev.stability(t(s, d, "events"), F.coalesce("props", F.lit("")), "user_id", "event_type")
 
 
 # ---- measured runs ----
@@ -350,15 +347,15 @@ def upper_median(s, d):
 
 @query("""with g as (select user_id, event_type, sum(value) v from events group by 1, 2) select user_id, event_type, round(v / sum(v) over (partition by user_id), 6) share, round(1 / greatest(1 - v / sum(v) over (partition by user_id), 1e-9), 4) bound from g""")
 def stage_shares(s, d):
-    g = t(s, d, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
-    share = col("v") / F.sum("v").over(W.partitionBy("user_id"))
-    return g.select("user_id", "event_type", rnd(share).alias("share"), F.round(stats.amdahl(share), 4).alias("bound"))
+    g = runs.stage_shares(t(s, d, "events"), "user_id", "event_type", "value")
+    return g.select("user_id", "event_type", rnd(col("share")).alias("share"), F.round(stats.amdahl(col("share")), 4).alias("bound"))
 
 
 @query("""select user_id, round(sum(value) filter (where event_type = 'view'), 6) view_s, round(greatest(0, sum(value) - coalesce(sum(value) filter (where event_type in ('view', 'click')), 0)), 6) other_s from events group by user_id""")
 def residual_other(s, d):
-    part = lambda *k: F.sum(F.when(col("event_type").isin(*k), col("value")))
-    return t(s, d, "events").groupBy("user_id").agg(rnd(part("view")).alias("view_s"), rnd(F.greatest(F.lit(0.0), F.sum("value") - F.coalesce(part("view", "click"), F.lit(0.0)))).alias("other_s"))
+    e = t(s, d, "events")
+    view = e.groupBy("user_id").agg(rnd(F.sum(F.when(col("event_type") == "view", col("value")))).alias("view_s"))
+    return view.join(runs.other_time(e, "user_id", "event_type", "value", ("view", "click")), "user_id").select("user_id", "view_s", rnd(col("other")).alias("other_s"))
 
 
 @query("""with g as (select lang, count(*) n, sum(quality)::double h from documents join labels using (doc_id) group by lang), p as (select *, h / n p, 1.959963984540054 z from g)
@@ -372,8 +369,7 @@ def wilson_ci(s, d):
 @query("""with m as (select event_type, median(value) m from events group by 1), b as (select m from m where event_type = 'view') select event_type, round(m.m, 6) median, round(b.m / m.m, 6) speedup from m, b""")
 def speedup_vs_baseline(s, d):
     m = ranking.quantiles(t(s, d, "events"), ["event_type"], {"m": ("value", 0.5)})
-    base = m.where("event_type = 'view'").select(col("m").alias("b"))  # one row
-    return m.crossJoin(F.broadcast(base)).select("event_type", rnd(col("m")).alias("median"), rnd(col("b") / col("m")).alias("speedup"))
+    return runs.against_one(m, "event_type", "view", "m").select("event_type", rnd(col("m")).alias("median"), rnd(col("speedup")).alias("speedup"))
 
 
 @query("""with g as (select p_brand, p_type, avg(p_retailprice) cost, avg(p_size)::double gain from part group by 1, 2) select p_brand, p_type, round(cost, 6) cost, round(gain, 6) gain from g a where not exists (select 1 from g b where b.p_brand = a.p_brand and b.cost <= a.cost and b.gain >= a.gain and (b.cost < a.cost or b.gain > a.gain))""")
@@ -389,8 +385,7 @@ def rank_topk(s, d):
 
 @query("""select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) n from orders) where n = 1""")
 def first_record(s, d):
-    first = F.min_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", "o_orderkey"))
-    return t(s, d, "orders").groupBy("o_custkey").agg(first.alias("x")).select("o_custkey", "x.o_orderkey", "x.o_totalprice")
+    return runs.first_record(t(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"])
 
 
 @query("""select o_custkey, o_orderkey, n::bigint option_rank from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) n from orders) where n <= 12""")
@@ -404,9 +399,11 @@ def ordinal_chunks(s, d):
     return packing.chunks(t(s, d, "orders"), ["o_custkey"], [col("o_orderkey")], 4).select("o_custkey", "o_orderkey", "chunk")
 
 
-@query("""select i::bigint pos, (i % 7)::bigint item from range(100) t(i)""")
+@query("""with k as (select s_suppkey item, row_number() over (order by s_suppkey) - 1 n, count(*) over () total from supplier), c as (select max(total) * 2 + 3 n from k) select i::bigint pos, item from c, range(c.n) r(i) join k on k.n = i % k.total""")
 def cycle_documents(s, d):
-    return packing.cycled(s, 7, 100)
+    """Suppliers in turn, two rounds and three."""
+    x = t(s, d, "supplier").select(col("s_suppkey").alias("item"))
+    return packing.cycled(x, [col("item")], 2 * x.count() + 3).select("pos", "item")
 
 
 @query("""select lang, source, doc_id, ((row_number() over (partition by lang, source order by n_chars / 48.0, doc_id) - 1) // 8)::bigint chunk from documents""")
@@ -442,8 +439,8 @@ def padding_efficiency(s, d):
 
 @query("""with g as (select lang, source, count(*) n from documents group by 1, 2) select lang, lim::bigint cap, sum(ceil(n / lim::double))::bigint calls, count(*) filter (where n > lim) over_cap from g, (values (1), (2), (4), (8), (16)) v(lim) group by lang, lim""")
 def hypothetical_calls(s, d):
-    g = t(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")).select("*", F.explode(F.array(*(F.lit(x) for x in (1, 2, 4, 8, 16)))).alias("cap"))
-    return g.groupBy("lang", col("cap").cast(L).alias("cap")).agg(F.sum(F.ceil(col("n") / col("cap"))).cast(L).alias("calls"), F.count_if(col("n") > col("cap")).alias("over_cap"))
+    g = t(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return runs.hypothetical_calls(g, "n", [1, 2, 4, 8, 16], "lang")
 
 
 # ---- datasets, sources, configuration ----
@@ -451,8 +448,7 @@ def hypothetical_calls(s, d):
 
 @query("""select lang, count(*) documents, count(quality) labelled, count(*) filter (where quality = 1) good, count(*) - count(quality) missing from documents left join labels using (doc_id) group by lang""")
 def coverage(s, d):
-    j = t(s, d, "documents").select("doc_id", "lang").join(t(s, d, "labels"), "doc_id", "left")
-    return j.groupBy("lang").agg(F.count("*").alias("documents"), F.count("quality").alias("labelled"), F.count_if(col("quality") == 1).alias("good"), (F.count("*") - F.count("quality")).alias("missing"))
+    return ev.coverage(t(s, d, "documents").select("doc_id", "lang"), t(s, d, "labels"), "doc_id", "quality", "lang")
 
 
 @query("""select 'unlabelled' issue, doc_id from documents where doc_id not in (select doc_id from labels) union all select 'length', doc_id from documents where n_chars <> length(text) union all select 'orphan label', doc_id from labels where doc_id not in (select doc_id from documents) union all select 'empty', doc_id from documents where trim(text) = ''""")
@@ -475,8 +471,8 @@ def json_props(s, d):
 
 @query("""with x as (select p_retailprice v, unnest(string_split(p_type || '|' || p_brand, '|')) tag from part) select tag, count(*) n, round(avg(v), 6) mean from x group by tag""")
 def augmentation_breakdown(s, d):
-    x = t(s, d, "part").select(col("p_retailprice").alias("v"), F.explode(F.split(F.concat_ws("|", "p_type", "p_brand"), r"\|")).alias("tag"))
-    return x.groupBy("tag").agg(F.count("*").alias("n"), rnd(F.avg("v")).alias("mean"))
+    x = ev.breakdown(t(s, d, "part"), F.split(F.concat_ws("|", "p_type", "p_brand"), r"\|"), col("p_retailprice"))
+    return x.select("tag", "n", rnd(col("mean")).alias("mean"))
 
 
 @query("""with a as (select distinct o_orderkey k from orders), b as (select distinct l_orderkey k from lineitem) select 'union' op, (select count(*) from (select * from a union select * from b)) n union all select 'intersect', (select count(*) from (select * from a intersect select * from b)) union all select 'left only', (select count(*) from (select * from a except select * from b)) union all select 'right only', (select count(*) from (select * from b except select * from a))""")
@@ -506,9 +502,10 @@ def archive_pairs(s, d):
     return packing.side_pairs(e)
 
 
-@query("""select a as threads, b as batch, c as side, case when a * b > 64 then 'too large' when c % 32 <> 0 then 'not aligned' end invalid_reason from (values (1::bigint), (4), (16)) x(a), (values (1::bigint), (8)) y(b), (values (960::bigint), (1000)) z(c)""")
+@query("""select a as threads, b as batch, c as side, case when a * b > 64 then 'too large' when c % 32 <> 0 then 'not aligned' end invalid_reason from (select distinct l_linenumber::bigint * 4 a from lineitem) x, (select distinct n_nationkey::bigint b from nation) y, (select distinct p_size::bigint * 16 c from part) z""")
 def matrix_expand(s, d):
-    m = packing.matrix(s, {"threads": [1, 4, 16], "batch": [1, 8], "side": [960, 1000]})
+    """Settings that the tables hold: threads, batches, sides."""
+    m = packing.matrix({"threads": t(s, d, "lineitem").select(col("l_linenumber").cast(L) * 4), "batch": t(s, d, "nation").select(col("n_nationkey").cast(L)), "side": t(s, d, "part").select(col("p_size").cast(L) * 16)})
     return m.withColumn("invalid_reason", F.when(col("threads") * col("batch") > 64, "too large").when(col("side") % 32 != 0, "not aligned"))
 
 
