@@ -97,3 +97,38 @@ def labelled_samples(manifest: DataFrame, labels: DataFrame, files: DataFrame) -
     empty = labels.where(F.coalesce(F.size("lines"), F.lit(0)) <= 0).select(F.lit(None).cast("long").alias("line"), F.lit("empty label").alias("issue"), F.col("label_id").alias("detail"))
     problems = j.where("issue is not null").select(F.col("line").cast("long").alias("line"), "issue", F.when(F.col("issue") == "missing picture", F.col("image")).otherwise(F.col("label")).alias("detail")).unionByName(empty)
     return j.where("issue is null").select("line", "image", F.col("label").alias("label_id"), "lines", "variant", "augmentation"), problems
+
+
+def inventory(spark: SparkSession, root: str, formats: tuple[str, ...] = ("json", "jsonl", "csv")) -> DataFrame:
+    """file, format, length of the artifacts under a folder; nothing is read but the listing."""
+    kind = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))
+    return listing(spark, root).withColumn("format", kind).where(kind.isin(*formats)).select("file", "format", "length")
+
+
+def inputs(files: DataFrame, layouts: DataFrame, extensions: tuple[str, ...] = ("bmp", "jpeg", "jpg", "png", "tif", "tiff", "webp")) -> tuple[DataFrame, DataFrame]:
+    """(samples: place, layout, document_type, side, key, file; problems: layout, detail) of pictures to annotate.
+
+    layouts: place, layout, document_type, input_directory, pair_sides (null for single
+    pictures). A paired layout has a folder for each pair with exactly one picture for each
+    side. Samples sort by place, lower-cased name of the folder or file, and side.
+    """
+    picture = F.lower("name").rlike(r".\.(" + "|".join(extensions) + ")$")
+    f = files.select("file", F.split("file", "/").alias("p")).select("file", F.col("p")[0].alias("input_directory"), F.when(F.size("p") == 3, F.col("p")[1]).alias("pair"), F.element_at("p", -1).alias("name"), F.size("p").alias("deep"))
+    f = f.join(layouts, "input_directory")
+    single = f.where("pair_sides is null and deep = 2").where(picture)
+    one = single.select("place", "layout", "document_type", F.lit(None).cast("string").alias("side"), F.concat_ws(":", "document_type", "name").alias("key"), "file", F.lower("name").alias("order"))
+    both = f.where("pair_sides is not null")
+    loose = both.where("deep = 2").select("layout", F.concat(F.lit("not in a folder of its own: "), F.col("name")).alias("detail"))
+    pairs = both.where("deep = 3")
+    sides = pairs.select("layout", "document_type", "place", "pair", F.explode("pair_sides").alias("side")).distinct()
+    stem = F.lower(F.regexp_replace("name", r"\.[^.]*$", ""))
+    seen = pairs.where(picture).select("layout", "pair", stem.alias("side"), "file")
+    each = sides.join(seen, ["layout", "pair", "side"], "left").groupBy("place", "layout", "document_type", "pair", "side").agg(F.count("file").alias("n"), F.min("file").alias("file"))
+    good = each.where("n = 1").select("place", "layout", "document_type", "side", F.concat_ws(":", "document_type", "pair", "side").alias("key"), "file", F.lower("pair").alias("order"))
+    bad = each.where("n <> 1").select("layout", F.concat_ws(" ", F.when(F.col("n") == 0, "missing").otherwise("duplicate"), F.col("side"), F.lit("in"), F.col("pair")).alias("detail"))
+    return one.unionByName(good), loose.unionByName(bad)
+
+
+def in_report_order(documents: DataFrame) -> DataFrame:
+    """By type, in the order of reports, then by lower-cased id; ``place`` is the type's."""
+    return documents.orderBy("place", F.lower("id"), "id")

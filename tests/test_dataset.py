@@ -47,6 +47,20 @@ def test_discovery(spark, folder):
     assert problems == {("duplicate id", "a", None), ("missing or duplicate side", "two", "duplicate front"), ("missing or duplicate side", "two", "missing back"), ("missing or duplicate side", "three", "missing front"), ("missing or duplicate side", "three", "missing back"), ("duplicate logical id", "b", "driving_license, passport")}
 
 
+def test_inputs_order_and_inventory(spark, folder):
+    for name in ("cards/b/front.jpg", "cards/b/back.png", "cards/A/Front.tif", "cards/A/back.bmp", "cards/c/front.jpg", "cards/c/front.png", "cards/loose.jpg", "pass/Z.JPG", "pass/a.webp", "pass/notes.txt", "pass/deep/x.jpg", "runs/one.jsonl", "runs/x/two.JSON", "runs/table.csv"):
+        folder(name)
+    files = source.listing(spark, folder.root)
+    layouts = spark.createDataFrame([(1, "card", "id_card", "cards", ["front", "back"]), (0, "page", "passport", "pass", None), (2, "none", "x", "absent", None)], "place int, layout string, document_type string, input_directory string, pair_sides array<string>")
+    samples, problems = source.inputs(files, layouts)
+    got = [(r.key, r.file) for r in samples.orderBy("place", "order", "side").collect()]
+    assert got == [("passport:a.webp", "pass/a.webp"), ("passport:Z.JPG", "pass/Z.JPG"), ("id_card:A:back", "cards/A/back.bmp"), ("id_card:A:front", "cards/A/Front.tif"), ("id_card:b:back", "cards/b/back.png"), ("id_card:b:front", "cards/b/front.jpg")]
+    assert {r.detail for r in problems.collect()} == {"duplicate front in c", "missing back in c", "not in a folder of its own: loose.jpg"}
+    assert {(r.file, r.format, r.length) for r in source.inventory(spark, folder.root).collect()} == {("runs/one.jsonl", "jsonl", 1), ("runs/x/two.JSON", "json", 1), ("runs/table.csv", "csv", 1)}
+    docs = spark.createDataFrame([("passport", "b", 1), ("id_card", "a", 2), ("passport", "A", 1)], "document_type string, id string, place int")
+    assert [r.id for r in source.in_report_order(docs).collect()] == ["A", "b", "a"]
+
+
 def test_whole_annotations_have_no_issues(spark, folder):
     h = folder("passport/a.jpg"), folder("id_card/c/front.png", b"f"), folder("id_card/c/back.png", b"b"), folder("driving_license/d.jpg", b"d")
     folder("annotations/passport/a.json", annotation("passport", "a", {"image": "passport/a.jpg"}, {"image": h[0]}))
