@@ -53,13 +53,14 @@ def keyed_difference(left: DataFrame, right: DataFrame, keys: list[str], value:
     return j.groupBy(by).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"), F.count_if(F.col("b").isNull()).alias("removed"), F.count_if(F.col("a").isNull()).alias("added"))
 
 
-def pareto(rows: DataFrame, group: str, cost: str, gain: str) -> DataFrame:
-    """Rows that none of their group dominates: sort by cost, keep those over the best gain so far."""
+def pareto(rows: DataFrame, group: str, cost: str, gain: str, strict: bool = False) -> DataFrame:
+    """Rows that none of their group dominates: one at most as dear with at least the gain and better in one of them; with ``strict``, one that is better in both. One pass over each group's costs."""
     per = rows.groupBy(group, cost).agg(F.max(gain).alias("__top"))
     cheaper = W.partitionBy(group).orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
     per = per.withColumn("__best", F.max("__top").over(cheaper))
-    df = rows.join(per, [group, cost])
-    return df.where((F.col(gain) == F.col("__top")) & (F.col("__best").isNull() | (F.col(gain) > F.col("__best")))).drop("__best", "__top")
+    df, first = rows.join(per, [group, cost]), F.col("__best").isNull()
+    kept = first | (F.col(gain) >= F.col("__best")) if strict else (F.col(gain) == F.col("__top")) & (first | (F.col(gain) > F.col("__best")))
+    return df.where(kept).drop("__best", "__top")
 
 
 def issues(rules: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -108,3 +109,9 @@ def coverage(documents: DataFrame, labels: DataFrame, key: str, label: str, *gro
 def breakdown(rows: DataFrame, tags: Column, value: Column, name: str = "tag") -> DataFrame:
     """Rows and mean value of each tag of an array; a row counts for every tag it has."""
     return rows.select(value.alias("__value"), F.explode(tags).alias(name)).groupBy(name).agg(F.count("*").alias("n"), F.avg("__value").alias("mean"))
+
+
+def with_deltas(documents: DataFrame, deltas: DataFrame, key: str, name: str, value: str, names: list[str]) -> DataFrame:
+    """Documents with a column for each named delta, 0 where a document has none."""
+    wide = deltas.groupBy(key).agg(*(F.sum(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names))
+    return documents.join(wide, key, "left").na.fill(0, names)

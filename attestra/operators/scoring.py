@@ -163,3 +163,11 @@ def known_failures(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataF
     """Listed cases of two runs with the likely cause. rows: before and after, statuses of the evaluator."""
     b, a = F.col("before") == "correct", F.col("after") == "correct"
     return rows.join(listed.select(*keys).distinct(), keys, "left_semi").withColumn("cause", F.when(b & ~a, "association").when(a & ~b, "localization").otherwise("recognition or image quality"))
+
+
+def zone_success(rows: DataFrame, *groups: str) -> DataFrame:
+    """By group: documents, those whose zone was parsed and those whose checks (an array of flags, null without a zone) all passed, as shares; null without documents."""
+    parsed = F.count_if(F.coalesce(F.size("checks"), F.lit(0)) > 0)
+    valid = F.count_if((F.size("checks") > 0) & F.forall("checks", lambda c: c))
+    n = rows.groupBy(*groups).agg(F.count("*").alias("documents"), parsed.alias("parsed"), valid.alias("valid"))
+    return n.select(*groups, "documents", F.try_divide("parsed", "documents").alias("parser_success"), F.try_divide("valid", "documents").alias("validation_success"))

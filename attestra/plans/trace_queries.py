@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.operators import traces
+from attestra.operators import evaluation, scoring, traces
 from attestra.plans.queries import D, L, S, col, query, rnd, t
 from attestra.sources import dataset as source
 
@@ -133,6 +133,26 @@ def calls_by_role(s, d):
     return a.join(b, "p_partkey")
 
 
+@query("""with g as (select p_brand, p_type, avg(p_retailprice) cost, avg(p_size)::double gain from part group by 1, 2) select p_brand, p_type, round(cost, 6) cost, round(gain, 6) gain from g a where not exists (select 1 from g b where b.p_brand = a.p_brand and b.cost < a.cost and b.gain > a.gain)""")
+def pareto_strict(s, d):
+    g = t(s, d, "part").groupBy("p_brand", "p_type").agg(F.avg("p_retailprice").alias("cost"), F.avg("p_size").alias("gain"))
+    return evaluation.pareto(g, "p_brand", "cost", "gain", strict=True).select("p_brand", "p_type", rnd(col("cost")).alias("cost"), rnd(col("gain")).alias("gain"))
+
+
+@query("""select o_orderkey k, coalesce(sum(l_linenumber) filter (where l_returnflag = 'R'), 0)::bigint r, coalesce(sum(l_linenumber) filter (where l_returnflag = 'A'), 0)::bigint a from orders left join lineitem on l_orderkey = o_orderkey group by 1""")
+def documents_with_deltas(s, d):
+    deltas = t(s, d, "lineitem").select(col("l_orderkey").alias("k"), F.lower("l_returnflag").alias("name"), col("l_linenumber").cast(L).alias("delta"))
+    return evaluation.with_deltas(t(s, d, "orders").select(col("o_orderkey").alias("k")), deltas, "k", "name", "delta", ["r", "a"]).select("k", "r", "a")
+
+
+@query("""select c_mktsegment, count(*) documents, round(count(*) filter (where c_custkey % 5 <> 0 and c_custkey % 9 <> 0) / count(*)::double, 6) parser_success, round(count(*) filter (where c_custkey % 5 <> 0 and c_custkey % 9 <> 0 and c_custkey % 7 <> 0) / count(*)::double, 6) validation_success from customer group by 1""")
+def zone_success(s, d):
+    k = col("c_custkey")
+    checks = F.when(k % 5 == 0, F.lit(None)).when(k % 9 == 0, F.array().cast("array<boolean>")).otherwise(F.array(F.lit(True), k % 7 != 0))
+    r = scoring.zone_success(t(s, d, "customer").select("c_mktsegment", checks.alias("checks")), "c_mktsegment")
+    return r.select("c_mktsegment", "documents", rnd(col("parser_success")).alias("parser_success"), rnd(col("validation_success")).alias("validation_success"))
+
+
 # ---- pictures to annotate ----
 
 _AT = "case page_id % 6 when 0 then 'passports/P' || page_id || '.PNG' when 1 then 'cards/c' || page_id || '/front.jpg' when 2 then 'cards/c' || (page_id - 1) || '/back.tif' when 3 then 'cards/c' || page_id || '/front.jpg' when 4 then 'cards/c' || (page_id - 1) || '/Front.png' else 'cards/loose' || page_id || '.jpg' end"
