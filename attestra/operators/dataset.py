@@ -56,15 +56,20 @@ def _list(value: Column, path: str) -> Column:
     return F.when(kind(value, path) == "ARRAY", F.try_variant_get(value, path, "array<variant>"))
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``file`` and some columns, each evaluated once for a row however many filters and rules read it: no expression is moved through a generator."""
+    return df.select("file", F.inline(F.array(F.struct(*columns))))
+
+
 def parsed(annotations: DataFrame) -> DataFrame:
     """Annotations as plain columns: file, whole (a JSON object), id, document_type, shown_type (of any kind), images and hashes (maps to text, null for other kinds), fields (map to state and kind of value), status, notes_kind, zone_kind, lines_kind, lines (null where no text)."""
     v = F.try_parse_json("text")
-    a = annotations.select("file", v.alias("v")).withColumn("v", F.when(kind(F.col("v")) == "OBJECT", F.col("v")))
+    a = _once(annotations, v.alias("v")).withColumn("v", F.when(kind(F.col("v")) == "OBJECT", F.col("v")))
     v = F.col("v")
     text = lambda x: F.struct(_text(x).alias("text"))
     field = lambda x: F.struct(_text(x, "$.state").alias("state"), F.coalesce(kind(x, "$.value"), F.lit("VOID")).alias("kind"))
-    return a.select(
-        "file", v.isNotNull().alias("whole"), F.nullif(_text(v, "$.id"), F.lit("")).alias("id"), _text(v, "$.document_type").alias("document_type"), F.try_variant_get(v, "$.document_type", "string").alias("shown_type"),
+    return _once(
+        a, v.isNotNull().alias("whole"), F.nullif(_text(v, "$.id"), F.lit("")).alias("id"), _text(v, "$.document_type").alias("document_type"), F.try_variant_get(v, "$.document_type", "string").alias("shown_type"),
         _entries(v, "$.images", text).alias("images"), _entries(v, "$.image_sha256", text).alias("hashes"), _entries(v, "$.fields", field).alias("fields"), _text(v, "$.status").alias("status"),
         kind(v, "$.notes").alias("notes_kind"), kind(v, "$.mrz").alias("zone_kind"), kind(v, "$.mrz.lines").alias("lines_kind"), F.transform(_list(v, "$.mrz.lines"), lambda x: _text(x)).alias("lines"),
     )
@@ -227,7 +232,7 @@ def _odd_corner(c: Column) -> Column:
 def parsed_profiles(profiles: DataFrame) -> DataFrame:
     """Layout profiles as plain columns: file, whole (a JSON object), version, layout_kind, metadata_kind, width, height (null unless whole numbers), regions (name, odd, boxes_kind), rois (region, name, odd), owned (region, name, required), has_anchor, strategy, corners (whether each is odd)."""
     v = F.try_parse_json("text")
-    p = profiles.select("file", v.alias("v")).withColumn("v", F.when(kind(F.col("v")) == "OBJECT", F.col("v")))
+    p = _once(profiles, v.alias("v")).withColumn("v", F.when(kind(F.col("v")) == "OBJECT", F.col("v")))
     v = F.col("v")
     size = lambda c: F.when(kind(v, f"$.canonical_size.{c}") == "BIGINT", F.try_variant_get(v, f"$.canonical_size.{c}", "long"))
     region = lambda e: F.struct(e["key"].alias("name"), _rectangle_is_odd(F.try_variant_get(e["value"], "$.data_crop", "variant")).alias("odd"), kind(e["value"], "$.field_rois").alias("boxes_kind"))
@@ -236,8 +241,8 @@ def parsed_profiles(profiles: DataFrame) -> DataFrame:
     owned = lambda f: F.struct(_text(f, "$.region").alias("region"), F.nullif(_text(f, "$.name"), F.lit("")).alias("name"), kind(f, "$.required").alias("required"))
     anchor = "$.document_localization"
     p = p.withColumn("entries", F.map_entries(_object(v, "$.regions")))
-    return p.select(
-        "file", v.isNotNull().alias("whole"), F.try_variant_get(v, "$.version", "double").alias("version"), kind(v, "$.layout").alias("layout_kind"), kind(v, "$.sample_metadata").alias("metadata_kind"), size("width").alias("width"), size("height").alias("height"),
+    return _once(
+        p, v.isNotNull().alias("whole"), F.try_variant_get(v, "$.version", "double").alias("version"), kind(v, "$.layout").alias("layout_kind"), kind(v, "$.sample_metadata").alias("metadata_kind"), size("width").alias("width"), size("height").alias("height"),
         F.transform("entries", region).alias("regions"), F.flatten(F.transform("entries", boxes)).alias("rois"), F.transform(_list(v, "$.fields"), owned).alias("owned"),
         F.coalesce(kind(v, anchor) != "VOID", F.lit(False)).alias("has_anchor"), _text(v, f"{anchor}.strategy").alias("strategy"), F.transform(_list(v, f"{anchor}.page_corners_relative_to_mrz_width"), _odd_corner).alias("corners"),
     )

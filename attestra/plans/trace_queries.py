@@ -72,7 +72,7 @@ def list_transitions(s, d):
 # ---- reports ----
 
 
-@query("""select l_returnflag, sum(case when l_linenumber % 2 = 1 then l_quantity else 0 end + l_discount)::double as seconds from lineitem where l_linenumber <> 7 group by 1""")
+@query("""select l_returnflag, round(sum(case when l_linenumber % 2 = 1 then l_quantity else 0 end + l_discount)::double, 4) as seconds from lineitem where l_linenumber <> 7 group by 1""")
 def parsing_seconds(s, d):
     n, q = col("l_linenumber"), col("l_quantity").cast(D)
     times = F.when(n == 7, F.lit(None)).when(n % 2 == 1, F.create_map(F.lit("parse"), q, F.lit("check"), col("l_discount").cast(D), F.lit("other"), F.lit(9.0))).otherwise(F.create_map(F.lit("check"), col("l_discount").cast(D)))
@@ -166,7 +166,8 @@ def _inputs(s, d):
 
 
 @query(f"""with f as (select page_id, {_AT} file from pages) select 'page' layout, null::varchar side, 'passport:' || string_split(file, '/')[2] as key, file from f where page_id % 6 = 0
-union all select 'card', case page_id % 6 when 1 then 'front' else 'back' end, 'id_card:' || string_split(file, '/')[2] || ':' || case page_id % 6 when 1 then 'front' else 'back' end, file from f where page_id % 6 in (1, 2)""")
+union all select 'card', case page_id % 6 when 1 then 'front' else 'back' end, 'id_card:' || string_split(file, '/')[2] || ':' || case page_id % 6 when 1 then 'front' else 'back' end, file from f where page_id % 6 in (1, 2)
+union all select 'card', 'front', 'id_card:' || string_split(file, '/')[2] || ':front', file from f where page_id % 6 = 3 and page_id + 1 not in (select page_id from f)""")
 def annotation_inputs(s, d):
     return _inputs(s, d)[0].select("layout", "side", "key", "file")
 
