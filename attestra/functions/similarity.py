@@ -65,22 +65,23 @@ class Texts:
         return out
 
 
-def best_matches(target: str, texts: Texts, allowed: np.ndarray, least: float, count: int, slack: float, always: float) -> list[tuple[int, float]]:
-    """(place, ratio) of every allowed text whose ratio is at least ``least`` and no more than ``slack`` under the ``count``-th best, or at least ``always``.
+def best_matches(target: str, texts: Texts, allowed: np.ndarray, least: float, count: int, slack: float, always: float) -> tuple[list[tuple[int, float]], int]:
+    """(place, ratio) of every allowed text whose ratio is at least ``least`` and no more than ``slack`` under the ``count``-th best, or at least ``always``; and how many ratios that took.
 
     Texts are tried in order of an upper limit of their ratio, so the ratio itself is computed for few of them.
     """
     m, size = len(target), texts.size
     rows = np.flatnonzero(allowed[texts.order] & (2 * np.minimum(size, m) >= least * (size + m)) & (size > 0))
     if not len(rows) or not target:
-        return []
+        return [], 0
     limit = 2 * texts.common_at_most(target, rows) / (size[rows] + m)
-    out, top, match = [], [], SequenceMatcher(None)
+    out, top, tried, match = [], [], 0, SequenceMatcher(None)
     match.set_seq1(target)
     for k in np.argsort(-limit, kind="stable"):
         floor = max(least, min(top[0] - slack, always)) if len(top) == count else least
         if limit[k] < floor - 1e-12:
             break
+        tried += 1
         place = int(texts.order[rows[k]])
         text = texts.found[place]
         if text == target:
@@ -91,4 +92,4 @@ def best_matches(target: str, texts: Texts, allowed: np.ndarray, least: float, c
         if value >= floor:
             out.append((place, value))
             (heapq.heappush if len(top) < count else heapq.heappushpop)(top, value)
-    return out
+    return out, tried

@@ -67,7 +67,7 @@ def _place(group: int, line: Column, pos: Column) -> Column:
     return F.struct(F.lit(group).alias("group"), line.cast("int").alias("line"), pos.cast("int").alias("pos"))
 
 
-def _found_at(text, parts):
+def _found_at(text: Column, parts: Column) -> Column:
     """Start and end (0-based, exclusive) of each part, one after the other."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
@@ -100,57 +100,65 @@ def span_candidates(lines: DataFrame, th: Thresholds = Thresholds()) -> DataFram
     t = F.col("text")
     source = F.coalesce("source", "side", F.lit("visible_ocr"))
     df = _lines(lines).where(F.trim(t) != "").select("doc_id", "line_pos", "text", "confidence", source.alias("source"))
-    spot = lambda a, b: F.array(F.struct(F.col("line_pos").alias("line"), a.alias("a"), b.alias("b")))
-    cut = F.substr(t, F.col("a") + 1, F.col("b") - F.col("a"))
-
-    def rows(df: DataFrame, pos: Column, text: Column) -> DataFrame:
-        return df.where(text != "").select(*_candidate(_place(0, F.col("line_pos"), pos), text, spot(F.col("a"), F.col("b")), "visible_ocr", F.col("confidence"), F.col("source")))
-
-    whole = rows(df.withColumns({"a": F.lit(0), "b": F.length(t)}), F.lit(0), F.trim(t))
-    tokens = df.select("doc_id", "line_pos", "confidence", "source", F.explode(_spans(t, th.max_tokens)).alias("s")).select("*", "s.*")
-    spans = rows(tokens, 1 + F.col("i") * th.max_tokens + F.col("j") - F.col("i"), F.col("text"))
-    dated = df.where(t.rlike(tx.DATE)).withColumn("dat", _found_at(t, F.regexp_extract_all(t, F.lit(f"({tx.DATE})"))))
-    dated = dated.select("*", F.posexplode("dat").alias("i", "d")).withColumn("n", 1 + th.max_tokens * F.length(t) + 2 * F.col("i"))
-    dates = rows(dated.withColumns({"a": F.col("d.a"), "b": F.col("d.b")}), F.col("n"), cut)
-    before = rows(dated.withColumns({"a": F.lit(0), "b": F.col("d.a")}), F.col("n") + 1, F.trim(cut))
-    return reduce(DataFrame.unionByName, [whole, spans, dates, before])
-
-
-def _next_lines(lines: DataFrame, th: Thresholds) -> DataFrame:
-    """doc_id, line_pos, next: of each line the first one further on, in reading order, that can continue its value.
+    one = lambda pos, a, b, text: F.struct(pos.cast("int").alias("pos"), a.cast("int").alias("a"), b.cast("int").alias("b"), text.alias("text"))
+    part = lambda a, b: F.substr(t, a + 1, b - a)
+    none, zero = F.array().cast("array<struct<pos:int,a:int,b:int,text:string>>"), F.lit(0)
+    spans = F.transform(_spans(t, th.max_tokens), lambda s: one(1 + s["i"] * th.max_tokens + s["j"] - s["i"], s["a"], s["b"], s["text"]))
+    after = 1 + th.max_tokens * F.length(t)
+    dated = lambda d, i: F.array(one(after + 2 * i, d["a"], d["b"], part(d["a"], d["b"])), one(after + 2 * i + 1, zero, d["a"], F.trim(part(zero, d["a"]))))
+    dates = F.when(t.rlike(tx.DATE), F.flatten(F.transform(_found_at(t, F.regexp_extract_all(t, F.lit(f"({tx.DATE})"))), dated)))
+    found = F.concat(F.array(one(zero, zero, F.length(t), F.trim(t))), F.coalesce(spans, none), F.coalesce(dates, none))
+    df = df.select("doc_id", "line_pos", "confidence", "source", F.explode(found).alias("s")).where("s.text <> ''")
+    spot = F.array(F.struct(F.col("line_pos").alias("line"), F.col("s.a"), F.col("s.b")))
+    return df.select(*_candidate(_place(0, F.col("line_pos"), F.col("s.pos")), F.col("s.text"), spot, "visible_ocr", F.col("confidence"), F.col("source")))
+
+
+def _next_lines(lines: DataFrame, th: Thresholds, boxes: bool = True) -> DataFrame:
+    """doc_id, line_pos, next: of each line the first one further on, in reading order, that can continue its value, with its text and confidence.
 
     Two boxes can be near only if the lower starts within (gap + 1) of the page's greatest line
     height from the upper one's top, so pages are cut into strips of that height and a line meets those of its
-    own strip and the next. Lines without a box are continued by the following line only.
+    own strip and the next. Lines without a box are continued by the following line only; ``boxes``: whether any line has one.
     """
     side = F.coalesce(F.when(F.col("side") != "", F.col("side")), F.when(F.col("source") != "", F.col("source")))
     top = F.coalesce("bbox.y1", F.lit(float("inf")))
     order = F.struct(top.alias("y"), F.coalesce("reading_order", "line_pos").alias("n"), "line_pos")
-    df = lines.select("doc_id", "line_pos", "bbox", side.alias("where_from"), order.alias("order"))
-    tall = df.groupBy("doc_id").agg((th.vertical_gap + 1) * F.greatest(F.lit(1.0), F.max(F.col("bbox.y2") - F.col("bbox.y1")))).toDF("doc_id", "tall")
-    boxed = df.where("bbox is not null").join(tall, "doc_id").withColumn("strip", F.floor(F.col("bbox.y1") / F.col("tall"))).drop("tall")
-    b = lambda d: d.select("doc_id", *(F.col(c).alias(f"{c}2") for c in d.columns if c != "doc_id"))
-    near = boxed.withColumn("strip2", F.explode(F.array("strip", F.col("strip") + 1))).join(b(boxed), ["doc_id", "strip2"]).where(layout.compatible(F.col("bbox"), F.col("bbox2"), th.vertical_gap, th.left_alignment))
-    follow = df.withColumn("line_pos2", F.col("line_pos") + 1).join(b(df), ["doc_id", "line_pos2"]).where("bbox is null or bbox2 is null")
-    columns = ["doc_id", "line_pos", "order", "where_from", "line_pos2", "order2", "where_from2"]
-    pairs = near.select(*columns).unionByName(follow.select(*columns)).where("order2 > order and coalesce(where_from = where_from2, true)")
-    return pairs.groupBy("doc_id", "line_pos").agg(F.min_by("line_pos2", "order2").alias("next"))
+    df = lines.select("doc_id", "line_pos", "text", "confidence", "bbox", side.alias("where_from"), order.alias("order"))
+    meet = lambda boxed, at: F.struct(F.lit(boxed).alias("boxed"), at.cast("long").alias("at"))
+    mine, theirs = [meet(False, F.col("line_pos") + 1)], [meet(False, F.col("line_pos"))]
+    if boxes:
+        tall = df.groupBy("doc_id").agg((th.vertical_gap + 1) * F.greatest(F.lit(1.0), F.max(F.col("bbox.y2") - F.col("bbox.y1")))).toDF("doc_id", "tall")
+        df = df.join(tall, "doc_id").withColumn("strip", F.floor(F.col("bbox.y1") / F.col("tall"))).drop("tall")
+        mine, theirs = [*mine, meet(True, F.col("strip")), meet(True, F.col("strip") + 1)], [*theirs, meet(True, F.col("strip"))]
+    places = lambda d, at: d.withColumn("meet", F.explode(F.array(*at))).where("meet.at is not null")
+    right = places(df, theirs)
+    right = right.select("doc_id", "meet", *(F.col(c).alias(f"{c}2") for c in ("line_pos", "text", "confidence", "bbox", "where_from", "order")))
+    fits = F.when(F.col("meet.boxed"), layout.compatible(F.col("bbox"), F.col("bbox2"), th.vertical_gap, th.left_alignment)).otherwise(F.col("bbox").isNull() | F.col("bbox2").isNull())
+    pairs = places(df, mine).join(right, ["doc_id", "meet"]).where(fits).where("order2 > order and coalesce(where_from = where_from2, true)")
+    following = F.struct(F.col("line_pos2").alias("line"), F.col("text2").alias("text"), F.col("confidence2").alias("confidence"))
+    return pairs.groupBy("doc_id", "line_pos").agg(F.min_by(following, "order2").alias("next"))
 
 
 def assembled_candidates(lines: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """Blocks of two or more lines, each the next that fits the one before; every beginning of a chain is a candidate."""
     df = _lines(lines)
-    after = _next_lines(df, th)
-    one = lambda n: df.select("doc_id", F.col("line_pos").alias("next"), *(F.col(c).alias(f"{c}{n}") for c in ("text", "confidence")))
-    spot = lambda line, text: F.struct(line.alias("line"), F.lit(0).alias("a"), F.length(text).alias("b"))
+    after = _next_lines(df, th, bool({"bbox", "polygon"} & set(lines.columns)))
     source = F.coalesce(F.when(F.col("source") != "", F.col("source")), F.when(F.col("side") != "", F.col("side")), F.lit("visible_ocr"))
-    chain = df.select("doc_id", F.col("line_pos").alias("head"), F.col("line_pos").alias("tail"), F.trim("text").alias("text"), F.array(spot(F.col("line_pos"), F.col("text"))).alias("resources"), "confidence", source.alias("source"))
-    parts = []
+    spot = lambda at: F.struct(at["line"].alias("line"), F.lit(0).alias("a"), F.length(at["text"]).alias("b"))
+    chain = df.select("doc_id", F.struct(F.col("line_pos").alias("line"), "text", "confidence").alias("l1"), source.alias("source"))
     for n in range(2, th.max_lines + 1):
-        step = chain.join(after.withColumnRenamed("line_pos", "tail"), ["doc_id", "tail"]).join(one("2"), ["doc_id", "next"])
-        chain = step.select("doc_id", "head", F.col("next").alias("tail"), F.concat_ws(" ", "text", F.trim("text2")).alias("text"), F.concat("resources", F.array(spot(F.col("next"), F.col("text2")))).alias("resources"), F.least("confidence", "confidence2").alias("confidence"), "source")
-        parts.append(chain.select(*_candidate(_place(1, F.col("head"), F.lit(n)), F.trim("text"), F.col("resources"), "visible_ocr", F.col("confidence"), F.col("source"))))
-    return reduce(DataFrame.unionByName, parts).where("text <> ''")
+        step = after.select("doc_id", F.col("line_pos").alias("tail"), F.col("next").alias(f"l{n}"))
+        chain = chain.withColumn("tail", F.col(f"l{n - 1}.line")).join(step, ["doc_id", "tail"], "inner" if n == 2 else "left").drop("tail")
+
+    def first(n: int) -> Column:
+        at = [F.col(f"l{i}") for i in range(1, n + 1)]
+        text = F.trim(F.concat_ws(" ", *(F.trim(x["text"]) for x in at)))
+        whole = F.struct(F.lit(n).alias("n"), text.alias("text"), F.array(*map(spot, at)).alias("resources"), F.least(*(x["confidence"] for x in at)).alias("confidence"))
+        return F.when(at[-1].isNotNull(), whole)
+
+    blocks = F.filter(F.array(*(first(n) for n in range(2, th.max_lines + 1))), lambda x: x.isNotNull())
+    chain = chain.select("doc_id", "l1", "source", F.explode(blocks).alias("s")).where("s.text <> ''")
+    return chain.select(*_candidate(_place(1, F.col("l1.line"), F.col("s.n")), F.col("s.text"), F.col("s.resources"), "visible_ocr", F.col("s.confidence"), F.col("source")))
 
 
 def mrz_candidates(lines: DataFrame, documents: DataFrame) -> DataFrame:
@@ -192,47 +200,82 @@ def mrz_candidates(lines: DataFrame, documents: DataFrame) -> DataFrame:
     return a.unionByName(rows(three, *mrz.td1(F.col("f"), F.col("f1"), F.col("f2")), r1, F.least("confidence", "confidence1", "confidence2")))
 
 
+def _compared(fields: pd.DataFrame, texts: pd.DataFrame, th: Thresholds):
+    """Of each field of a block of a document's texts: the field, the texts as read and in normal form, what can be among its options, and how many ratios that took."""
+    ready = {}
+    for kind, some in texts.groupby("kind", sort=False):
+        ready[kind] = (some["text"].tolist(), some["found"].tolist(), Texts(some["found"].tolist()), *(some[c].to_numpy(bool) for c in ("digits", "mixed", "dated")))
+    for f in fields.itertuples():
+        if f.field_kind in ready:
+            raw, found, rows, digits, mixed, dated = ready[f.field_kind]
+            fits = {"date": dated, "identifier": digits if f.digits else mixed, "name": ~digits | bool(f.digits)}.get(f.field_kind, np.ones(len(raw), bool))
+            yield f, raw, found, *best_matches(f.target, rows, fits, th.candidate_min_score, th.options, th.mrz_source_penalty, th.mrz_conflict_score)
+
+
 def _scored(th: Thresholds):
     """The texts of one block of a document that can be among a field's options."""
 
     def score(fields: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        out, ready = [], {}
-        for kind, some in texts.groupby("kind", sort=False):
-            ready[kind] = (some["text"].tolist(), some["found"].tolist(), Texts(some["found"].tolist()), *(some[c].to_numpy(bool) for c in ("digits", "mixed", "dated")))
-        for f in fields.itertuples():
-            if f.field_kind not in ready:
-                continue
-            raw, found, rows, digits, mixed, dated = ready[f.field_kind]
-            fits = {"date": dated, "identifier": digits if f.digits else mixed, "name": ~digits | bool(f.digits)}.get(f.field_kind, np.ones(len(raw), bool))
-            for i, value in best_matches(f.target, rows, fits, th.candidate_min_score, th.options, th.mrz_source_penalty, th.mrz_conflict_score):
-                out.append((f.doc_id, f.field_pos, raw[i], found[i], value, round(value, 4)))
+        out = [(f.doc_id, f.field_pos, raw[i], found[i], value, round(value, 4)) for f, raw, found, best, _ in _compared(fields, texts, th) for i, value in best]
         return pd.DataFrame(out, columns=["doc_id", "field_pos", "text", "found", "score", "rounded"])
 
     return score
 
 
+def _tried(th: Thresholds):
+    """How many ratios were computed for one block of a document."""
+
+    def tried(fields: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        n = sum(done for *_, done in _compared(fields, texts, th))
+        return pd.DataFrame({"doc_id": fields["doc_id"].iloc[:1], "ratios": n})
+
+    return tried
+
+
+def _beam(options: pd.DataFrame, th: Thresholds) -> tuple[list, int, int]:
+    """One option, or none, for each field in turn: the best sums so far are carried on, and no characters serve twice. Gives the rows picked, the sums carried on over all fields, and the options tried on them; a field without options has one row whose rank is null."""
+    beam: list[tuple[float, frozenset, tuple]] = [(0.0, frozenset(), ())]
+    states = transitions = 0
+    for _, some in options.sort_values(["field_pos", "rank"]).groupby("field_pos", sort=True):
+        some = some[some["rank"].notna()]
+        spots = [[(r["line"], r["a"], r["b"]) for r in x] for x in some["resources"]]
+        choices = list(zip(some["adjusted"], some.index, spots, strict=True))
+        now = list(beam)  # leaving the field out comes first among equals
+        for total, used, picked in beam:
+            taken: dict[int, list] = {}
+            for line, a, b in used:
+                taken.setdefault(line, []).append((a, b))
+            for value, row, mine in choices:
+                if not any(a < y and x < b for line, a, b in mine for x, y in taken.get(line, ())):
+                    now.append((total + value, used.union(mine), (*picked, row)))
+        transitions += len(beam) * len(choices)
+        beam = sorted(now, key=lambda s: -s[0])[: th.beam]
+        states += len(beam)
+    return list(beam[0][2]), states, transitions
+
+
+_CHOSEN = f"doc_id string, field_pos int, text string, found string, score double, rounded double, source string, kind string, resources {_SPOTS}"
+
+
 def _assign(th: Thresholds):
-    """One option, or none, for each field in turn: the best sums so far are carried on, and no characters serve twice."""
+    """The options picked for a document's fields."""
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        beam: list[tuple[float, frozenset, tuple]] = [(0.0, frozenset(), ())]
-        for pos, options in pdf.sort_values(["field_pos", "rank"]).groupby("field_pos", sort=True):
-            spots = [[(r["line"], r["a"], r["b"]) for r in x] for x in options["resources"]]
-            choices = list(zip(options["adjusted"], options["rank"], spots, strict=True))
-            now = list(beam)  # leaving the field out comes first among equals
-            for total, used, picked in beam:
-                taken: dict[int, list] = {}
-                for line, a, b in used:
-                    taken.setdefault(line, []).append((a, b))
-                for value, rank, mine in choices:
-                    if not any(a < y and x < b for line, a, b in mine for x, y in taken.get(line, ())):
-                        now.append((total + value, used.union(mine), (*picked, (pos, rank))))
-            beam = sorted(now, key=lambda s: -s[0])[: th.beam]
-        return pd.DataFrame([(pdf["doc_id"].iat[0], pos, rank) for pos, rank in beam[0][2]], columns=["doc_id", "field_pos", "rank"])
+        return pdf.loc[_beam(pdf, th)[0]].drop(columns=["rank", "adjusted"])
 
     return assign
 
 
+def _steps(th: Thresholds):
+    """What picking options for a document's fields took."""
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, states, transitions = _beam(pdf, th)
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "options": int(pdf["rank"].notna().sum()), "states": states, "transitions": transitions})
+
+    return steps
+
+
 def prepared(expected: DataFrame) -> DataFrame:
     """doc_id, field_pos, field, expected, and its kind and normal form."""
     fields = expected.select(F.col("doc_id").cast("string"), F.col("field_pos").cast("int"), "field", F.trim(F.col("expected").cast("string")).alias("expected"))
@@ -246,16 +289,28 @@ def candidates(lines: DataFrame, documents: DataFrame | None = None, th: Thresho
     return cands if documents is None else cands.unionByName(mrz_candidates(lines, documents))
 
 
-def options(fields: DataFrame, cands: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """At most twelve candidates for each field, best first (``rank``)."""
+def blocks_of(lines: DataFrame) -> DataFrame:
+    """doc_id, blocks: into how many parts a document's texts are dealt, by an upper limit of their number from its words."""
+    words = F.size(F.split("text", r"(?U)\s+"))
+    return _lines(lines).groupBy("doc_id").agg(F.ceil(F.sum(8 * words + 16) / BLOCK).alias("blocks"))
+
+
+def _dealt(fields: DataFrame, cands: DataFrame, blocks: DataFrame | None):
+    """Fields and texts of each document by block, to be compared."""
     # normal forms once for each text and kind, not once for each pair
     texts = cands.select("doc_id", "text").distinct().join(fields.select("doc_id", "field_kind").distinct(), "doc_id")
     texts = texts.withColumn("found", tx.normal(F.col("text"), F.col("field_kind"))).where("found <> ''").withColumns(tx.looks(F.col("found"), F.col("text")))
-    blocks = texts.groupBy("doc_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    if blocks is None:
+        blocks = texts.groupBy("doc_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("text"), F.col("blocks")).alias("block")
     left = fields.join(blocks, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "field_pos", "field_kind", "target", F.col("target").rlike(r"^\p{Nd}+$").alias("digits"))
     right = texts.join(blocks, "doc_id").select("doc_id", block, F.col("field_kind").alias("kind"), "text", "found", "digits", "mixed", "dated")
-    best = left.groupBy("doc_id", "block").cogroup(right.groupBy("doc_id", "block")).applyInPandas(_scored(th), "doc_id string, field_pos int, text string, found string, score double, rounded double")
+    return left.groupBy("doc_id", "block").cogroup(right.groupBy("doc_id", "block"))
+
+
+def options(fields: DataFrame, cands: DataFrame, th: Thresholds = Thresholds(), blocks: DataFrame | None = None) -> DataFrame:
+    """At most twelve candidates for each field, best first (``rank``). ``blocks``: as ``blocks_of`` gives them; without them texts are counted first."""
+    best = _dealt(fields, cands, blocks).applyInPandas(_scored(th), "doc_id string, field_pos int, text string, found string, score double, rounded double")
     found = best.join(cands, ["doc_id", "text"])
     again = W.partitionBy("doc_id", "field_pos", "text", "resources", "kind").orderBy("cand")
     found = found.withColumn("again", F.row_number().over(again)).where("again = 1").drop("again")
@@ -268,33 +323,35 @@ def options(fields: DataFrame, cands: DataFrame, th: Thresholds = Thresholds())
 
 def _with_evidence(chosen: DataFrame, lines: DataFrame) -> DataFrame:
     """``evidence``: of each line that a value was read from its id, the span of characters, the kind of candidate as source, side and box. A line without a side has that of its source, if it is one."""
-    at = chosen.select("doc_id", "field_pos", "kind", F.posexplode("resources").alias("n", "r"))
+    value = F.struct("text", "found", "score", "rounded", "source").alias("value")
+    at = chosen.select("doc_id", "field_pos", "kind", value, F.posexplode("resources").alias("n", "r")).withColumn("line", F.col("r.line"))
     side = F.coalesce(F.nullif("side", F.lit("")), F.when(F.col("source").isin("front", "back"), F.col("source")))
     line = _lines(lines).select("doc_id", F.col("line_pos").alias("line"), F.coalesce("line_id", F.col("line_pos").cast("string")).alias("line_id"), side.alias("side"), "bbox")
-    at = at.withColumn("line", F.col("r.line")).join(line, ["doc_id", "line"])
     part = F.struct("n", "line_id", F.array("r.a", "r.b").alias("span"), F.col("kind").alias("source"), "side", "bbox")
-    got = at.groupBy("doc_id", "field_pos").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.dropFields("n")).alias("evidence"))
-    return chosen.join(got, ["doc_id", "field_pos"])
+    got = at.join(line, ["doc_id", "line"]).groupBy("doc_id", "field_pos").agg(F.first("value").alias("value"), F.transform(F.array_sort(F.collect_list(part)), lambda x: x.dropFields("n")).alias("evidence"))
+    return got.select("doc_id", "field_pos", "value.*", "evidence")
 
 
 def verify(lines: DataFrame, expected: DataFrame, documents: DataFrame | None = None, th: Thresholds = Thresholds()) -> DataFrame:
     """One row for each expected field: doc_id, field_pos, field, expected, detected, score, status, source, evidence."""
     fields = prepared(expected)
-    best = options(fields, candidates(lines, documents, th), th)
-    chosen = best.select("doc_id", "field_pos", "rank", "adjusted", "resources").groupBy("doc_id").applyInPandas(_assign(th), "doc_id string, field_pos int, rank int")
-    got = best.select("doc_id", "field_pos", "rank", "text", "found", "score", "rounded", "source", "kind", "resources").join(chosen, ["doc_id", "field_pos", "rank"])
-    out = fields.join(_with_evidence(got, lines), ["doc_id", "field_pos"], "left")
+    best = options(fields, candidates(lines, documents, th), th, blocks_of(lines))
+    best = best.select("doc_id", "field_pos", "text", "found", "score", "rounded", "source", "kind", "resources", "rank", "adjusted")
+    out = fields.join(_with_evidence(best.groupBy("doc_id").applyInPandas(_assign(th), _CHOSEN), lines), ["doc_id", "field_pos"], "left")
     status = tx.status(F.col("target"), F.col("found"), F.col("score"), F.col("field_kind"), th.likely_name_score, th.likely_text_score)
     return out.select("doc_id", "field_pos", "field", "expected", F.col("text").alias("detected"), F.coalesce("rounded", F.lit(0.0)).alias("score"), status.alias("status"), "source", "evidence")
 
 
 def work(lines: DataFrame, expected: DataFrame, documents: DataFrame | None = None, th: Thresholds = Thresholds()) -> DataFrame:
-    """By document: candidates, pairs of a field and a candidate that could be compared, and options kept."""
-    fields, cands = prepared(expected), candidates(lines, documents, th)
+    """By document: fields, candidates, comparisons (pairs of a field and a candidate), ratios that were computed for them, options kept, and states and transitions of the assignment."""
+    fields, cands, blocks = prepared(expected), candidates(lines, documents, th), blocks_of(lines)
     n = cands.groupBy("doc_id").agg(F.count("*").alias("candidates")).join(fields.groupBy("doc_id").agg(F.count("*").alias("fields")), "doc_id", "full")
-    kept = options(fields, cands, th).groupBy("doc_id").agg(F.count("*").alias("options"))
+    ratios = _dealt(fields, cands, blocks).applyInPandas(_tried(th), "doc_id string, ratios long").groupBy("doc_id").agg(F.sum("ratios").alias("ratios"))
+    kept = options(fields, cands, th, blocks).select("doc_id", "field_pos", "rank", "adjusted", "resources")
+    steps = fields.select("doc_id", "field_pos").join(kept, ["doc_id", "field_pos"], "left").groupBy("doc_id").applyInPandas(_steps(th), "doc_id string, options long, states long, transitions long")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return n.join(kept, "doc_id", "left").select("doc_id", zero("fields"), zero("candidates"), (F.coalesce("fields", F.lit(0)) * F.coalesce("candidates", F.lit(0))).alias("comparisons"), zero("options"))
+    all_pairs = (F.coalesce("fields", F.lit(0)) * F.coalesce("candidates", F.lit(0))).alias("comparisons")
+    return n.join(ratios, "doc_id", "left").join(steps, "doc_id", "left").select("doc_id", zero("fields"), zero("candidates"), all_pairs, zero("ratios"), zero("options"), zero("states"), zero("transitions"))
 
 
 def both_sides(front: DataFrame, back: DataFrame) -> DataFrame:

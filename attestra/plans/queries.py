@@ -519,6 +519,12 @@ def match_fields(s, d):
     return matcher.verify(lines, fields).drop("evidence")
 
 
+@query()
+def matcher_work(s, d):
+    """What matching every conversation's fields took: candidates, comparisons, ratios, options, states and transitions."""
+    return matcher.work(*_turns(s, d))
+
+
 @query()
 def similarity_ratio(s, d):
     p = _mutated(s, d).select("p_partkey", col("p_name").alias("a"), F.coalesce("seen", F.lit("")).alias("b"))

@@ -134,3 +134,36 @@ def test_evidence_names_kind_and_side(spark):
     fields = spark.createDataFrame([("d", 0, "name", "LENA"), ("d", 1, "surname", "HOLM"), ("d", 2, "address", "7 MAY ROAD")], "doc_id string, field_pos int, field string, expected string")
     got = {r.field: [(e.source, e.side) for e in r.evidence] for r in M.verify(lines, fields).collect()}
     assert got == {"name": [("visible_ocr", "front")], "surname": [("visible_ocr", "back")], "address": [("visible_ocr", None)]}
+
+
+def test_work_is_what_a_direct_count_gives(spark):
+    import random
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("ABC") for _ in range(r.randint(1, 4)))
+    lines = spark.createDataFrame([(d, i, " ".join(word() for _ in range(r.randint(1, 4)))) for d in "ab" for i in range(4)] + [("c", 0, "")], "doc_id string, line_pos int, text string")
+    expected = spark.createDataFrame([(d, i, "name", v) for d in "ab" for i, v in enumerate(["ABC", "12345678", word(), word() + word()])] + [("c", 0, "name", "ABC"), ("e", 0, "name", "ABC")], FIELD)
+    got = {x.doc_id: x for x in M.work(lines, expected).collect()}
+    cands, kept = M.candidates(lines), {}
+    for x in M.options(M.prepared(expected), cands).collect():
+        kept.setdefault((x.doc_id, x.field_pos), []).append((x.rank, x.adjusted, [tuple(s) for s in x.resources]))
+    for d, fields in (("a", 4), ("b", 4), ("c", 1), ("e", 1)):
+        paths, states, transitions, options = [(0.0, [])], 0, 0, 0
+        for f in range(fields):
+            some = sorted(kept.get((d, f), []))
+            options += len(some)
+            transitions += len(paths) * len(some)
+            more = [(t + v, used + spots) for t, used in paths for _, v, spots in some if not any(m == n and max(a, p) < min(b, q) for m, a, b in spots for n, p, q in used)]
+            paths = sorted(paths + more, key=lambda p: -p[0])[:64]
+            states += len(paths)
+        n = cands.where(F.col("doc_id") == d).count()
+        assert (got[d].fields, got[d].candidates, got[d].comparisons, got[d].options, got[d].states, got[d].transitions) == (fields, n, fields * n, options, states, transitions)
+        assert options <= got[d].ratios <= fields * n
+
+
+def test_plan_reads_lines_few_times(spark, tmp_path):
+    """Candidates are not built again for each step that uses them."""
+    spark.createDataFrame([("d", 0, "LENA HOLM")], "doc_id string, line_pos int, text string").write.parquet(f"{tmp_path}/lines")
+    lines = spark.read.parquet(f"{tmp_path}/lines")
+    plan = M.verify(lines, spark.createDataFrame([("d", 0, "name", "LENA")], FIELD))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("line_pos#") and plan.count("Relation [") <= 16
