@@ -568,4 +568,4 @@ def zone_reconstruct(s, d):
 
 ORACLE["zone_reconstruct"] = "select c_custkey, upper(c_mktsegment) surname, lpad(c_custkey::varchar, 9, '0') document_number, c_custkey % 7 <> 0 valid from customer"
 
-from attestra.plans import dataset_queries, more_queries, run_queries, snapshot_queries, trace_queries  # noqa: E402, F401  register more queries
+from attestra.plans import archive_queries, dataset_queries, more_queries, run_queries, snapshot_queries, trace_queries  # noqa: E402, F401  register more queries
