@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 ACCEPTED = ("match", "likely_match")
 
+#: Parts of a group whose frontiers are taken apart.
+PARTS = 1024
+
 
 def accuracy(results: DataFrame, group: str) -> DataFrame:
     """Accepted and hard failures by group and, with a null group, overall."""
@@ -54,13 +57,20 @@ def keyed_difference(left: DataFrame, right: DataFrame, keys: list[str], value:
 
 
 def pareto(rows: DataFrame, group: str, cost: str, gain: str, strict: bool = False) -> DataFrame:
-    """Rows that none of their group dominates: one at most as dear with at least the gain and better in one of them; with ``strict``, one that is better in both. One pass over each group's costs."""
+    """Rows that none of their group dominates: one at most as dear with at least the gain and better in one of them; with ``strict``, one that is better in both.
+
+    Costs are dealt by hash into parts of their group and each part's own frontier is taken first: what a part dominates its
+    group dominates too, and leaves the best gains as they are. So the pass over a whole group sees the parts' frontiers only.
+    """
+    def not_dominated(per: DataFrame, *within) -> DataFrame:
+        best = F.max("__top").over(W.partitionBy(group, *within).orderBy(cost).rowsBetween(W.unboundedPreceding, -1))
+        per = per.withColumn("__best", best)
+        return per.where(F.col("__best").isNull() | ((F.col("__top") >= F.col("__best")) if strict else (F.col("__top") > F.col("__best"))))
+
     per = rows.groupBy(group, cost).agg(F.max(gain).alias("__top"))
-    cheaper = W.partitionBy(group).orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("__best", F.max("__top").over(cheaper))
-    df, first = rows.join(per, [group, cost]), F.col("__best").isNull()
-    kept = first | (F.col(gain) >= F.col("__best")) if strict else (F.col(gain) == F.col("__top")) & (first | (F.col(gain) > F.col("__best")))
-    return df.where(kept).drop("__best", "__top")
+    per = not_dominated(not_dominated(per, F.pmod(F.xxhash64(cost), F.lit(PARTS))).drop("__best"))
+    kept = F.col("__best").isNull() | (F.col(gain) >= F.col("__best")) if strict else F.col(gain) == F.col("__top")
+    return rows.join(per, [group, cost]).where(kept).drop("__best", "__top")
 
 
 def issues(rules: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestra.operators import ranking
 from attestra.operators.ranking import beside, quantiles
 
 
@@ -121,9 +122,9 @@ def rotated(rows: DataFrame, position: str, n: int, offset: Column) -> DataFrame
 
 def alternating(runs: DataFrame, document: str, number: str, candidate: str) -> DataFrame:
     """``turn``: documents of odd number run their candidates in the opposite order."""
-    w = W.partitionBy(document)
-    there, back = F.row_number().over(w.orderBy(candidate)), F.row_number().over(w.orderBy(F.desc(candidate)))
-    return runs.withColumn("turn", F.when(F.pmod(F.col(number), F.lit(2)) == 1, back).otherwise(there))
+    placed = ranking.running(runs, [document], [F.col(candidate)])
+    turn = F.when(F.pmod(F.col(number), F.lit(2)) == 1, F.col("total") - F.col("upto") + 1).otherwise(F.col("upto"))
+    return placed.withColumn("turn", turn.cast("int")).select(*(F.col(f"`{c}`") for c in runs.columns), "turn")
 
 
 def by_type_rank(rows: DataFrame, kind: str, name: str, ranks: list[str]) -> DataFrame:

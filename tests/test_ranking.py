@@ -51,3 +51,28 @@ def test_quantiles(spark, size):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA).drop("upto")
     assert not ranking.running(df, ["g"], [F.col("id")]).collect() and not ranking.quantiles(df, ["g"], {"m": ("x", 0.5)}).collect()
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_frontier_of_parts_is_that_of_the_group(spark, monkeypatch, strict):
+    """Costs dealt into few and into many parts, ties and nulls among them, against comparing all pairs."""
+    from attestra.operators import evaluation
+
+    r = random.Random(9)
+    rows = [(r.choice("aaab"), r.choice([float(r.randrange(12)), r.random() * 12]), r.choice([None, float(r.randrange(12)), r.random() * 12]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, cost double, gain double, id long")
+    real = [x for x in rows if x[2] is not None]
+    worse = lambda x, y: (y[1] < x[1] and y[2] > x[2]) if strict else (y[1] <= x[1] and y[2] >= x[2] and (y[1] < x[1] or y[2] > x[2]))
+    want = sorted(x[3] for x in real if not any(y[0] == x[0] and worse(x, y) for y in real))
+    for parts in (1, 7, 1024):
+        monkeypatch.setattr(evaluation, "PARTS", parts)
+        got = evaluation.pareto(df, "g", "cost", "gain", strict)
+        assert got.columns == df.columns and sorted(x.id for x in got.where("gain is not null").collect()) == want
+
+
+def test_alternating(spark):
+    from attestra.operators import runs
+
+    df = spark.createDataFrame([(d, n, f"c{i:03d}") for d, n in (("x", 0), ("y", 1)) for i in range(40)], "d string, n long, c string")
+    got = {(x.d, x.c): x.turn for x in runs.alternating(df, "d", "n", "c").collect()}
+    assert all(got["x", f"c{i:03d}"] == i + 1 and got["y", f"c{i:03d}"] == 40 - i for i in range(40))
