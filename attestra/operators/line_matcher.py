@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
-from attestra.functions.similarity import scored_pairs
+from attestra.functions.similarity import ratio
+from attestra.operators import tasks
 
 
 def line_kind(field: Column, value: Column) -> Column:
@@ -54,11 +55,15 @@ def _best(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def verify(lines: DataFrame, expected: DataFrame, least: float = 0.35, options: int = 12) -> DataFrame:
     """doc_id, field_pos, field, expected, detected, score, status."""
+    n = tasks.tasks_of(lines, "text", 1 << 20)
+    lines, expected = (df.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(n, "doc_id") for df in (lines, expected))
     fields = expected.select(F.col("doc_id").cast("string"), F.col("field_pos").cast("int"), "field", F.trim(F.col("expected").cast("string")).alias("expected"))
     fields = fields.withColumn("kind", line_kind(F.col("field"), F.col("expected"))).withColumn("target", tx.normal(F.col("expected"), F.col("kind"), label=False))
     cands = line_candidates(lines)
     pairs = fields.join(cands, "doc_id").withColumn("found", tx.normal(F.col("text"), F.col("kind"), label=False)).where("target <> '' and found <> ''")
-    pairs = scored_pairs(pairs, "target", "found").where(F.col("score") >= least)
+    a, b = F.length("target"), F.length("found")
+    pairs = pairs.where(2 * F.least(a, b) >= (least - 1e-9) * (a + b))  # no ratio is above that of the shorter text found whole
+    pairs = pairs.withColumn("score", ratio("target", "found")).where(F.col("score") >= least)
     rank = F.row_number().over(W.partitionBy("doc_id", "field_pos").orderBy(F.desc("score"), "cand_pos"))
     pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= options)
     chosen = pairs.select("doc_id", "field_pos", "rank", "cand_pos", "score", "used").groupBy("doc_id").applyInPandas(_best, "doc_id string, field_pos int, cand_pos long")
