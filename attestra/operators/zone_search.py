@@ -7,6 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.functions.columns import bound
+from attestra.operators.tasks import spread
+
 #: A row's pieces lie within this share of a line's height; a candidate's least length and share of a zone's characters; candidates looked at.
 ROW, LEAST, SHARE, MOST = 0.65, 15, 0.65, 12
 _LINE = "array<struct<text:string,score:double,x1:double,y1:double,x2:double,y2:double>>"
@@ -42,9 +45,8 @@ def rows_of_pieces(lines: Column) -> Column:
     def step(rows: Column, s: Column) -> Column:
         x = s["x"]
         near = lambda r: F.abs(s["cy"] - _sum(F.transform(r, _cy)) / F.size(r)) <= F.greatest(_median(F.transform(r, _height)), _height(x)) * ROW
-        k = F.array_position(F.transform(rows, near), True)
-        joined = F.transform(rows, lambda r, i: F.when(i + 1 == k, F.concat(r, F.array(x))).otherwise(r))
-        return F.when(k > 0, joined).otherwise(F.concat(rows, F.array(F.array(x))))
+        joined = lambda k: F.transform(rows, lambda r, i: F.when(i + 1 == k, F.concat(r, F.array(x))).otherwise(r))
+        return bound(F.array_position(F.transform(rows, near), True), lambda k: F.when(k > 0, joined(k)).otherwise(F.concat(rows, F.array(F.array(x)))))
 
     def merged(row: Column) -> Column:
         row = F.transform(F.array_sort(F.transform(row, lambda x, i: F.struct(x["x1"].alias("x1"), i.alias("i"), x.alias("x")))), lambda s: s["x"])
@@ -80,8 +82,10 @@ def search(samples: DataFrame) -> DataFrame:
     samples: sample, lines (array of text, score, x1, y1, x2, y2), lengths (of the zone's
     lines, 1 to 3 of them), width, height. Candidates are the lines and their rows; of the
     twelve that score best, every set of as many as the zone has is tried whose lines lie
-    apart, and the first of the best wins. A picture is one row, so nothing is shuffled.
+    apart, and the first of the best wins. A picture is one row; pictures are spread over all
+    cores first, as a small file of them comes in one split.
     """
+    samples = spread(samples)
     lines = F.transform("lines", _line)
     fit = lambda x: (F.char_length(x["text"]) >= LEAST) & (zone_share(x["text"]) >= SHARE)
     s = samples.withColumn("lines", F.coalesce(lines, F.array().cast(_LINE)))

@@ -18,6 +18,7 @@ from attestra.functions import text as tx
 from attestra.functions.similarity import scored_pairs
 from attestra.operators import evaluation as ev
 from attestra.operators import layout, line_matcher, matcher, packing, ranking, runs, zones
+from attestra.operators.tasks import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,7 +127,7 @@ def _td3(s, d) -> DataFrame:
     second = F.concat(a, F.lit("UZB"), b, F.lit("M"), c, e, cd(F.concat(a, b, c, e)))
     wrong = F.concat(a, F.lit("UZB"), birth, ((cd(birth).cast("int") + 1) % 10).cast(S), F.lit("M"), c, e, cd(F.concat(a, b, c, e)))
     lines = F.when(col("c_custkey") % 7 == 0, F.array(first, wrong)).otherwise(F.array(first, second))
-    return t(s, d, "customer").select("c_custkey", F.explode(F.array(lines)).alias("z")).select("c_custkey", col("z")[0].alias("l1"), col("z")[1].alias("l2"))
+    return spread(t(s, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")).select("c_custkey", F.explode(F.array(lines)).alias("z")).select("c_custkey", col("z")[0].alias("l1"), col("z")[1].alias("l2"))
 
 
 @query("""select c_custkey, upper(c_mktsegment) surname, 'NAME ' || translate(c_nationkey::varchar, '0123456789', 'ABCDEFGHIJ') given_names, lpad(c_custkey::varchar, 9, '0') document_number, lpad((c_custkey % 1000000)::varchar, 6, '0') date_of_birth, 'M' sex, 'X1' optional_data, c_custkey % 7 <> 0 valid from customer""")
