@@ -6,12 +6,15 @@ image on Arrow groups, and everything around them is relational.
 
 from __future__ import annotations
 
+import statistics
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestra.functions.mrz import fragment
+from attestra.operators.tasks import spread
 
 
 def zone_lines(tokens: DataFrame) -> DataFrame:
@@ -21,27 +24,38 @@ def zone_lines(tokens: DataFrame) -> DataFrame:
     0.7 of the median height (5 pixels at least); rows of under 20 characters go.
     """
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        limit = max(5.0, float(pdf["height"].median()) * 0.7)
+    def cluster(sample: str, tokens: list[tuple]) -> list[tuple]:
+        heights = [k[3] for k in tokens if k[3] == k[3]]
+        limit = max(5.0, statistics.median(heights) * 0.7) if heights else 5.0
         rows: list[list] = []
-        for tok in pdf.sort_values(["center_y", "x1"], kind="stable").itertuples():
-            means = [sum(t.center_y for t in r) / len(r) for r in rows]
-            near = min(range(len(rows)), key=lambda i: abs(tok.center_y - means[i]), default=None)
-            if near is not None and abs(tok.center_y - means[near]) <= limit:
-                rows[near].append(tok)
-            else:
-                rows.append([tok])
+        means: list[float] = []
+        for tok in sorted(tokens, key=lambda k: (k[2] != k[2], k[2], k[1] != k[1], k[1])):
+            near = min(range(len(rows)), key=lambda i: abs(tok[2] - means[i]), default=None)
+            if near is None or not abs(tok[2] - means[near]) <= limit:
+                near = len(rows)
+                rows.append([])
+                means.append(0.0)
+            rows[near].append(tok)
+            means[near] = sum(k[2] for k in rows[near]) / len(rows[near])
         out = []
-        for r in rows:
-            r.sort(key=lambda t: t.x1)
-            text = "".join(t.fragment for t in r)
+        for r, mean in zip(rows, means, strict=True):
+            r.sort(key=lambda k: k[1])
+            text = "".join(k[4] for k in r)
             if len(text) >= 20:
-                weights = [max(1, len(t.fragment)) for t in r]
-                out.append((pdf["sample_id"].iloc[0], len(out), text, sum(t.score * w for t, w in zip(r, weights, strict=True)) / sum(weights), sum(t.center_y for t in r) / len(r)))
-        return pd.DataFrame(out, columns=["sample_id", "line_no", "text", "confidence", "center_y"])
+                weights = [max(1, len(k[4])) for k in r]
+                out.append((sample, len(out), text, sum(k[0] * w for k, w in zip(r, weights, strict=True)) / sum(weights), mean))
+        return out
+
+    def lines(batches):
+        for pdf in batches:  # many samples at once
+            out = [x for sample, *columns in pdf.itertuples(index=False) for x in cluster(sample, list(zip(*(c.tolist() for c in columns), strict=True)))]
+            yield pd.DataFrame(out, columns=["sample_id", "line_no", "text", "confidence", "center_y"])
 
+    parts = ("score", "x1", "center_y", "height", "fragment")
     df = tokens.withColumn("fragment", fragment(F.col("text"))).where("fragment <> ''")
-    return df.select(F.col("sample_id").cast("string"), "fragment", *(F.col(c).cast("double") for c in ("score", "x1", "center_y", "height"))).groupBy("sample_id").applyInPandas(cluster, "sample_id string, line_no int, text string, confidence double, center_y double")
+    df = df.select(F.col("sample_id").cast("string"), "fragment", *(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in parts[:4]))
+    whole = spread(df, "sample_id").groupBy("sample_id").agg(F.collect_list(F.struct(*parts)).alias("t")).select("sample_id", *(F.col(f"t.{c}").alias(c) for c in parts))
+    return whole.mapInPandas(lines, "sample_id string, line_no int, text string, confidence double, center_y double")
 
 
 def zone_blocks(lines: DataFrame, counts: tuple[int, ...]) -> DataFrame:
