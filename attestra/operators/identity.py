@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestra.operators.tasks import spread
+
 # Names of annotated boxes on licences, and the fields they feed.
 ALIASES = {
     "name": "given_names", "place_of_birth": "birth_place", "date_of_birth": "birth_date", "date_of_issue": "issue_date", "date_of_expiry": "expiry_date", "place_of_issue": "issued_place",
@@ -32,7 +34,7 @@ def birth_line(value: Column) -> tuple[Column, Column]:
 def licence_records(tokens: DataFrame) -> DataFrame:
     """One row for each document with the fields of its licence. tokens: doc_id, box, box_pos (order of the boxes), token (its number in the document), text, center_y, x1. A token that several boxes hold counts for the first; boxes of one field are read together, from top to bottom and left to right."""
     first = W.partitionBy("doc_id", "token").orderBy("box_pos")
-    t = tokens.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("field", canonical(F.col("box"))).where(F.coalesce("text", F.lit("")) != "")
+    t = spread(tokens, "doc_id").withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("field", canonical(F.col("box"))).where(F.coalesce("text", F.lit("")) != "")
     order = F.array_sort(F.collect_list(F.struct("center_y", "x1", "token", "text")))
     raw = t.groupBy("doc_id", "field").agg(F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("raw"))
     wide = raw.groupBy("doc_id").pivot("field", LICENCE).agg(F.first("raw"))
