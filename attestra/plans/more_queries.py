@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attestra.functions import geometry as g
 from attestra.functions import text as tx
 from attestra.operators import identity, layout, profiles, runs, scoring, timings, zone_search
+from attestra.operators.tasks import spread
 from attestra.plans.queries import D, L, S, _td3, col, query, rnd, t
 
 # ---- regions and reading order ----
@@ -136,7 +137,7 @@ def page_coordinates(s, d):
     """A point in the page's own square, and taken back to the picture."""
     k = col("p_partkey")
     square = F.array(g.point(0, 0), g.point(1, 0), g.point(1, 1), g.point(0, 1))
-    x = t(s, d, "part").select("p_partkey", _page(k).alias("page"), F.array(g.point(k % 100, col("p_size") * 2)).alias("p")).withColumn("q", g.applied(g.between(col("page"), square), col("p")))
+    x = spread(t(s, d, "part").select("p_partkey", "p_size")).select("p_partkey", _page(k).alias("page"), F.array(g.point(k % 100, col("p_size") * 2)).alias("p")).withColumn("q", g.applied(g.between(col("page"), square), col("p")))
     back = g.applied(g.from_square(col("page")), col("q"))[0]
     return x.select("p_partkey", rnd(col("q")[0]["x"]).alias("u"), rnd(col("q")[0]["y"]).alias("v"), rnd(back["x"]).alias("back_x"), rnd(back["y"]).alias("back_y"))
 
@@ -145,7 +146,7 @@ def page_coordinates(s, d):
 def zone_coordinates(s, d):
     """A point in the frame of a zone, in lengths of its top edge, and taken back."""
     k = col("p_partkey")
-    x = t(s, d, "part").select("p_partkey", _page(k).alias("zone"), F.array(g.point(k % 100, col("p_size") * 2)).alias("p")).withColumn("q", g.to_frame(col("zone"), col("p")))
+    x = spread(t(s, d, "part").select("p_partkey", "p_size")).select("p_partkey", _page(k).alias("zone"), F.array(g.point(k % 100, col("p_size") * 2)).alias("p")).withColumn("q", g.to_frame(col("zone"), col("p")))
     back = g.from_frame(col("zone"), col("q"))[0]
     return x.select("p_partkey", rnd(col("q")[0]["x"]).alias("along"), rnd(col("q")[0]["y"]).alias("across"), rnd(back["x"]).alias("back_x"), rnd(back["y"]).alias("back_y"))
 
