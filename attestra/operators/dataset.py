@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.operators.tasks import spread
 from attestra.sources.dataset import ROLES
 
 # The fields of each type of document, shapes of machine-readable zones (lines, width), statuses, states.
@@ -184,7 +185,8 @@ def annotation_issues(annotations: DataFrame, documents: DataFrame, digests: Dat
     first = first.when(~known, F.struct(F.lit("invalid type").alias("issue"), F.coalesce("shown_type", F.lit("null")).alias("detail")))
     good = a.where(F.col("id").isNotNull() & known)
     each = F.concat(*map(_named, rules))
-    out = [a.withColumn("x", first).where("x is not null").select("x.issue", "file", "x.detail"), good.select("file", F.explode(each).alias("x")).select("x.issue", "file", "x.detail")]
+    every = F.when(first.isNotNull(), F.array(first)).otherwise(each)
+    out = [a.select("file", F.explode(every).alias("x")).select("x.issue", "file", "x.detail")]
 
     right = F.coalesce(_keys("images") == F.array_sort(_per_type(ROLES)), F.lit(False))
     declared = F.coalesce(_keys("hashes") == F.array_sort(_per_type(ROLES)), F.lit(False))
@@ -197,12 +199,10 @@ def annotation_issues(annotations: DataFrame, documents: DataFrame, digests: Dat
 
     pics = light.where("images is not null").select("file", F.explode("images").alias("role", "picture"), "hashes")
     pics = pics.select("file", "role", F.col("picture.text").alias("path"), F.try_element_at("hashes", F.col("role"))["text"].alias("declared"))
-    out.append(row(pics.where("path is null"), "picture path is no text", F.col("role")))
-    pics = pics.where("path is not null").withColumn("at", inside(F.col("path")))
-    out.append(row(pics.where("at is null"), "picture outside the dataset", F.col("path")))
-    seen = pics.where("at is not null").join(digests.select(F.col("file").alias("at"), "sha256"), "at", "left")
-    out.append(row(seen.where("sha256 is null"), "missing picture", F.col("path")))
-    out.append(row(seen.where("sha256 is not null and not declared <=> sha256"), "changed digest", F.col("path")))
+    pics = pics.withColumn("at", inside(F.col("path")))
+    seen = pics.join(digests.select(F.col("file").alias("at"), "sha256"), "at", "left")
+    issue = F.when(F.col("path").isNull(), "picture path is no text").when(F.col("at").isNull(), "picture outside the dataset").when(F.col("sha256").isNull(), "missing picture").when(~F.col("declared").eqNullSafe(F.col("sha256")), "changed digest")
+    out.append(seen.select(issue.alias("issue"), "file", F.coalesce("path", "role").alias("detail")).where("issue is not null"))
 
     again = a.where("id is not null").groupBy("id").count().where("count > 1").withColumn("file", F.lit(None).cast("string"))
     out.append(row(again, "repeated id", F.col("id")))
@@ -279,7 +279,7 @@ PROFILE_RULES = (
 
 def layout_issues(profiles: DataFrame, rules: tuple[Rule, ...] = PROFILE_RULES) -> DataFrame:
     """issue, file, detail of layout profiles (file, text as JSON): every rule, not the first that fails. Boxes belong to a region; a field must own one of its own region's."""
-    p = parsed_profiles(profiles)
+    p = parsed_profiles(spread(profiles))
     bad = p.where("not whole").select(F.lit("malformed").alias("issue"), "file", F.lit("").alias("detail"))
     each = F.concat(*map(_named, rules))
     return bad.unionByName(p.where("whole").select("file", F.explode(each).alias("x")).select("x.issue", "file", "x.detail"))
