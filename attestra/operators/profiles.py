@@ -29,8 +29,9 @@ def canonical(samples: DataFrame) -> DataFrame:
 
 def promoted(samples: DataFrame, current: DataFrame) -> DataFrame:
     """layout, region, field, required, crop, roi: the boxes of complete samples. The region is the side, or ``data_page`` without one; of several samples of a side the last (by key) counts. current: layout, field, required of the profiles in use; a new field is not required."""
-    done = canonical(samples.where("status = 'complete'")).withColumn("region", F.coalesce("side", F.lit("data_page")))
-    last = done.groupBy("layout", "region").agg(F.max_by(F.struct("crop", "rois"), "key").alias("s"))
+    done = samples.where("status = 'complete'").withColumn("region", F.coalesce("side", F.lit("data_page")))
+    last = done.groupBy("layout", "region").agg(F.max_by(F.struct(*samples.columns), "key").alias("s"))  # only these are projected
+    last = canonical(last.select(F.col("region").alias("shown"), "s.*")).groupBy("layout", F.col("shown").alias("region")).agg(F.max_by(F.struct("crop", "rois"), "key").alias("s"))
     each = last.select("layout", "region", F.col("s.crop").alias("crop"), F.explode("s.rois").alias("name", "roi")).withColumn("field", _renamed(F.col("name")))
     need = current.groupBy("layout", "field").agg(F.bool_or("required").alias("required"))
     return each.join(need, ["layout", "field"], "left").select("layout", "region", "field", F.coalesce("required", F.lit(False)).alias("required"), "crop", "roi")
