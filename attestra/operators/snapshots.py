@@ -61,6 +61,18 @@ def digests(rows: DataFrame, keys: list[str], text: str, ignored: tuple[str, ...
     return whole.join(each, keys, "left").select(*keys, F.when(F.col("whole"), F.coalesce("digest", F.sha2(F.lit("[]"), 256))).alias("digest"))
 
 
+def graded_digests(rows: DataFrame, keys: list[str], text: str, ignored: tuple[str, ...], detail: tuple[str, ...], deepest: int | None = None) -> DataFrame:
+    """keys, semantic, whole: two digests as ``digests`` makes them from one unfolding; ``whole`` leaves out the ``ignored`` paths, ``semantic`` also those that a ``detail`` pattern finds."""
+    found = lambda patterns: reduce(lambda a, b: a | b, (F.col("path").rlike(p) for p in patterns), F.lit(False))
+    s = scalars(rows, keys, text, lists=True, deepest=deepest).where(~found(ignored))
+    one = F.struct("path", "kind", "value")
+    digest = lambda x: F.sha2(F.to_json(F.array_sort(F.collect_list(x))), 256)
+    each = s.groupBy(*keys).agg(digest(F.when(~found(detail), one)).alias("semantic"), digest(one).alias("whole"))
+    good = rows.select(*keys, F.try_parse_json(text).isNotNull().alias("good"))
+    none = F.sha2(F.lit("[]"), 256)
+    return good.join(each, keys, "left").select(*keys, *(F.when(F.col("good"), F.coalesce(c, none)).alias(c) for c in ("semantic", "whole")))
+
+
 def equivalence(runs: DataFrame, baseline: str, key: str = "doc_id") -> DataFrame:
     """run, identical, different, missing, extra: digests of every other run (run, key, digest) as multisets by key against the baseline's. Repeats count each; nothing is paired with more than one row."""
     n = runs.groupBy("run", key, "digest").agg(F.count("*").alias("n"))

@@ -56,11 +56,7 @@ _SEMANTIC = (r"^result\.timings\.", r"(^|\.)confidence\.score$")
 def output_changes(s, d):
     """Results of two runs: changes of values against changes of confidence alone; times don't count."""
 
-    def side(text):
-        rows = _results(s, d, text)
-        semantic = snapshots.digests(rows, ["event_id"], "text", _SEMANTIC).withColumnRenamed("digest", "semantic")
-        return semantic.join(snapshots.digests(rows, ["event_id"], "text", _SEMANTIC[:1]).withColumnRenamed("digest", "whole"), "event_id")
-
+    side = lambda text: snapshots.graded_digests(_results(s, d, text), ["event_id"], "text", _SEMANTIC[:1], _SEMANTIC[1:])
     return snapshots.change_counts(side(_TEXT), side(_LATER), "event_id")
 
 
