@@ -199,3 +199,44 @@ def test_older_matcher_prunes_only_what_cannot_reach(spark):
         best = max(SequenceMatcher(None, want.upper(), t.upper()).ratio() for t in every)
         got = line_matcher.verify(lines, fields).first()
         assert got.score == (pytest.approx(best, abs=1e-4) if best >= 0.35 else 0.0)
+
+
+ODD = ["4a. 08.12.2017 Oslo", "a.\tb. 5.AB123", "x a.  c 7) d", "12. 5 é. ß ﬁ", "no--- -- _a_b A.B 8.FARG", "771204558910 ID-77 x9", "　a.　b c d", "2011-06-05 5/6/2011 050611 E", "a. -- ..", "Ünal und Söhne 3.", "same same same same", "x"]
+
+
+def test_spans_compared_in_their_lines_are_those_compared_one_by_one(spark, monkeypatch):
+    """Labels, odd blanks, all kinds of fields, several blocks and pieces of a line."""
+    import random
+
+    r = random.Random(3)
+    lines = [(d, i, r.choice(ODD) + r.choice(["", " ", " . "]) + r.choice(ODD), r.choice([0.5, 0.9])) for d in "abc" for i in range(14)]
+    words = [w for x in ODD for w in x.split()]
+    names = ("name", "serial_number", "birth_date", "address", "remark")
+    expected = [(d, i, names[i % 5], " ".join(r.choice(words) for _ in range(r.randint(1, 3)))) for d in "abcd" for i in range(15)]
+    a, b = spark.createDataFrame(lines, "doc_id string, line_pos int, text string, confidence double"), spark.createDataFrame(expected, FIELD)
+    fields, th = M.prepared(b), M.Thresholds()
+    rows = lambda df: sorted((x.doc_id, x.field_pos, x.rank, x.text, x.found, x.score, str(x.resources)) for x in df.where("field_pos is not null").collect())
+    want = rows(M.options(fields, M.candidates(a)))
+    assert len(want) > 300 and {x[1] % 5 for x in want} == set(range(5))
+    assert rows(M._all_options(a, fields, None, th, 4)) == want
+    monkeypatch.setattr(M, "BLOCK", 60)
+    monkeypatch.setattr(M, "SPANS", 7)
+    assert rows(M._all_options(a, fields, None, th, 4)) == want
+
+
+def test_work_compares_once_and_makes_no_rows_of_spans(spark, tmp_path):
+    spark.createDataFrame([("d", 0, "LENA HOLM")], "doc_id string, line_pos int, text string").write.parquet(f"{tmp_path}/lines")
+    plan = M.work(spark.read.parquet(f"{tmp_path}/lines"), spark.createDataFrame([("d", 0, "name", "LENA")], FIELD))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("find(") == 1 and "FlatMapGroupsInPandas" not in plan and plan.count("Relation [") <= 16
+
+
+def test_matching_blocks_are_those_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    from attestra.functions.similarity import covered
+
+    r = random.Random(2)
+    for n in range(4000):
+        a, b = ("".join(r.choice("ABCDE"[: 2 + n % 4]) for _ in range(r.randint(0, m))) for m in (30, 230 if n % 50 == 0 else 40))
+        assert covered(a, b) == sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks())
