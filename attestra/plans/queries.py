@@ -517,7 +517,7 @@ def matrix_expand(s, d):
 def match_fields(s, d):
     """Three words of each conversation turn as expected values against the turns as recognised lines."""
     lines, fields = _turns(s, d)
-    return matcher.verify(lines, fields).drop("evidence")
+    return matcher.verify(lines, fields, evidence=False)
 
 
 @query()
@@ -551,7 +551,7 @@ def match_fields_older(s, d):
 def matcher_transitions(s, d):
     """Status changes from the older matcher to the present one, on the same fields."""
     lines, fields = _turns(s, d)
-    now = matcher.verify(lines, fields).select("doc_id", "field_pos", col("status").alias("now"))
+    now = matcher.verify(lines, fields, evidence=False).select("doc_id", "field_pos", col("status").alias("now"))
     old = line_matcher.verify(lines, fields).select("doc_id", "field_pos", col("status").alias("old"))
     return old.join(now, ["doc_id", "field_pos"]).groupBy(F.concat_ws("->", "old", "now").alias("change")).agg(F.count("*").alias("n"))
 
