@@ -1,17 +1,18 @@
 """The older matcher, for comparing the two: whole lines and pairs of lines only, no labels, shapes or zones.
 
-An assignment is exact: the best sum over all ways to give fields disjoint lines. A line
-that no later field can want is forgotten, so states stay few unless fields contend for the same lines.
+An assignment is exact: the best sum over all ways to give fields disjoint lines, from all lines that
+reach the least ratio (``functions.assignment``).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
+from attestra.functions.assignment import assigned
 from attestra.functions.similarity import ratio
 from attestra.operators import tasks
 
@@ -34,39 +35,37 @@ def line_candidates(lines: DataFrame) -> DataFrame:
     return one.unionByName(pair.select("doc_id", (F.col("line_pos") + F.lit(1 << 40)).alias("cand_pos"), F.concat_ws(" ", "text", "n.text").alias("text"), F.array("line_pos", "n.line_pos").alias("used")))
 
 
-def _best(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The best sum, field by field; only lines that a later field could still want tell two states apart."""
-    fields = [(pos, list(zip(g["score"], g["cand_pos"], map(frozenset, g["used"]), strict=True))) for pos, g in pdf.sort_values(["field_pos", "rank"]).groupby("field_pos", sort=True)]
-    wanted = [frozenset()]
-    for _, options in reversed(fields):
-        wanted.append(wanted[-1].union(*(used for _, _, used in options)))
-    states: dict[frozenset, tuple[float, tuple]] = {frozenset(): (0.0, ())}
-    for (pos, options), later in zip(fields, wanted[-2::-1], strict=True):
-        now: dict[frozenset, tuple[float, tuple]] = {}
-        for taken, (total, picked) in states.items():
-            for value, cand, used in [(0.0, None, frozenset()), *options]:
-                key = (taken | used) & later
-                if not taken & used and total + value > now.get(key, (-1.0,))[0]:
-                    now[key] = (total + value, picked if cand is None else (*picked, (pos, cand)))
-        states = now
-    chosen = max(states.values(), key=lambda s: s[0])[1]
-    return pd.DataFrame([(pdf["doc_id"].iat[0], *c) for c in chosen], columns=["doc_id", "field_pos", "cand_pos"])
+@F.arrow_udf("array<int>")
+def _assigned(rows: pa.Array) -> pa.Array:
+    """Places of the options that a document's fields get; options come by field, the best first."""
+    out = []
+    for row in rows.to_pylist():
+        fields: dict[int, list] = {}
+        for i, (pos, lost, used) in enumerate(zip(row["field_pos"], row["lost"], row["used"], strict=True)):
+            fields.setdefault(pos, []).append((i, (-lost, tuple(used))))
+        picked = assigned([[o for _, o in some] for some in fields.values()])
+        out.append([some[k][0] for some, k in zip(fields.values(), picked, strict=True) if k >= 0])
+    return pa.array(out, pa.list_(pa.int32()))
 
 
-def verify(lines: DataFrame, expected: DataFrame, least: float = 0.35, options: int = 12) -> DataFrame:
+def verify(lines: DataFrame, expected: DataFrame, least: float = 0.35) -> DataFrame:
     """doc_id, field_pos, field, expected, detected, score, status."""
     n = tasks.tasks_of(lines, "text", 1 << 20)
     lines, expected = (df.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(n, "doc_id") for df in (lines, expected))
     fields = expected.select(F.col("doc_id").cast("string"), F.col("field_pos").cast("int"), "field", F.trim(F.col("expected").cast("string")).alias("expected"))
     fields = fields.withColumn("kind", line_kind(F.col("field"), F.col("expected"))).withColumn("target", tx.normal(F.col("expected"), F.col("kind"), label=False))
     cands = line_candidates(lines)
-    pairs = fields.join(cands, "doc_id").withColumn("found", tx.normal(F.col("text"), F.col("kind"), label=False)).where("target <> '' and found <> ''")
+    kinds = fields.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    forms = cands.join(kinds.hint("shuffle_hash"), "doc_id").select("doc_id", "cand_pos", "used", "text", F.explode("kinds").alias("kind"))
+    forms = forms.withColumn("found", tx.normal(F.col("text"), F.col("kind"), label=False)).drop("text").where("found <> ''")
+    pairs = fields.where("target <> ''").select("doc_id", "field_pos", "kind", "target").join(forms, ["doc_id", "kind"])
     a, b = F.length("target"), F.length("found")
     pairs = pairs.where(2 * F.least(a, b) >= (least - 1e-9) * (a + b))  # no ratio is above that of the shorter text found whole
-    pairs = pairs.withColumn("score", ratio("target", "found")).where(F.col("score") >= least)
-    rank = F.row_number().over(W.partitionBy("doc_id", "field_pos").orderBy(F.desc("score"), "cand_pos"))
-    pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= options)
-    chosen = pairs.select("doc_id", "field_pos", "rank", "cand_pos", "score", "used").groupBy("doc_id").applyInPandas(_best, "doc_id string, field_pos int, cand_pos long")
-    got = pairs.select("doc_id", "field_pos", "cand_pos", "text", "found", "score").join(chosen, ["doc_id", "field_pos", "cand_pos"])
-    out = fields.join(got, ["doc_id", "field_pos"], "left")
+    option = F.struct("field_pos", (-F.col("score")).alias("lost"), "cand_pos", "used")
+    pairs = pairs.withColumn("score", ratio("target", "found")).groupBy("doc_id").agg(F.collect_list(F.when(F.col("score") >= least, option)).alias("options"))
+    pairs = pairs.repartition(n, "doc_id").withColumn("options", F.array_sort("options"))  # all of them: a cap would change the best choice
+    picked = _assigned(F.struct(*(F.col(f"options.{c}").alias(c) for c in ("field_pos", "lost", "used"))))
+    chosen = pairs.withColumn("picked", picked).select("doc_id", F.explode_outer(F.transform("picked", lambda i: F.get("options", i))).alias("o")).select("doc_id", "o.field_pos", "o.cand_pos", (-F.col("o.lost")).alias("score"))
+    got = chosen.join(cands.select("doc_id", "cand_pos", "text"), ["doc_id", "cand_pos"]).drop("cand_pos")
+    out = fields.join(got, ["doc_id", "field_pos"], "left").withColumn("found", tx.normal(F.col("text"), F.col("kind"), label=False))
     return out.select("doc_id", "field_pos", "field", "expected", F.col("text").alias("detected"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"), tx.status(F.col("target"), F.col("found"), F.col("score"), F.col("kind")).alias("status"))

@@ -240,3 +240,45 @@ def test_matching_blocks_are_those_of_difflib():
     for n in range(4000):
         a, b = ("".join(r.choice("ABCDE"[: 2 + n % 4]) for _ in range(r.randint(0, m))) for m in (30, 230 if n % 50 == 0 else 40))
         assert covered(a, b) == sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_older_matcher_keeps_all_options(spark):
+    """Thirteen fields that want the same fourteen lines: with twelve options each, the last would get none."""
+    from attestra.operators import line_matcher
+
+    lines = spark.createDataFrame([("d", i, "LENA" if i < 12 else "LENO", str(i)) for i in range(14)], "doc_id string, line_pos int, text string, source string")
+    fields = spark.createDataFrame([("d", i, "name", "LENA") for i in range(14)], FIELD)
+    got = [r.score for r in line_matcher.verify(lines, fields).orderBy("field_pos").collect()]
+    assert sorted(got) == [0.75] * 2 + [1.0] * 12
+
+
+def test_assignment_is_the_best_of_all():
+    import random
+    from functools import cache
+
+    from attestra.functions.assignment import assigned
+
+    def direct(fields):
+        @cache
+        def go(k, used):
+            if k == len(fields):
+                return 0.0, ()
+            best, picked = go(k + 1, used)
+            picked = (-1, *picked)
+            for i, (s, xs) in enumerate(fields[k]):
+                if not used & set(xs):
+                    more, rest = go(k + 1, used | set(xs))
+                    if s + more > best + 1e-9:
+                        best, picked = s + more, (i, *rest)
+            return best, picked
+
+        return go(0, frozenset())
+
+    r = random.Random(4)
+    for _ in range(300):
+        n, some = r.randint(1, 8), r.choice([(0.5, 1.0), (0.4, 0.6, 0.8, 1.0), None])
+        places = [(i,) for i in range(n)] + [(i, i + 1) for i in range(n - 1)]
+        fields = [sorted(((r.choice(some) if some else r.uniform(0.35, 1), x) for x in places if r.random() < 0.8), key=lambda o: -o[0]) for _ in range(r.randint(1, 6))]
+        assert tuple(assigned(fields)) == direct(fields)[1]
+    same = [[(1.0, (i,)) for i in range(40)] + [(0.8, (i, i + 1)) for i in range(39)]] * 120
+    assert sum(x >= 0 for x in assigned(same)) == 40
