@@ -74,8 +74,10 @@ class Forms:
         """For each target and the forms allowed for it: (place, ratio) of every form whose ratio is at least ``least`` and no more than ``slack`` under the ``count``-th best of different forms, or at least ``always``; and how many forms have letters enough for that.
 
         Forms are tried in order of an upper limit, the letters that they share with the target in any order, and of some of them
-        at once in order of a nearer one, their longest common subsequence. So the ratio itself is computed for few.
+        at once in order of a nearer one, their longest common subsequence. So the ratio itself is computed for few. Sixteen targets go together.
         """
+        if len(targets) > 16:
+            return [x for at in range(0, len(targets), 16) for x in self.best(targets[at : at + 16], least, count, slack, always)]
         plans = [self._tried(target, allowed, least) for target, allowed in targets]
         done, floors, tops, seen, out = [0] * len(targets), [least] * len(targets), [[] for _ in targets], [{} for _ in targets], [[] for _ in targets]
         todo = list(range(len(targets)))

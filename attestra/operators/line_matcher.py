@@ -39,7 +39,7 @@ def line_candidates(lines: DataFrame) -> DataFrame:
 def _assigned(rows: pa.Array) -> pa.Array:
     """Places of the options that a document's fields get; options come by field, the best first."""
     out = []
-    for row in rows.to_pylist():
+    for row in (x.as_py() for x in rows):
         fields: dict[int, list] = {}
         for i, (pos, lost, used) in enumerate(zip(row["field_pos"], row["lost"], row["used"], strict=True)):
             fields.setdefault(pos, []).append((i, (-lost, tuple(used))))

@@ -282,3 +282,11 @@ def test_assignment_is_the_best_of_all():
         assert tuple(assigned(fields)) == direct(fields)[1]
     same = [[(1.0, (i,)) for i in range(40)] + [(0.8, (i, i + 1)) for i in range(39)]] * 120
     assert sum(x >= 0 for x in assigned(same)) == 40
+
+
+def test_older_matcher_takes_each_ratio_once(spark, tmp_path):
+    from attestra.operators import line_matcher
+
+    spark.createDataFrame([("d", 0, "LENA HOLM")], "doc_id string, line_pos int, text string").write.parquet(f"{tmp_path}/lines")
+    plan = line_matcher.verify(spark.read.parquet(f"{tmp_path}/lines"), spark.createDataFrame([("d", 0, "name", "LENA")], FIELD))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [ratio(") == 1 and "FlatMapGroupsInPandas" not in plan
