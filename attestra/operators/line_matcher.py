@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from attestra.functions import text as tx
 from attestra.functions.assignment import assigned
@@ -35,7 +36,7 @@ def line_candidates(lines: DataFrame) -> DataFrame:
     return one.unionByName(pair.select("doc_id", (F.col("line_pos") + F.lit(1 << 40)).alias("cand_pos"), F.concat_ws(" ", "text", "n.text").alias("text"), F.array("line_pos", "n.line_pos").alias("used")))
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(ST.ArrayType(ST.IntegerType()))
 def _assigned(rows: pa.Array) -> pa.Array:
     """Places of the options that a document's fields get; options come by field, the best first."""
     out = []
